@@ -26,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(lengths).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.toxicity import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.jaccard_join import link_components
 
@@ -36,6 +42,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_toxicity_nnpu,
         op10_ngram_jaccard_join,
     )
 }

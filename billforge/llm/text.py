@@ -14,6 +14,8 @@ import pyarrow as pa
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
+NOT_LETTERS = np.ones(256, bool)  # for word_bounds: words of letters only, bytes from 0x80 counting as letters
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20240501).integers(1, 2**63, 256).astype(U64) * U64(2) + U64(1)
@@ -60,13 +62,13 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the index of its document."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    sep = _SEP[data]
+    sep = separators[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, sep[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = True
@@ -79,12 +81,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of data[start:end] for each pair."""
-    powers, inverses = _power_tables(len(data) + 1)
+def sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the lower-cased bytes' values, for span_hashes."""
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE_VALUE[_LOWER[data] if lower else data] * powers[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(U64))
+    np.cumsum(_BYTE_VALUE[_LOWER[data]] * _power_tables(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from start to end for each pair."""
+    return mix((total[ends] - total[starts]) * _power_tables(len(total))[1][starts] + (ends - starts).astype(U64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(sums(data), starts, ends)
 
 
 def chain(hashes: np.ndarray, k: int) -> np.ndarray:
