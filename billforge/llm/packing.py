@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from billforge.llm import pretokens
 from billforge.llm.text import blocks, text_buffer
@@ -158,7 +159,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group_pieces: int = 8192) -
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id() % 16), F.lit(groups)).cast("int"))
-    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sequence, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
