@@ -32,6 +32,12 @@ def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.line_quality import judge
+
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.jaccard_join import link_components
 
@@ -43,6 +49,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_toxicity_nnpu,
+        op6_line_frequency,
         op10_ngram_jaccard_join,
     )
 }
