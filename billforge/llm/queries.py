@@ -38,6 +38,13 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
 
+def op8_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm import pii
+
+    docs = _read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.jaccard_join import link_components
 
@@ -50,6 +57,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_toxicity_nnpu,
         op6_line_frequency,
+        op8_pii_bilstm_crf,
         op10_ngram_jaccard_join,
     )
 }
