@@ -45,6 +45,12 @@ def op8_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.substring_dedup import find_repeats
+
+    return find_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.jaccard_join import link_components
 
@@ -58,6 +64,7 @@ QUERIES = {
         op2_toxicity_nnpu,
         op6_line_frequency,
         op8_pii_bilstm_crf,
+        op9_compact_windows,
         op10_ngram_jaccard_join,
     )
 }
