@@ -32,6 +32,37 @@ def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: a replacement, a deletion and an insertion."""
+    from billforge.llm.edit_counts import count_edits
+
+    n = F.length("text")
+    edits = F.array(
+        F.struct((n / 3).cast("int").alias("start"), F.lit(12).alias("length"), F.concat(F.lit(" "), "source", F.lit("'s "), "lang").alias("insert")),
+        F.struct((n / 2).cast("int").alias("start"), F.lit(40).alias("length"), F.lit("").alias("insert")),
+        F.struct((n * 3 / 4).cast("int").alias("start"), F.lit(0).alias("length"), F.concat(F.lit("\n"), "lang", F.lit(" 2024, "), "source").alias("insert")),
+    )
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return count_edits(docs, tokenizer_path())
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.warc_derivatives import build, responses
+
+    records = build(responses(_read(spark, sf_dir, "pages")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", F.crc32("block").alias("block_crc32"))
+
+
+def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives its text again."""
+    from billforge.llm.sentencepiece_unigram import Unigram, decode, encode
+
+    model = Unigram.from_model(tokenizer_path("piece_bpe_32k.model"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = encode(docs.withColumn("text_crc32", F.crc32("text")), model)
+    return decode(encoded, model).select("doc_id", "n_tokens", "n_byte_tokens", F.crc32("ids").alias("ids_crc32"), (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.line_quality import judge
 
@@ -62,6 +93,9 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_toxicity_nnpu,
+        op3_edit_aware_counts,
+        op4_warc_derivatives,
+        op5_sentencepiece_unigram,
         op6_line_frequency,
         op8_pii_bilstm_crf,
         op9_compact_windows,
