@@ -69,6 +69,13 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments among recordings that play the vectors of ``embeddings``."""
+    from billforge.llm.chroma import fingerprints, render, search
+
+    return search(cut(fingerprints(render(_read(spark, sf_dir, "embeddings")))))
+
+
 def op8_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm import pii
 
@@ -97,6 +104,7 @@ QUERIES = {
         op4_warc_derivatives,
         op5_sentencepiece_unigram,
         op6_line_frequency,
+        op7_chroma_fingerprints,
         op8_pii_bilstm_crf,
         op9_compact_windows,
         op10_ngram_jaccard_join,
