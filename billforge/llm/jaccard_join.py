@@ -18,9 +18,10 @@ then rare ones (in at most ``rare`` sets), then frequent ones.
    them, in both documents together, so a linking pair shares an indexed key.
 3. Keys held by few documents give all their pairs, other keys a star around
    their smallest document. Candidates are verified on whole sets.
-4. Where a star leaves several components under one key, the documents outside
-   the leader's component meet all documents of the key in blocks of bounded
-   size, so that no link is lost and no pair is sent as a row.
+4. Where a star still holds several components, its documents outside the
+   leader's component meet all others: as listed pairs in a small star, in a
+   large one as blocks of bounded size without a row for each pair. So every two
+   documents that share a key are compared, or already in one component.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billforge.llm.shared import components, cut
-from billforge.llm.text import U64, mix, shingles
+from billforge.llm.text import U64, mix, shingles, slices
 
 WINDOW = 3  # places between combined tokens; see step 2
 _CHUNK = "bucket int, kind byte, base long, docs binary, a binary, b binary"
@@ -190,7 +191,7 @@ def _keys(percent: int):
     """The index keys of each document: rare tokens of its prefix, or also combinations of frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, docs, sizes = [], [], []
             for d, n, r, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "rare", "frequent")), strict=True):
                 rare, frequent = np.frombuffer(r, U64), np.frombuffer(f, U64)
@@ -218,7 +219,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for x, y, n, m, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "s_a", "s_b")), strict=True):
                 common = _common(np.frombuffer(s, U64), np.frombuffer(t, U64))
@@ -254,42 +255,52 @@ def _verify_block(percent: int):
 def _links(sets: DataFrame, percent: int, pairs_up_to: int, block: int) -> DataFrame:
     """node, component of the linked documents among distinct sets (doc_id, n, rare, frequent)."""
     keys = cut(sets.mapInArrow(_keys(percent), "k long, doc long, n long"))
-    groups = keys.groupBy("k").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    groups = keys.groupBy("k").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum")).where("held > 1")
+    #: of keys with the same documents one is enough
+    groups = groups.groupBy("leader", "held", "sum").agg(F.min("k").alias("k")).select("k", "leader", "held")
     held = cut(keys.join(groups, "k"))
     few = held.where(F.col("held") <= pairs_up_to).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("g"))
     few = few.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x.doc as a, x.n as n_a, y.doc as b, y.n as n_b))))")).alias("p")).select("p.*")
-    many = held.where(F.col("held") > pairs_up_to)
+    #: one star for all keys with one leader: two documents of a key are both in its leader's star
+    many = cut(held.where(F.col("held") > pairs_up_to).select("leader", "doc", "n").distinct())
     leaders = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
-    star = many.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct().join(leaders, "a")
+    star = many.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).join(leaders, "a")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    pairs = few.unionByName(star).where(near).distinct()
+    pairs = cut(few.unionByName(star).where(near).distinct())
     tokens = sets.select(F.col("doc_id").alias("doc"), F.concat("rare", "frequent").alias("s"))
     of_a, of_b = (tokens.select(F.col("doc").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-    edges = cut(pairs.join(of_a, "a").join(of_b, "b").mapInArrow(_verify(percent), "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(_verify(percent), "a long, b long")
+
+    edges = cut(verified(pairs))
     found = cut(components(edges))
-    #: keys with several components after their star
+    #: stars that still hold several components
     named = many.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     lead = found.select(F.col("node").alias("leader"), F.col("component").alias("led"))
-    named = named.join(lead, "leader", "left").withColumn("led", F.coalesce("led", "leader")).select("k", "doc", "n", "component", (F.col("component") != F.col("led")).alias("out"))
-    open_keys = named.groupBy("k").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outside")).where("outside > 0")
-    #: of keys with the same documents one is enough
-    same = named.join(open_keys.select("k"), "k", "left_semi").groupBy("k").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("size"))
-    one = same.groupBy("sum", "size").agg(F.min("k").alias("k")).select("k")
-    todo = named.join(open_keys.join(one, "k", "left_semi"), "k")
+    named = named.join(lead, "leader", "left").withColumn("led", F.coalesce("led", "leader")).select("leader", "doc", "n", "component", (F.col("component") != F.col("led")).alias("out"))
+    open_stars = named.groupBy("leader").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outside")).where("outside > 0")
+    todo = cut(named.join(open_stars, "leader"))
+    #: few documents: the pairs across components; many: blocks of documents
+    small = todo.where(F.col("all") <= block).groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "component", "out"))).alias("g"))
+    small = small.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.component <> x.component and (x.out or y.out)), y -> struct(x.doc as a, x.n as n_a, y.doc as b, y.n as n_b))))")).alias("p"))
+    rest = cut(small.select("p.*").where(near).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    edges = edges.union(verified(rest))
+    todo = todo.where(F.col("all") > block)
     left_of = F.ceil(F.col("outside") / block).cast("int")
     right_of = F.ceil(F.col("all") / block).cast("int")
     todo = todo.withColumn("lb", F.pmod(F.xxhash64("doc"), left_of).cast("int")).withColumn("rb", F.pmod(F.xxhash64(F.lit(1), "doc"), right_of).cast("int"))
     left = todo.where("out").withColumn("rb", F.explode(F.sequence(F.lit(0), right_of - 1))).withColumn("side", F.lit(0))
     right = todo.withColumn("lb", F.explode(F.sequence(F.lit(0), left_of - 1))).withColumn("side", F.lit(1))
-    cols = ["k", "lb", "rb", "side", "doc", "n", "component"]
+    cols = ["leader", "lb", "rb", "side", "doc", "n", "component"]
     met = cut(left.select(cols).union(right.select(cols)))
-    if met.isEmpty():
+    if met.isEmpty() and rest.isEmpty():
         return found
-    late = met.join(tokens, "doc").groupBy("k", "lb", "rb").applyInArrow(_verify_block(percent), "a long, b long")
+    late = met.join(tokens, "doc").groupBy("leader", "lb", "rb").applyInArrow(_verify_block(percent), "a long, b long")
     return components(edges.union(late))
 
 
-def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rare: int = 8, pairs_up_to: int = 8, block: int = 512, bucket_tokens: int = 2_000_000) -> DataFrame:
+def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rare: int = 8, pairs_up_to: int = 8, block: int = 64, bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs`` (doc_id long, text string; other columns are ignored).
 
     Rows that repeat a doc_id with one text count once. Null, empty and blank
@@ -303,20 +314,17 @@ def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rar
     bits = min(16, max(4, int(np.ceil(np.log2(max(1, size / 6 / bucket_tokens))))))
 
     def from_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                sets = [np.unique(s) for s in shingles(part.column("text"), shingle)]
-                ids = part.column("doc_id").to_numpy()
-                n = np.array([len(s) for s in sets], np.int64)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield from _emit(ids, sets, n, keys, bits, bucket_tokens)
+        for part in slices(batches, 1000):
+            sets = [np.unique(s) for s in shingles(part.column("text"), shingle)]
+            ids = part.column("doc_id").to_numpy()
+            n = np.array([len(s) for s in sets], np.int64)
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield from _emit(ids, sets, n, keys, bits, bucket_tokens)
 
     def from_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = [np.sort(np.concatenate([np.frombuffer(x, U64) for x in p])) for p in zip(batch.column("rare").to_pylist(), batch.column("frequent").to_pylist(), strict=True)]
-                yield from _emit(batch.column("doc_id").to_numpy(), sets, batch.column("n").to_numpy(), batch.column("key").to_pylist(), bits, bucket_tokens)
+        for part in slices(batches):
+            sets = [np.sort(np.concatenate([np.frombuffer(x, U64) for x in p])) for p in zip(part.column("rare").to_pylist(), part.column("frequent").to_pylist(), strict=True)]
+            yield from _emit(part.column("doc_id").to_numpy(), sets, part.column("n").to_numpy(), part.column("key").to_pylist(), bits, bucket_tokens)
 
     every = cut(_shared_tokens(docs.mapInArrow(from_text, _CHUNK), bits, rare, percent))
     able = every.where("rare is not null")

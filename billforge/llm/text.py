@@ -53,6 +53,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of at most ``rows`` rows, so that copies of a part stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges [i, j) of documents of at most ``most`` bytes together, or of one document."""
     i, n = 0, len(offsets) - 1
