@@ -70,7 +70,7 @@ def is_utility_bill(c: Column) -> Column:
 
 def utility_company(c: Column) -> Column:
     """Label of the company that issued the bill, GENERIC_LSP for an unknown one, null for any other text."""
-    head = F.upper(F.substring(c, 1, ROUTED_CHARS))
+    head = F.upper(F.substring(F.coalesce(c, F.lit("")), 1, ROUTED_CHARS))
     label = F.when(~_any(head, (*UTILITY_WORDS, "AGUAS+ARGENTINAS")), F.lit(None))
     for name, words in COMPANY_WORDS:
         label = label.when(_any(head, words), name)
