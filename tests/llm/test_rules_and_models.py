@@ -1,0 +1,260 @@
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from billforge.llm import chroma, line_quality, pii, toxicity, warc_derivatives
+from billforge.llm.bilstm_crf import BiLstmCrf
+from billforge.llm.queries import ORACLE_SQL, QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# quality rules
+
+
+def base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def test_line_frequency(spark):
+    r = random.Random(1)
+    shared = "The same  line of every page here"
+    rows = [(i, "h0" if i % 3 else "h1", f"{shared}\n" * (1 + i % 2) + " ".join(f"w{r.randrange(300)}" for _ in range(i))) for i in range(1, 60)]
+    rows += [(100, None, "# a|b\n\nx\nx\n" + "loop of words again and then once more " * 9), (101, "h0", None), (102, "h0", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x["doc_id"]: x for x in line_quality.judge(df, most_docs=10).collect()}
+    texts = {d: t for d, _, t in rows}
+    assert len(got) == len(rows)
+    for d, x in got.items():
+        assert tuple(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base(texts[d])
+        n = x["n_words"]
+        removed = 7 * (1 + d % 2) if d < 60 else 0
+        assert x["n_removed_words"] == removed and x["kept"] == (not x["base_failed"] and 100 * (n - removed) >= 30 * n)
+    left = {x["doc_id"]: x["text"] for x in line_quality.remove_lines(df, most_docs=10).collect()}
+    assert all(shared not in left[d] for d in range(1, 60)) and left[100] == texts[100] and left[101] is None
+
+
+def test_quality_query_equals_sql(same_rows):
+    same_rows(QUERIES["op6_line_frequency"], ORACLE_SQL["op6_line_frequency"])
+
+
+def test_quality_stays_native(spark, sf_dir, docs, nothing):
+    plan = QUERIES["op6_line_frequency"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert line_quality.judge(docs).count() == docs.count()
+    assert line_quality.judge(nothing).count() == 0
+
+
+# toxicity
+
+
+def test_nnpu_learns_from_positives_and_unlabelled():
+    r = np.random.default_rng(0)
+    y = r.random(4000) < 0.2
+    x = (r.random((4000, 20)) < np.where(y[:, None] & (np.arange(20) < 5), 0.6, 0.05)).astype(np.float32)
+    known = y & (r.random(4000) < 0.5)
+    w, b = toxicity.fit_nnpu(np.r_[x[known], x], np.r_[np.ones(known.sum(), bool), np.zeros(4000, bool)], 0.2)
+    g = x @ w + b
+    assert np.mean(g[y][:, None] > g[~y][None, :500]) > 0.95
+    assert ((g > 0) == y).mean() > 0.95
+
+
+def test_toxicity_on_held_out_rows(spark, docs, nothing):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(800):
+        w = [f"word{r.randrange(500)}" for _ in range(60)]
+        if i % 5 == 0:
+            w[7::9] = ["vile"] * len(w[7::9])
+        rows.append((i, " ".join(w)))
+        if i % 2 == 0:
+            labels.append((i, int(i % 5 == 0)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score_documents(df, lab).collect()}
+    held = [x for x in got.values() if x["held_out"]]
+    assert 100 < len(held) < 300 and all(0 <= x["score"] <= 1 for x in got.values())
+    assert np.mean([x["predicted"] == int(x["doc_id"] % 5 == 0) for x in held]) > 0.97
+    # labels of held-out rows change nothing
+    turned = spark.createDataFrame([(d, 1 - y if got[d]["held_out"] else y) for d, y in labels], "doc_id long, toxic int")
+    again = {x["doc_id"]: x["score"] for x in toxicity.score_documents(df, turned).collect()}
+    assert all(abs(again[d] - x["score"]) < 1e-6 for d, x in got.items())
+    assert toxicity.score_documents(docs, lab).count() == docs.count()
+    assert toxicity.score_documents(nothing, lab).count() == 0
+    none = toxicity.score_documents(docs, lab.limit(0)).collect()
+    assert {x["predicted"] for x in none} == {0}
+
+
+# personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_rules_equal_the_patterns():
+    r = random.Random(3)
+    for _ in range(20000):
+        t = "".join(r.choice("a.@-1b2 25.+%_é") for _ in range(r.randint(0, 25)))
+        expected = [("email", *m.span()) for m in EMAIL.finditer(t)] + [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[0] in ("email", "ip")] == pii.ordered(expected)
+    text = "é +1 (999) 555-0362 and 4111 1111-1111 1111, 4111111111111112"
+    assert pii.written(pii.base_spans(text)) == "phone:2:19,card:24:43"
+    assert pii.base_spans("1" * 50000 + "a" * 50000 + "@@") == []
+
+
+def test_gradient_of_the_tagger():
+    m = BiLstmCrf(3, hidden=4, width=3)
+    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    r = np.random.default_rng(0)
+    codes, tags = r.integers(1, 20, (2, 5)), r.integers(0, 3, (2, 5))
+    _, grad = m.step(codes, tags)
+    for key, x in m.p.items():
+        at = tuple(int(r.integers(0, n)) for n in x.shape) if key != "emb" else (int(codes[0, 2]), 1)
+        was = x[at]
+        x[at] = was + 1e-4
+        up = m.step(codes, tags)[0]
+        x[at] = was - 1e-4
+        down = m.step(codes, tags)[0]
+        x[at] = was
+        assert abs((up - down) / 2e-4 - grad[key][at]) < 1e-3, key
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    m = BiLstmCrf(3, hidden=4, width=3)
+    m.p["tr"] = np.random.default_rng(1).normal(size=(3, 3)).astype(np.float32)
+    codes = np.random.default_rng(2).integers(1, 20, (1, 5))
+    em = m.emissions(codes)[0]
+    assert np.allclose(em, m.emissions(codes, keep=True)[0][0], atol=1e-5)
+
+    def total(path):
+        return m.p["st"][path[0]] + em[range(5), path].sum() + sum(m.p["tr"][a, b] for a, b in zip(path, path[1:], strict=False))
+
+    assert tuple(m.decode(codes)[0]) == max(itertools.product(range(3), repeat=5), key=lambda p: total(list(p)))
+
+
+def test_reconcile_takes_the_heaviest_set():
+    found = [(5.0, ("secret", 0, 10)), (3.0, ("ip", 8, 14)), (4.0, ("ip", 12, 16)), (2.5, ("secret", 0, 10))]
+    assert pii.reconcile(found) == [("secret", 0, 10), ("ip", 12, 16)]
+
+
+def test_tagger_finds_held_out_secrets(spark, docs, nothing):
+    r = random.Random(2)
+
+    def text(i):
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(40)]
+        w[r.randrange(40)] = r.choice(["password=" + "".join(r.choice("0123456789abcdef") for _ in range(18)), f"u{i}@mail.example.com", "AKIA" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(16))])
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(500)], "doc_id long, text string")
+    model = pii.train(df.where("doc_id < 400"), steps=150)
+    rows = pii.find(df.where("doc_id >= 400"), model).collect()
+    texts = dict(df.collect())
+    want = {(x["doc_id"], s) for x in rows for s in pii.labelled(texts[x["doc_id"]]) if s[0] == "secret"}
+    got = {(x["doc_id"], (k, int(a), int(b))) for x in rows if x["spans"] for k, a, b in (s.split(":") for s in x["spans"].split(",")) if k == "secret"}
+    near = sum(any(d == e and abs(s[1] - t[1]) < 4 and abs(s[2] - t[2]) < 4 for e, t in got) for d, s in want)
+    assert near >= 0.8 * len(want) and len(got) <= 1.3 * len(want)
+    masked = pii.mask(df.where("doc_id >= 400"), model).collect()
+    assert not any("@mail" in x["text"] for x in masked)
+    empty = {x["doc_id"]: x for x in pii.find(docs, model).collect()}
+    assert empty[3]["spans"] == "" and empty[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.train(nothing) is None and pii.find(nothing, None).count() == 0
+
+
+# web archives
+
+
+def test_derivatives(spark):
+    html = "<!DOCTYPE html><title>A &amp; B</title><script>var t='</p>';</script><!-- x --><p>One<br>two <b>three</b> &lt;4</p><a href='/x?a=1&amp;b=2'>go</a>"
+    rows = [(1, "http://a/", html), (1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (4, "u", "<!-- open <p>text")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, block string")
+    responses = warc_derivatives.responses(pages)
+    got = warc_derivatives.build(responses).collect()
+    assert len(got) == 2 * len(rows)
+    source = {x["page_id"]: x for x in responses.collect()}
+    for x in got:
+        payload = bytes(source[x["page_id"]]["block"]).split(b"\r\n\r\n", 1)[1]
+        assert x["refers_to"] == source[x["page_id"]]["record_id"] and x["target_uri"] == source[x["page_id"]]["target_uri"]
+        assert x["source_payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert x["content_length"] == len(x["block"]) and x["block_digest"] == warc_derivatives.digest(bytes(x["block"]))
+    first = {x["record_type"]: x for x in got if x["page_id"] == 1}
+    assert bytes(first["conversion"]["block"]).decode() == "A & B\nOne\ntwo three <4\ngo"
+    meta = bytes(first["metadata"]["block"]).decode()
+    assert "title: A & B\r\n" in meta and "outlink: /x?a=1&b=2\r\n" in meta and "source-header-content-type: text/html; charset=utf-8\r\n" in meta
+    assert len({x["record_id"] for x in got}) == 2 * 4
+    record = warc_derivatives.serialized(warc_derivatives.build(responses)).where("page_id = 2 and record_type = 'conversion'").first()["record"]
+    assert bytes(record).startswith(b"WARC/1.1\r\nWARC-Type: conversion\r\nWARC-Record-ID: <urn:uuid:") and b"Target-URI" not in record and bytes(record).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert warc_derivatives.build(responses.limit(0)).count() == 0
+
+
+# fingerprints
+
+
+def tone(notes, hop=chroma.HOP):
+    hertz = np.repeat(440 * 2 ** (np.array(notes) / 12), hop)
+    return (8000 * np.sin(2 * np.pi * np.cumsum(hertz) / chroma.RATE)).astype("<i2")
+
+
+def test_integral_image_filters_equal_direct_sums():
+    frames = np.random.default_rng(0).random((40, chroma.CLASSES))
+    prints = chroma.fingerprint(frames)
+    shape, c, h, w = chroma.FILTERS[1]
+    assert shape == 1
+    for x in range(len(prints)):
+        block = frames[x : x + w, c : c + h]
+        value = np.log1p(block[: w // 2].sum()) - np.log1p(block[w // 2 :].sum())
+        assert (int(prints[x]) >> 28) & 3 == [0, 1, 3, 2][int(np.searchsorted(chroma._LEVELS, value))]
+
+
+def test_alignment_finds_the_offset(spark):
+    r = np.random.default_rng(7)
+    a = r.integers(-12, 13, 120)
+    noisy = tone(a[20:100]).astype(float) + r.normal(0, 200, 80 * chroma.HOP)
+    pcm = [(100, tone(a[20:100])), (1, tone(a)), (2, noisy.astype("<i2")), (3, tone(r.integers(-12, 13, 120))), (101, tone(a[20:100])), (5, np.zeros(0, "<i2"))]
+    rec = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in pcm] + [(6, None)], "rec_id long, pcm binary")
+    rows = chroma.search(chroma.fingerprints(rec)).collect()
+    member = {x["rec_id"]: x["class_id"] for x in rows}
+    assert member == {100: 100, 101: 100, 1: 1, 2: 2, 3: 3}
+    found = {x["match_id"]: x["offset"] for x in rows if x["rec_id"] == 100}
+    assert found == {1: 20, 2: 0}
+    assert chroma.search(chroma.fingerprints(rec.limit(0))).count() == 0
+
+
+def test_render_handles_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [0.1, None, -0.5]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {x["rec_id"]: len(x["pcm"]) for x in chroma.render(v).collect()}
+    assert got == {1: 3 * 512, 2: 0, 3: 0, 4: 2 * 512, 5: 2 * 512}
+
+
+# the whole
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_run(name, spark, sf_dir):
+    assert QUERIES[name](spark, sf_dir).limit(5).count() >= 0
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert 0.5 * n < docs.count() <= n
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert placed.select("doc_id").distinct().count() == docs.count()
+    assert placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
