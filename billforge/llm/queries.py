@@ -110,4 +110,19 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_frequency": r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w) AS x),
+ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) AS x WHERE n > 1),
+ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) AS r(j) GROUP BY 1),
+ line AS (SELECT doc_id, source, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l FROM (SELECT doc_id, source, unnest(ls) AS l FROM w) AS x),
+ above AS (SELECT source, l FROM line GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 20),
+ gone AS (SELECT doc_id, count(*) AS n, sum(length(l) - length(replace(l, ' ', '')) + 1) AS nw FROM line JOIN above USING (source, l) GROUP BY 1),
+ b AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_lines, CAST(coalesce(gone.nw, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept, n_removed_lines, n_removed_words FROM b""",
+}
