@@ -110,6 +110,21 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int =
     return w[:-1], float(w[-1])
 
 
+def held_to_prior(margins: np.ndarray, bias: float, prior: float) -> float:
+    """The bias, lowered as far as it takes for unlabelled texts to score no more than the prior on average."""
+
+    def mean(b: float) -> float:
+        return float((1 / (1 + np.exp(-np.clip(margins + b, -30, 30)))).mean())
+
+    if mean(bias) <= prior:
+        return bias
+    low, high = bias - 30, bias
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if mean(middle) > prior else (middle, high)
+    return low
+
+
 def train(docs: DataFrame, toxic: DataFrame, *, positives: int = 3000, unlabelled: int = 6000, most_features: int = 1024, z: float = 12.0, least_share: float = 0.01) -> Model:
     """Fit on a bounded sample: about ``positives`` toxic and ``unlabelled`` other texts, taken by a hash of their ids.
 
@@ -148,7 +163,9 @@ def train(docs: DataFrame, toxic: DataFrame, *, positives: int = 3000, unlabelle
     lists = rows.column("at").combine_chunks()
     x = np.zeros((rows.num_rows, len(chosen)), np.float32)
     x[np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = 1
-    w, bias = fit_nnpu(x, rows.column("positive").to_numpy() == 1, prior)
+    positive = rows.column("positive").to_numpy() == 1
+    w, bias = fit_nnpu(x, positive, prior)
+    bias = held_to_prior(x[~positive] @ w, bias, prior)
     return Model(chosen, w, bias, prior)
 
 

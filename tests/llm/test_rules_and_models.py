@@ -70,6 +70,13 @@ def test_nnpu_learns_from_positives_and_unlabelled():
     assert ((g > 0) == y).mean() > 0.95
 
 
+def test_bias_is_held_to_the_prior():
+    margins = np.r_[np.zeros(90), np.full(10, 8.0)]
+    b = toxicity.held_to_prior(margins, 1.0, 0.12)
+    assert abs((1 / (1 + np.exp(-margins - b))).mean() - 0.12) < 1e-6
+    assert toxicity.held_to_prior(margins, -9.0, 0.12) == -9.0
+
+
 def test_toxicity_on_held_out_rows(spark, docs, nothing):
     r = random.Random(4)
     rows, labels = [], []
