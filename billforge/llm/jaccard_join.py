@@ -40,7 +40,7 @@ from billforge.llm.text import U64, mix, shingles, slices
 WINDOW = 3  # places between combined tokens; see step 2
 _CHUNK = "bucket int, kind byte, base long, docs binary, a binary, b binary"
 _CHUNK_PA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("base", pa.int64()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_RARE, _META, _FREQUENT = 0, 1, 2
+_RARE, _META, _FREQUENT, _HEAVY = 0, 1, 2, 3
 
 
 def _overlap(n: np.ndarray | int, percent: int):
@@ -80,8 +80,13 @@ def _chunks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNK_PA, strict=True)], schema=_CHUNK_PA)
 
 
-def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[bytes], bits: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Packed postings of the documents' tokens, and their sizes and set keys."""
+def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[bytes], bits: int, most: int, rare: int) -> Iterator[pa.RecordBatch]:
+    """Packed postings of the documents' tokens, and their sizes and set keys.
+
+    A token that more than ``rare`` documents of a chunk hold is frequent for sure:
+    its documents are told at once and only its count is sent to its bucket, so
+    that a token of very many documents doesn't fill a bucket.
+    """
     size = 1 << bits
     rows = []
     for b, at in _by_bucket(_doc_bucket(docs, size), size):
@@ -93,23 +98,56 @@ def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[by
         end = max(begin + 1, int(np.searchsorted(np.cumsum(lens[begin:]), most, "right")) + begin)
         tokens = np.concatenate(sets[begin:end])
         if len(tokens):
-            owner = np.repeat(docs[begin:end], lens[begin:end])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], np.repeat(docs[begin:end], lens[begin:end])[order]
+            first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            held = np.diff(np.r_[first, len(tokens)])
+            heavy = held > rare
             rows = []
-            for b, at in _by_bucket((tokens >> U64(64 - bits)).astype(np.int64), size):
-                rest = (tokens[at] << U64(bits)) >> U64(16)
-                base, packed = _pack_docs(owner[at])
-                rows.append((b, _RARE, base, packed, rest.astype(np.uint32).tobytes(), (rest >> U64(32)).astype(np.uint16).tobytes()))
+            if heavy.any():
+                all_of = np.repeat(heavy, held)
+                rows += list(_hits(owner[all_of], (tokens[all_of] >> U64(16 - bits)) << U64(16 - bits), _FREQUENT, size, size))
+                rows += _postings(tokens[first[heavy]], bits, lambda at: (_HEAVY, 0, held[heavy][at].astype(np.int64).tobytes()))
+                tokens, owner = tokens[~all_of], owner[~all_of]
+            rows += _postings(tokens, bits, lambda at: (_RARE, *_pack_docs(owner[at])))
             yield _chunks(rows)
         begin = end
 
 
-def _token_groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    tokens, docs = [], []
-    for row in table.to_pylist():
+def _postings(tokens: np.ndarray, bits: int, docs) -> list[tuple]:
+    """Rows of the buckets of sorted tokens; ``docs`` gives kind, base and documents of a slice."""
+    ends = np.searchsorted(tokens >> U64(64 - bits), np.arange(1 << bits).astype(U64), "right")
+    out, begin = [], 0
+    for b, end in enumerate(ends.tolist()):
+        if end > begin:
+            rest = (tokens[begin:end] << U64(bits)) >> U64(16)
+            out.append((b, *docs(slice(begin, end)), rest.astype(np.uint32).tobytes(), (rest >> U64(32)).astype(np.uint16).tobytes()))
+        begin = end
+    return out
+
+
+def _hits(docs: np.ndarray, tokens: np.ndarray, kind: int, size: int, shift: int) -> Iterator[tuple]:
+    """Rows that tell buckets of documents their tokens of a kind."""
+    for b, at in _by_bucket(_doc_bucket(docs, size), size) if len(docs) else ():
+        at = at[np.argsort(docs[at], kind="stable")]
+        base, packed = _pack_docs(docs[at])
+        yield (shift + b, kind, base, packed, tokens[at].tobytes(), None)
+
+
+def _token_groups(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """Tokens and documents of postings, and counts added up of tokens that are frequent in a chunk."""
+    tokens, docs, heavy, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for row in rows:
         low = np.frombuffer(row["a"], np.uint32)
-        tokens.append((np.frombuffer(row["b"], np.uint16).astype(U64) << U64(32)) | low)
-        docs.append(_unpack_docs(row["base"], row["docs"], len(low)))
-    return np.concatenate(tokens), np.concatenate(docs)
+        own = (np.frombuffer(row["b"], np.uint16).astype(U64) << U64(32)) | low
+        if row["kind"] == _HEAVY:
+            heavy.append(own)
+            counts.append(np.frombuffer(row["docs"], np.int64))
+        else:
+            tokens.append(own)
+            docs.append(_unpack_docs(row["base"], row["docs"], len(low)))
+    known, at = np.unique(np.concatenate(heavy), return_inverse=True)
+    return np.concatenate(tokens), np.concatenate(docs), known, np.bincount(at, np.concatenate(counts), minlength=len(known))
 
 
 def _count(bits: int, rare: int):
@@ -119,20 +157,21 @@ def _count(bits: int, rare: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket >= size:
-            out = [(bucket - size, _META, 0, r["docs"], r["a"], r["b"]) for r in table.to_pylist()]
+            out = [(bucket - size, r["kind"], r["base"], r["docs"], r["a"], r["b"]) for r in table.to_pylist()]
             return pa.Table.from_batches([_chunks(out)])
-        tokens, docs = _token_groups(table)
+        tokens, docs, heavy, counts = _token_groups(table.to_pylist())
         order = np.argsort(tokens, kind="stable")
         tokens, docs = tokens[order], docs[order]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        held = np.repeat(np.diff(np.r_[first, len(tokens)]), np.diff(np.r_[first, len(tokens)]))
-        rows = []
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+        own = np.diff(np.r_[first, len(tokens)])
+        total = own.copy()
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, tokens[first]), len(heavy) - 1)
+            total += np.where(heavy[at] == tokens[first], counts[at], 0).astype(np.int64)
+        held = np.repeat(total, own)
+        rows: list[tuple] = []
         for kind, keep in ((_RARE, (held > 1) & (held <= rare)), (_FREQUENT, held > rare)):
-            own, tok = docs[keep], (U64(bucket) << U64(48)) | tokens[keep]
-            for b, at in _by_bucket(_doc_bucket(own, size), size) if len(own) else ():
-                at = at[np.argsort(own[at], kind="stable")]
-                base, packed = _pack_docs(own[at])
-                rows.append((b, kind, base, packed, tok[at].tobytes(), None))
+            rows += _hits(docs[keep], (U64(bucket) << U64(64 - bits)) | (tokens[keep] << U64(16 - bits)), kind, size, 0)
         return pa.Table.from_batches([_chunks(rows)] if rows else [], _CHUNK_PA)
 
     return run
@@ -319,12 +358,12 @@ def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rar
             ids = part.column("doc_id").to_numpy()
             n = np.array([len(s) for s in sets], np.int64)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield from _emit(ids, sets, n, keys, bits, bucket_tokens)
+            yield from _emit(ids, sets, n, keys, bits, bucket_tokens, rare)
 
     def from_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [np.sort(np.concatenate([np.frombuffer(x, U64) for x in p])) for p in zip(part.column("rare").to_pylist(), part.column("frequent").to_pylist(), strict=True)]
-            yield from _emit(part.column("doc_id").to_numpy(), sets, part.column("n").to_numpy(), part.column("key").to_pylist(), bits, bucket_tokens)
+            yield from _emit(part.column("doc_id").to_numpy(), sets, part.column("n").to_numpy(), part.column("key").to_pylist(), bits, bucket_tokens, rare)
 
     every = cut(_shared_tokens(docs.mapInArrow(from_text, _CHUNK), bits, rare, percent))
     able = every.where("rare is not null")
