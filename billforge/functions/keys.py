@@ -53,8 +53,12 @@ def business_date(c: Column) -> Column:
 
 def business_key(number: Column, tax_id: Column, due: Column, amount: Column) -> Column:
     """The four normalised parts joined by bars, null where all are empty; amounts and dates come as text."""
-    joined = F.concat_ws("|", business_text(number), business_text(tax_id), business_date(due), business_amount(amount))
-    return F.when(joined != "|||", joined)
+    return joined_key(business_text(number), business_text(tax_id), business_date(due), business_amount(amount))
+
+
+def joined_key(*parts: Column) -> Column:
+    joined = F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
+    return F.nullif(joined, F.lit("|" * (len(parts) - 1)))
 
 
 def stored_key(key: Column, content_hash: Column) -> Column:

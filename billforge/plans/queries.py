@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from billforge.functions import address as A
 from billforge.functions import keys as K
 from billforge.functions import text as X
-from billforge.operators import dedup, jobs, match, merge, periods, usage
+from billforge.operators import dedup, jobs, match, merge, periods, sheets, usage
 from billforge.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,6 +490,50 @@ def q_sheet_row(spark: SparkSession, d: str) -> DataFrame:
     return inv.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), K.pesos(F.col("amount").cast("double")).alias("c"), K.month_name(F.col("month")).alias("d"), K.column_letters((F.col("l_partkey") % 700).cast("int")).alias("e"))
 
 
+# --- sheets, quotas and counts -----------------------------------------------------------------------
+
+
+@query(f"""WITH {_INV} SELECT DISTINCT CAST(l_orderkey % 1000 AS VARCHAR) || '|30-' || lpad(CAST(provider_id AS VARCHAR), 8, '0') || '-1|' || CAST(due_date AS VARCHAR) || '|' || printf('%.2f', CAST(amount AS DOUBLE)) AS business_key FROM inv""")
+def q_existing_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Business keys read back from sheet rows that a mapping wrote."""
+    inv = T.invoices(spark, d)
+    tax = F.concat(F.lit("30-"), F.lpad(F.col("provider_id").cast("string"), 8, "0"), F.lit("-1"))
+    rows = inv.select((F.col("l_orderkey") % 1000).alias("boletaNumber"), tax.alias("providerTaxId"), F.col("due_date").alias("dueDate"), "amount")
+    mapping = sheets.mapping_of(None)
+    return sheets.duplicate_keys(sheets.sheet_row(rows, mapping), mapping)
+
+
+@query(f"""WITH {_USE}, e AS (SELECT client_id, event_id, run_at, CASE WHEN k % 10 = 0 THEN 'Error 429: quota exceeded' WHEN provider = 'error' THEN 'timeout' END AS message FROM use_),
+ r AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY run_at DESC, event_id DESC) AS n FROM e WHERE message IS NOT NULL)
+ SELECT client_id, CASE WHEN regexp_matches(message, '(?i)quota|429') THEN 'limited' ELSE 'ok' END AS quota_status, message AS last_error FROM r WHERE n = 1""")
+def q_quota_status(spark: SparkSession, d: str) -> DataFrame:
+    """Quota status of each tenant after its last error."""
+    u = T.usage(spark, d)
+    message = F.when(F.col("k") % 10 == 0, "Error 429: quota exceeded").when(F.col("provider") == "error", "timeout")
+    last = u.select("client_id", "event_id", "run_at", message.alias("m")).where("m is not null").groupBy("client_id").agg(F.max_by("m", F.struct("run_at", "event_id")).alias("last_error"))
+    return last.select("client_id", F.when(F.col("last_error").rlike("(?i)quota|429"), "limited").otherwise("ok").alias("quota_status"), "last_error")
+
+
+@query("""SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events""")
+def q_table_counts(spark: SparkSession, d: str) -> DataFrame:
+    parts = [T.read(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in ("customer", "orders", "lineitem", "events")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {_USE}, m AS (SELECT client_id, provider, CAST(sum(tokens) AS BIGINT) AS t FROM use_ GROUP BY 1, 2)
+ SELECT client_id, string_agg(provider || '=' || CAST(t AS VARCHAR), ',' ORDER BY provider) AS by_provider, CAST(sum(t) AS BIGINT) AS tokens FROM m GROUP BY 1""")
+def q_usage_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Token maps of runs added up key by key."""
+    runs = T.usage(spark, d).groupBy("client_id", F.to_date("run_at").alias("day"), "provider").agg(F.sum("tokens").alias("t"))
+    runs = runs.groupBy("client_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("provider", "t"))).alias("m"))
+    summed = runs.select("client_id", F.explode("m")).groupBy("client_id", "key").agg(F.sum("value").alias("t"))
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "t"))), lambda x: F.concat(x["key"], F.lit("="), x["t"].cast("string"))), ",")
+    return summed.groupBy("client_id").agg(each.alias("by_provider"), F.sum("t").alias("tokens"))
+
+
 # --- extraction ------------------------------------------------------------------------------------
 
 
