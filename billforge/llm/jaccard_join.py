@@ -270,28 +270,50 @@ def _verify(percent: int):
     return run
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Numbers of common tokens of every left with every right set, by products of incidence matrices."""
+    sizes = [len(x) for x in [*left, *right]]
+    every = np.concatenate([np.zeros(0, U64), *left, *right])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, code, held = np.unique(every, return_inverse=True, return_counts=True)
+    shared = held[code] > 1
+    code, owner = code[shared], owner[shared]
+    _, code = np.unique(code, return_inverse=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for begin in range(0, int(code.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(code, [begin, begin + columns])
+        there = np.zeros((len(sizes), columns), np.float32)
+        there[owner[a:b], code[a:b] - begin] = 1
+        out += there[: len(left)] @ there[len(left) :].T
+    return out
+
+
 def _verify_block(percent: int):
-    """Links between the documents of one block that are outside the leader's component and all others."""
+    """Links between the documents of one block that are outside the leader's component and all others.
+
+    Of a document's links to one component, one is enough.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        left = [r for r in rows if r["side"] == 0]
-        sets = {r["doc"]: np.frombuffer(r["s"], U64) for r in rows}
+        rows = table.select(["side", "doc", "n", "component", "s"]).to_pylist()
+        left, right = ([r for r in rows if r["side"] == k] for k in (0, 1))
         a, b = [], []
-        for x in left:
-            for y in rows:
-                n, m = x["n"], y["n"]
-                if y["side"] == 1 and x["component"] != y["component"] and 100 * min(n, m) >= percent * max(n, m):
-                    common = _common(sets[x["doc"]], sets[y["doc"]])
-                    if 100 * common >= percent * (n + m - common):
-                        a.append(x["doc"])
-                        b.append(y["doc"])
+        if left and right:
+            common = _overlaps(*([np.frombuffer(r["s"], U64) for r in side] for side in (left, right)))
+            n, m = (np.array([r["n"] for r in side], np.int64) for side in (left, right))
+            of_x, of_y = (np.array([r["component"] for r in side], np.int64) for side in (left, right))
+            linked = (100 * common >= percent * (n[:, None] + m[None] - common)) & (of_x[:, None] != of_y[None])
+            x, y = np.nonzero(linked)
+            _, first = np.unique(np.stack([x, of_y[y]]), axis=1, return_index=True)
+            a, b = [left[i]["doc"] for i in x[first]], [right[i]["doc"] for i in y[first]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _links(sets: DataFrame, percent: int, pairs_up_to: int, block: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, pairs_up_to: int, list_up_to: int, block: int) -> DataFrame:
     """node, component of the linked documents among distinct sets (doc_id, n, rare, frequent)."""
     keys = cut(sets.mapInArrow(_keys(percent), "k long, doc long, n long"))
     groups = keys.groupBy("k").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum")).where("held > 1")
@@ -321,11 +343,11 @@ def _links(sets: DataFrame, percent: int, pairs_up_to: int, block: int) -> DataF
     open_stars = named.groupBy("leader").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outside")).where("outside > 0")
     todo = cut(named.join(open_stars, "leader"))
     #: few documents: the pairs across components; many: blocks of documents
-    small = todo.where(F.col("all") <= block).groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "component", "out"))).alias("g"))
+    small = todo.where(F.col("all") <= list_up_to).groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "component", "out"))).alias("g"))
     small = small.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.component <> x.component and (x.out or y.out)), y -> struct(x.doc as a, x.n as n_a, y.doc as b, y.n as n_b))))")).alias("p"))
     rest = cut(small.select("p.*").where(near).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     edges = edges.union(verified(rest))
-    todo = todo.where(F.col("all") > block)
+    todo = todo.where(F.col("all") > list_up_to)
     left_of = F.ceil(F.col("outside") / block).cast("int")
     right_of = F.ceil(F.col("all") / block).cast("int")
     todo = todo.withColumn("lb", F.pmod(F.xxhash64("doc"), left_of).cast("int")).withColumn("rb", F.pmod(F.xxhash64(F.lit(1), "doc"), right_of).cast("int"))
@@ -339,14 +361,15 @@ def _links(sets: DataFrame, percent: int, pairs_up_to: int, block: int) -> DataF
     return components(edges.union(late))
 
 
-def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rare: int = 8, pairs_up_to: int = 8, block: int = 64, bucket_tokens: int = 1_000_000) -> DataFrame:
+def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rare: int = 8, pairs_up_to: int = 8, list_up_to: int = 64, block: int = 512, bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs`` (doc_id long, text string; other columns are ignored).
 
     Rows that repeat a doc_id with one text count once. Null, empty and blank
     texts have no shingles and link with nothing; rows without a doc_id are left
     out. An empty table gives an empty result. ``bucket_tokens`` bounds the
-    postings in one counting task, ``pairs_up_to`` the keys whose pairs are listed
-    and ``block`` the documents that meet in one verification task.
+    postings in one counting task, ``pairs_up_to`` the keys whose pairs are
+    listed, ``list_up_to`` the stars whose remaining pairs are listed, and ``block``
+    the documents of each side that meet in one verification task of other stars.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -371,7 +394,7 @@ def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rar
     member = cut(able.select("doc_id", "key").join(same, "key").select("doc_id", "rep"))
     reps = able.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = cut(_shared_tokens(reps.mapInArrow(from_sets, _CHUNK), bits, rare, percent).where("rare is not null"))
-    linked = _links(sets, percent, pairs_up_to, block)
+    linked = _links(sets, percent, pairs_up_to, list_up_to, block)
     named = member.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("c"))
     return every.select("doc_id", "n").join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

@@ -36,7 +36,7 @@ def test_components_equal_brute_force(spark):
     expected = jaccard_components(rows)
     assert linked(spark, rows) == expected
     # small bounds send every key through stars, listed pairs and blocks
-    assert linked(spark, rows, rare=2, pairs_up_to=2, block=4, bucket_tokens=50) == expected
+    assert linked(spark, rows, rare=2, pairs_up_to=2, list_up_to=3, block=4, bucket_tokens=50) == expected
 
 
 def test_components_of_a_table(spark, sf_dir):
