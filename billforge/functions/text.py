@@ -124,7 +124,7 @@ def building_from_lines(lines: Column) -> Column:
         return js_trim(F.regexp_replace(F.regexp_replace(x, "^[^:]*:", ""), r"(?i)^raz.{0,2}n\s*social\s*:\s*", ""))
 
     found = F.transform(lines, lambda x, i: F.struct(F.when(F.lower(x).contains("social") & x.contains(":"), value(x)).alias("v"), i.alias("i")))
-    first = F.element_at(F.filter(found, lambda s: s["v"] != ""), 1)
+    first = F.try_element_at(F.filter(found, lambda s: s["v"] != ""), F.lit(1))
     near = F.filter(F.slice(lines, first["i"] + 2, 7), lambda x: ~is_metadata_line(x) & ~is_numeric_line(x) & has_letters(x))
-    more = F.when(F.size(near) > 0, F.element_at(near, 1))
-    return F.when(is_generic_building(first["v"]), F.concat_ws(" ", first["v"], more)).otherwise(first["v"])
+    more = F.try_element_at(near, F.lit(1))
+    return F.when(first.isNotNull() & is_generic_building(first["v"]), F.concat_ws(" ", first["v"], more)).otherwise(first["v"])
