@@ -6,7 +6,7 @@ from bruteforce import jaccard_components, words
 
 from billforge.llm.jaccard_join import link_components
 from billforge.llm.shared import components
-from billforge.llm.substring_dedup import compact_windows, find_repeats, remove_repeats
+from billforge.llm.substring_dedup import compact_windows, find_repeats, matches, remove_repeats
 
 
 def synthetic(seed=3):
@@ -97,6 +97,51 @@ def test_repeated_passages(spark):
     assert all(len(words(left[i])) == 120 for i in range(1, 30))
 
 
+def has_passage(x, y, width, percent=75):
+    """Brute force: passages that start and end with a shared shingle, over all pairs of intervals."""
+    spans = lambda v: [(a, b) for a in range(len(v)) for b in range(a + width, len(v) + 1)]
+    vocabulary = np.unique(np.r_[x, y])
+    of_x, of_y = spans(x), spans(y)
+    inside = lambda v, some: np.array([np.isin(vocabulary, v[a:b]) for a, b in some], np.float32).reshape(len(some), len(vocabulary))
+    p, q = inside(x, of_x), inside(y, of_y)
+    common = p @ q.T
+    good = 100 * common >= percent * (p.sum(1)[:, None] + q.sum(1)[None] - common)
+    for i, j in zip(*np.nonzero(good), strict=True):
+        (a, b), (c, d) = of_x[i], of_y[j]
+        if {int(x[a]), int(x[b - 1])} <= set(y[c:d].tolist()) and {int(y[c]), int(y[d - 1])} <= set(x[a:b].tolist()):
+            return True
+    return False
+
+
+def test_passages_with_a_long_gap():
+    x = np.arange(96, dtype=np.uint32)
+    y = x.copy()
+    y[42:54] = np.arange(500, 512)  # eight adjacent words of a hundred
+    assert matches(x, y, 46, 75) == [(0, 96, 0, 96)]
+    y = np.r_[x[:44], np.arange(500, 520, dtype=np.uint32), x[44:]]  # an insertion
+    assert (0, 116, 0, 96) in matches(x, y, 46, 75)
+
+
+def test_passages_equal_brute_force():
+    r = random.Random(11)
+    counts = [0, 0]
+    for _ in range(150):
+        x = np.arange(r.randint(20, 34), dtype=np.uint32)
+        y = x.tolist()
+        for _ in range(r.randint(1, 4)):
+            at, n = r.randrange(len(y)), r.randint(1, 5)
+            y[at : at + r.choice([0, n])] = [r.randrange(1000, 10**6) for _ in range(r.choice([0, n]))]
+        y = np.array(y, np.uint32)
+        want = has_passage(x, y, 12)
+        got = matches(x, y, 12, 75)
+        assert bool(got) == want, (x, y)
+        counts[want] += 1
+        for a, b, c, d in got:
+            p, q = set(y[a:b].tolist()), set(x[c:d].tolist())
+            assert b - a >= 12 and d - c >= 12 and 100 * len(p & q) >= 75 * len(p | q)
+    assert min(counts) > 10
+
+
 def test_no_repeats(docs, nothing):
     assert {r["doc_id"] for r in find_repeats(docs).collect()} == set()
     assert find_repeats(nothing).count() == 0
