@@ -142,6 +142,23 @@ def test_passages_equal_brute_force():
     assert min(counts) > 10
 
 
+def test_passages_around_a_common_line(spark):
+    r = random.Random(23)
+    words_of = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    line = words_of(49)
+    rows = {i: words_of(60) + line + words_of(60) for i in range(120)}
+    wanted = set()
+    for i in range(10):  # far apart in id order, with others between them
+        around = [words_of(5), words_of(5)]
+        near = [around[0], around[1]] if i % 2 else [["changed", *around[0][1:]], around[1]]
+        for d, (a, b) in ((3 + i, around), (100 + i, near)):
+            rows[d] = words_of(55) + a + line + b + words_of(55)
+        wanted.add(100 + i)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")
+    for more in ({}, {"block": 16}):
+        assert {x["doc_id"] for x in find_repeats(df.repartition(3), **more).collect()} == wanted
+
+
 def test_no_repeats(docs, nothing):
     assert {r["doc_id"] for r in find_repeats(docs).collect()} == set()
     assert find_repeats(nothing).count() == 0
