@@ -3,8 +3,7 @@
 Recordings become frames of twelve pitch classes. Sixteen filters compare sums of
 rectangles of the frames, read off an integral image, and quantise each to two
 Gray-coded bits: one packed 32-bit integer for each position. Two recordings are
-aligned by the histogram of the offsets of equal integers, and measured by the
-share of different bits at the best offset.
+aligned at the best of all offsets, measured by the share of different bits.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,32 +106,46 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "pcm").mapInArrow(run, "rec_id long, fp array<int>")
 
 
-def _measure(most_errors: float, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2000):
-            keep, errors, lengths = [], [], []
-            for i, r in enumerate(part.select(["offset", "fp_q", "fp_r"]).to_pylist()):
-                q, x, o = np.array(r["fp_q"], np.int32), np.array(r["fp_r"], np.int32), r["offset"]
-                a, b = max(0, -o), max(0, o)
-                n = min(len(q) - a, len(x) - b)
-                if n < least:
-                    continue
-                bits = np.bitwise_count((q[a : a + n] ^ x[b : b + n]).view(np.uint32)).sum() / (32 * n)
-                if bits <= most_errors:
-                    keep.append(i)
-                    errors.append(float(bits))
-                    lengths.append(n)
-            took = part.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column("q"), took.column("r"), took.column("offset"), took.column("hits"), pa.array(lengths, pa.int64()), pa.array(errors, pa.float64())], names=["q", "r", "offset", "hits", "overlap", "bit_error"])
+_FOUND = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("offset", pa.int64()), ("hits", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64())])
+
+
+def _align(most_errors: float, least: int):
+    """Of each pair in a block the best of all offsets that have ``least`` positions in common and few enough errors."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ours, by_size = [], {}
+        for r in table.select(["side", "r", "fp"]).to_pylist():
+            fp = np.array(r["fp"], np.int32).view(np.uint32)
+            (by_size.setdefault(len(fp), []) if r["side"] else ours).append((r["r"], fp))
+        out = []
+        for size, group in by_size.items():
+            ids, x = np.array([i for i, _ in group]), np.stack([fp for _, fp in group])
+            for name, q in ours:
+                best, found = np.zeros(len(ids)), {}
+                for o in range(least - len(q), size - least + 1):
+                    a, b = max(0, -o), max(0, o)
+                    n = min(len(q) - a, size - b)
+                    if n < least:
+                        continue
+                    other = x[:, b : b + n] ^ q[a : a + n]
+                    bits = np.bitwise_count(other).sum(1, dtype=np.int64) / (32 * n)
+                    worth = n * (0.5 - bits)
+                    for i in np.flatnonzero((bits <= most_errors) & (worth > best) & (ids != name)).tolist():
+                        best[i] = worth[i]
+                        found[i] = (name, int(ids[i]), o, int((other[i] == 0).sum()), n, float(bits[i]))
+                out += found.values()
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else _FOUND.empty_table()
 
     return run
 
 
-def search(prints: DataFrame, *, every: int = 100, least_hits: int = 3, most_errors: float = 0.2, least_overlap: int = 16) -> DataFrame:
+def search(prints: DataFrame, *, every: int = 100, most_errors: float = 0.2, least_overlap: int = 16, block: int = 512) -> DataFrame:
     """Alignments of the recordings whose rec_id is divisible by ``every`` with all recordings.
 
     Recordings with equal fingerprints form a class named after its smallest id,
-    and classes are compared once. Rows: rec_id, class_id for each recording with
+    and classes are compared once, in blocks of about ``block`` on each side, at
+    all offsets; of a pair that with the most overlap and the fewest errors, by
+    overlap * (0.5 - bit_error), is told. Rows: rec_id, class_id for each recording with
     a fingerprint, and with them, for each class that a query is in, the matching
     classes: match_id, offset (of the query within the match), hits, overlap and
     bit_error; a recording without a match has nulls there. Only the recording
@@ -145,12 +158,12 @@ def search(prints: DataFrame, *, every: int = 100, least_hits: int = 3, most_err
     member = cut(keyed.select("rec_id", "k").distinct().join(classes, "k").select("rec_id", "class_id", "asked"))
     named = prints.join(member.where("rec_id = class_id").select("rec_id", "asked"), "rec_id").dropDuplicates(["rec_id"])
     reps = cut(named.select(F.col("rec_id").alias("r"), "fp", "asked"))
-    posted = reps.select("r", "asked", F.posexplode("fp").alias("pos", "f"))
-    ours = posted.where("asked").select(F.col("r").alias("q"), F.col("pos").alias("at"), "f")
-    hits = posted.join(ours, "f").where("q <> r").groupBy("q", "r", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    best = Window.partitionBy("q", "r").orderBy(F.desc("hits"), "offset")
-    pairs = hits.where(F.col("hits") >= least_hits).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    fp_q, fp_r = reps.select(F.col("r").alias("q"), F.col("fp").alias("fp_q")), reps.select("r", F.col("fp").alias("fp_r"))
-    found = pairs.join(fp_q, "q").join(fp_r, "r").mapInArrow(_measure(most_errors, least_overlap), "q long, r long, offset int, hits long, overlap long, bit_error double")
+    n_q, n_r = reps.agg(F.count(F.when(F.col("asked"), 1)), F.count(F.lit(1))).first()
+    lefts, rights = -(-n_q // block) or 1, -(-n_r // block) or 1
+    reps = reps.withColumn("lb", F.pmod(F.xxhash64("r"), F.lit(lefts))).withColumn("rb", F.pmod(F.xxhash64(F.lit(1), "r"), F.lit(rights)))
+    left = reps.where("asked").withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rights - 1).cast("long")))).withColumn("side", F.lit(0))
+    right = reps.withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lefts - 1).cast("long")))).withColumn("side", F.lit(1))
+    met = left.unionByName(right).select("lb", "rb", "side", "r", "fp")
+    found = met.groupBy("lb", "rb").applyInArrow(_align(most_errors, least_overlap), "q long, r long, offset long, hits long, overlap long, bit_error double")
     found = found.select(F.col("q").alias("rec_id"), F.col("r").alias("match_id"), "offset", "hits", "overlap", "bit_error")
     return member.select("rec_id", "class_id").join(found, "rec_id", "left").select("rec_id", "class_id", "match_id", F.col("offset").cast(T.LongType()).alias("offset"), "hits", "overlap", "bit_error")

@@ -252,6 +252,23 @@ def test_alignment_finds_the_offset(spark):
     assert chroma.search(chroma.fingerprints(rec.limit(0))).count() == 0
 
 
+def test_alignment_with_many_bit_errors(spark):
+    r = np.random.default_rng(3)
+    prints = [(100 * k, r.integers(0, 2**32, 46, np.uint32)) for k in range(1, 6)]
+    want = set()
+    for i in range(1, 61):
+        q, fp = prints[i % 5]
+        flips = (r.random((46, 32)) < 0.08 + 0.1 * i / 60) @ (1 << np.arange(32, dtype=np.uint64))
+        copy = np.r_[r.integers(0, 2**32, i % 7, np.uint32), fp ^ flips.astype(np.uint32)]
+        prints.append((i, copy))
+        if np.bitwise_count(copy[i % 7 :] ^ fp).sum() <= 0.2 * 46 * 32:
+            want.add((q, i, i % 7))
+    df = spark.createDataFrame([(i, fp.view(np.int32).tolist()) for i, fp in prints], "rec_id long, fp array<int>")
+    for block in (512, 4):
+        got = {(x["rec_id"], x["match_id"], x["offset"]) for x in chroma.search(df, block=block).collect() if x["match_id"]}
+        assert got == want and len(want) > 50
+
+
 def test_render_handles_odd_vectors(spark):
     v = spark.createDataFrame([(1, [0.1, None, -0.5]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
     got = {x["rec_id"]: len(x["pcm"]) for x in chroma.render(v).collect()}
