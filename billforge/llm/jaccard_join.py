@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billforge.llm.shared import components, cut
+from billforge.llm.shared import components, cut, one_text
 from billforge.llm.text import U64, mix, shingles, slices
 
 WINDOW = 3  # places between combined tokens; see step 2
 _CHUNK = "bucket int, kind byte, base long, docs binary, a binary, b binary"
 _CHUNK_PA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("base", pa.int64()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_MOST_BITS = 30
 _RARE, _META, _FREQUENT, _HEAVY = 0, 1, 2, 3
 
 
@@ -64,12 +65,10 @@ def _unpack_docs(base: int, data: bytes, n: int) -> np.ndarray:
 
 def _by_bucket(buckets: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(buckets.astype(np.uint16 if size <= 1 << 16 else np.uint32), kind="stable")
-    ends = np.cumsum(np.bincount(buckets, minlength=size))
-    begin = 0
-    for b, end in enumerate(ends):
-        if end > begin:
-            yield b, order[begin:end]
-        begin = end
+    sorted_ = buckets[order]
+    cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True]) if len(order) else np.zeros(0, np.int64)
+    for begin, end in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield int(sorted_[begin]), order[begin:end]
 
 
 def _doc_bucket(docs: np.ndarray, size: int) -> np.ndarray:
@@ -87,7 +86,7 @@ def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[by
     its documents are told at once and only its count is sent to its bucket, so
     that a token of very many documents doesn't fill a bucket.
     """
-    size = 1 << bits
+    size, cut_off = 1 << bits, max(0, 16 - bits)
     rows = []
     for b, at in _by_bucket(_doc_bucket(docs, size), size):
         rows.append((size + b, _META, 0, docs[at].tobytes(), n[at].tobytes(), b"".join(keys[i] for i in at)))
@@ -106,7 +105,7 @@ def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[by
             rows = []
             if heavy.any():
                 all_of = np.repeat(heavy, held)
-                rows += list(_hits(owner[all_of], (tokens[all_of] >> U64(16 - bits)) << U64(16 - bits), _FREQUENT, size, size))
+                rows += list(_hits(owner[all_of], (tokens[all_of] >> U64(cut_off)) << U64(cut_off), _FREQUENT, size, size))
                 rows += _postings(tokens[first[heavy]], bits, lambda at: (_HEAVY, 0, held[heavy][at].astype(np.int64).tobytes()))
                 tokens, owner = tokens[~all_of], owner[~all_of]
             rows += _postings(tokens, bits, lambda at: (_RARE, *_pack_docs(owner[at])))
@@ -116,16 +115,21 @@ def _emit(docs: np.ndarray, sets: list[np.ndarray], n: np.ndarray, keys: list[by
 
 def _postings(tokens: np.ndarray, bits: int, docs) -> list[tuple]:
     """Rows of the buckets of sorted tokens; ``docs`` gives kind, base and documents of a slice."""
-    ends = np.searchsorted(tokens >> U64(64 - bits), np.arange(1 << bits).astype(U64), "right")
-    out, begin = [], 0
-    for b, end in enumerate(ends.tolist()):
-        if end > begin:
-            rest = (tokens[begin:end] << U64(bits)) >> U64(16)
-            out.append((b, *docs(slice(begin, end)), rest.astype(np.uint32).tobytes(), (rest >> U64(32)).astype(np.uint16).tobytes()))
-        begin = end
+    buckets = (tokens >> U64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True]).tolist() if len(tokens) else []
+    out = []
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        rest = (tokens[begin:end] << U64(bits)) >> U64(16)
+        out.append((int(buckets[begin]), *docs(slice(begin, end)), rest.astype(np.uint32).tobytes(), (rest >> U64(32)).astype(np.uint16).tobytes()))
     return out
 
 
+def _whole(rest: np.ndarray, bucket: int, bits: int) -> np.ndarray:
+    """Tokens from their bucket and the 48 bits after it; with fewer than 16 bucket bits the last ones are zero."""
+    low = rest << U64(16 - bits) if bits <= 16 else rest >> U64(bits - 16)
+    return (U64(bucket) << U64(64 - bits)) | low
+
+
 def _hits(docs: np.ndarray, tokens: np.ndarray, kind: int, size: int, shift: int) -> Iterator[tuple]:
     """Rows that tell buckets of documents their tokens of a kind."""
     for b, at in _by_bucket(_doc_bucket(docs, size), size) if len(docs) else ():
@@ -171,7 +175,7 @@ def _count(bits: int, rare: int):
         held = np.repeat(total, own)
         rows: list[tuple] = []
         for kind, keep in ((_RARE, (held > 1) & (held <= rare)), (_FREQUENT, held > rare)):
-            rows += _hits(docs[keep], (U64(bucket) << U64(64 - bits)) | (tokens[keep] << U64(16 - bits)), kind, size, 0)
+            rows += _hits(docs[keep], _whole(tokens[keep], bucket, bits), kind, size, 0)
         return pa.Table.from_batches([_chunks(rows)] if rows else [], _CHUNK_PA)
 
     return run
@@ -364,7 +368,8 @@ def _links(sets: DataFrame, percent: int, pairs_up_to: int, list_up_to: int, blo
 def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rare: int = 8, pairs_up_to: int = 8, list_up_to: int = 64, block: int = 512, bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs`` (doc_id long, text string; other columns are ignored).
 
-    Rows that repeat a doc_id with one text count once. Null, empty and blank
+    Rows that repeat a doc_id with one text count once, and of different texts with
+    one doc_id that of the least hash stands for it (shared.one_text). Null, empty and blank
     texts have no shingles and link with nothing; rows without a doc_id are left
     out. An empty table gives an empty result. ``bucket_tokens`` bounds the
     postings in one counting task, ``pairs_up_to`` the keys whose pairs are
@@ -372,8 +377,9 @@ def link_components(docs: DataFrame, *, percent: int = 75, shingle: int = 5, rar
     the documents of each side that meet in one verification task of other stars.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = one_text(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4, int(np.ceil(np.log2(max(1, size / 6 / bucket_tokens))))))
+    bits = min(_MOST_BITS, max(4, int(np.ceil(np.log2(max(1, size / 6 / bucket_tokens))))))
 
     def from_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1000):

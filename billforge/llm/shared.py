@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,18 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one under the warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="billforge-shared-")
-    return _own[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-shared-{spark.sparkContext.applicationId}"
 
 
 @contextmanager
@@ -45,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id long, text and others) without rows that repeat a doc_id with another text than that of the least hash.
+
+    Rows that repeat both stay. Only ids and hashes are shuffled, and where no id
+    has two texts, the usual case, there is no join.
+    """
+    hashed = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_least"), F.max(F.xxhash64("text")).alias("_most"))
+    mixed = cut(hashed.where("_least <> _most").select(F.col("doc_id").alias("_id"), "_least"))
+    if mixed.isEmpty():
+        return docs
+    kept = docs.join(mixed, docs["doc_id"] == mixed["_id"], "left").where(F.col("_least").isNull() | (F.xxhash64("text") == F.col("_least")))
+    return kept.select(docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b; long): node, component (its smallest node).
 
