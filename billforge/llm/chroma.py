@@ -96,7 +96,11 @@ def render(embeddings: DataFrame) -> DataFrame:
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """rec_id and fp (packed integers, as array<int>) of ``recordings`` (rec_id, pcm of little-endian 16-bit samples)."""
+    """rec_id and fp (packed integers, as array<int>) of ``recordings`` (rec_id, pcm of little-endian 16-bit samples).
+
+    A null or too short pcm gives an empty fp, an odd last byte is left out, a null
+    rec_id is kept; every row yields one and other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -150,13 +154,15 @@ def search(prints: DataFrame, *, every: int = 100, most_errors: float = 0.2, lea
     classes: match_id, offset (of the query within the match), hits, overlap and
     bit_error; a recording without a match has nulls there. Only the recording
     that names its class carries matches. Null and too short recordings give no
-    rows, repeated rows one.
+    rows, repeated rows one; of different fingerprints with one rec_id that of the
+    least hash stands for it.
     """
     prints = prints.where("rec_id is not null and size(fp) > 0")
-    keyed = prints.withColumn("k", F.sha2(F.array_join("fp", ",").cast("binary"), 256))
+    keyed = prints.select("rec_id", "fp", F.sha2(F.array_join("fp", ",").cast("binary"), 256).alias("k"))
+    keyed = keyed.groupBy("rec_id").agg(F.min(F.struct("k", "fp")).alias("x")).select("rec_id", "x.k", "x.fp")
     classes = keyed.groupBy("k").agg(F.min("rec_id").alias("class_id"), F.max(F.col("rec_id") % every == 0).alias("asked"))
-    member = cut(keyed.select("rec_id", "k").distinct().join(classes, "k").select("rec_id", "class_id", "asked"))
-    named = prints.join(member.where("rec_id = class_id").select("rec_id", "asked"), "rec_id").dropDuplicates(["rec_id"])
+    member = cut(keyed.select("rec_id", "k").join(classes, "k").select("rec_id", "class_id", "asked"))
+    named = keyed.join(member.where("rec_id = class_id").select("rec_id", "asked"), "rec_id")
     reps = cut(named.select(F.col("rec_id").alias("r"), "fp", "asked"))
     n_q, n_r = reps.agg(F.count(F.when(F.col("asked"), 1)), F.count(F.lit(1))).first()
     lefts, rights = -(-n_q // block) or 1, -(-n_r // block) or 1

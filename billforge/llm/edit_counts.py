@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billforge.llm import pretokens
 from billforge.llm.packing import BpeEncoder
 from billforge.llm.text import blocks, slices, text_buffer
 
@@ -28,7 +27,15 @@ class Counter:
         from public_tokenizers import PATTERN
 
         self.bpe = BpeEncoder(tokenizer_path)
-        self.split = regex.compile(PATTERN).findall
+        self.pieces = regex.compile(PATTERN).findall
+        added = [t.decode() for t in self.bpe.special]
+        self.reach = max(map(len, added), default=0)  # characters that an added token may take
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split if added else lambda text: [text]
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text; each added token is one."""
+        parts = self.apart(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))]
 
     def counts(self, parts: list[bytes]) -> list[int]:
         return [len(x) for x in self.bpe.of_words(parts)]
@@ -41,7 +48,7 @@ class Counter:
             begin, words = self.bpe.pieces(part, own)
             n = np.array(self.counts(words.dictionary.to_pylist()) or [0])[words.indices.to_numpy()]
             total = np.r_[0, np.cumsum(n)]
-            easy = pretokens.plain(part, own)
+            easy = self.bpe.easy(part, own)
             first = np.searchsorted(begin, own)
             for d in range(j - i):
                 if easy[d]:
@@ -84,8 +91,10 @@ class TokenTree:
     def _find(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character and the characters before that leaf; the last leaf from the end on."""
         if char >= self.chars:
-            last = max((i for i, t in enumerate(self.texts) if t), default=0)
-            return last, self.chars - int(self.sums[self.size + last][0])
+            node = 1
+            while node < self.size:
+                node = 2 * node + int(self.sums[2 * node + 1][0] > 0)
+            return node - self.size, self.chars - int(self.sums[node][0])
         node, before = 1, 0
         while node < self.size:
             left = int(self.sums[2 * node][0])
@@ -109,12 +118,11 @@ class TokenTree:
         end = min(start + max(length, 0), self.chars)
         first, before = self._find(start)
         last, _ = self._find(max(start, end - 1))
-        i = first - 1
-        while i > 0 and not self.texts[i]:
-            i -= 1
-        if i >= 0:
-            before -= int(self.sums[self.size + i][0])
-            first = i
+        room = 0
+        while first and (not room or room < self.counter.reach):  # a leaf of context, and enough for an added token
+            first -= 1
+            room += int(self.sums[self.size + first][0])
+        before -= room
         old = b"".join(self.texts[first : last + 1]).decode()
         new = old[: start - before] + insert + old[end - before :]
         done = last
@@ -127,7 +135,11 @@ class TokenTree:
                 break
             # a boundary of the text and the leaf ahead, where the leaf begins, lets the rest stand
             parts, at = [], 0
-            for p in self.counter.split(new + self.texts[ahead].decode()):
+            after, more = self.texts[ahead].decode(), ahead + 1
+            while len(after) < self.counter.reach and more < len(self.texts):
+                after += self.texts[more].decode()
+                more += 1
+            for p in self.counter.split(new + after):
                 if at >= len(new):
                     break
                 parts.append(p)

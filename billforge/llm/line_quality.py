@@ -64,22 +64,38 @@ def line_keys(text: Column | str, host: Column | str) -> Column:
     )
 
 
+def _above(lines: DataFrame, most_docs: int) -> DataFrame:
+    """Keys of ``lines`` (doc_id, key) in more than ``most_docs`` distinct documents.
+
+    Distinct pairs are spread by both columns and counted before the keys meet, so
+    that a line of very many documents sends one row for each task.
+    """
+    seen = lines.select("key", F.xxhash64("doc_id").alias("d")).distinct()
+    return seen.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > most_docs).select("key")
+
+
+def _salted(own: DataFrame, above: DataFrame, by: Column, salts: int = 16) -> DataFrame:
+    """The rows of ``own`` whose key is in ``above``, each key spread over ``salts`` tasks."""
+    many = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return own.withColumn("salt", F.pmod(by, F.lit(salts)).cast("int")).join(many, ["key", "salt"])
+
+
 def judge(docs: DataFrame, *, host: str = "source", most_docs: int = 20, least_percent: int = 30) -> DataFrame:
     """doc_id, the base columns, kept, n_removed_lines and n_removed_words of ``docs`` (doc_id, text and the host column).
 
-    Every row is a document and yields a row, also where it repeats another or
-    has a null id or host; a null text has no words and fails the base rules. An
-    empty table gives an empty result.
+    Every row yields a row, also where it repeats another or has a null id or
+    host. Documents of a line are counted by distinct ids, rows without an id being
+    one together; a null text has no words and fails the base rules. An empty
+    table gives an empty result.
     """
     t = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.col(host).alias("host"), t.alias("t"))
     #: equal rows share this key and get equal verdicts
     key = F.struct(F.xxhash64("doc_id", "host", "t").alias("a"), F.xxhash64(F.lit(1), "t", "host", "doc_id").alias("b"))
     ruled = cut(base_rules(rows.select("doc_id", key.alias("row"), line_keys("t", "host").alias("lines"), "t")))
-    seen = ruled.select(F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
-    above = seen.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > most_docs).select("key")
+    above = _above(ruled.select("doc_id", F.explode(F.array_distinct(F.col("lines.key"))).alias("key")), most_docs)
     own = ruled.select("row", "lines").dropDuplicates(["row"]).select("row", F.explode("lines").alias("l")).select("row", "l.key", "l.words")
-    removed = own.join(above, "key").groupBy("row").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("lines"))
+    removed = _salted(own, above, F.col("row.a")).groupBy("row").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("lines"))
     out = ruled.drop("lines").join(removed, "row", "left")
     gone = F.coalesce(F.col("words"), F.lit(0)).cast("long")
     return out.select(
@@ -91,17 +107,21 @@ def judge(docs: DataFrame, *, host: str = "source", most_docs: int = 20, least_p
 
 
 def remove_lines(docs: DataFrame, *, host: str = "source", most_docs: int = 20) -> DataFrame:
-    """``docs`` with frequent lines taken out of ``text``; lines without a word stay, a null text stays null."""
-    key = F.struct(F.xxhash64("doc_id", host, "text").alias("a"), F.xxhash64(F.lit(1), "text", host, "doc_id").alias("b"))
-    keyed = docs.withColumn("_row", key)
-    own = keyed.select("_row", F.array_distinct(line_keys("text", host)["key"]).alias("k"))
-    own = own.select("_row", F.explode("k").alias("key"))
-    above = own.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > most_docs).select("key")
-    gone = own.dropDuplicates(["_row", "key"]).join(above, "key").groupBy("_row").agg(F.collect_set("key").alias("_gone"))
+    """``docs`` with frequent lines taken out of ``text``; lines without a word stay, a null text stays null.
+
+    Documents are counted as in judge; every row stays, columns may have any names.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    key = F.struct(F.xxhash64("row.doc_id", f"row.{host}", "row.text").alias("a"), F.xxhash64(F.lit(1), "row.text", f"row.{host}", "row.doc_id").alias("b"))
+    keyed = row.withColumn("same", key)
+    own = keyed.select("same", F.col("row.doc_id").alias("doc_id"), F.explode(F.array_distinct(line_keys("row.text", f"row.{host}")["key"])).alias("key"))
+    above = _above(own, most_docs)
+    gone = _salted(own.dropDuplicates(["same", "key"]), above, F.col("same.a")).groupBy("same").agg(F.collect_set("key").alias("gone"))
 
     def stays(line: Column) -> Column:
         norm = F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
-        return (norm == "") | ~F.array_contains("_gone", F.xxhash64(F.col(host), norm))
+        return (norm == "") | ~F.array_contains("gone", F.xxhash64(F.col(f"row.{host}"), norm))
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
-    return keyed.join(gone, "_row", "left").withColumn("text", text).select(docs.columns)
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), stays), "\n"))
+    cut_ = keyed.join(gone, "same", "left").withColumn("text", text)
+    return cut_.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -32,7 +32,8 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_path)
-        self.whole.encode_special_tokens = True
+        #: added tokens are found in a text before it is split
+        self.special = {t.content.encode(): i for i, t in self.whole.get_added_tokens_decoder().items()}
         with open(tokenizer_path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.word = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -54,11 +55,22 @@ class BpeEncoder:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = encode(w)
+                ids = [self.special[w]] if w in self.special else encode(w)
                 known[w] = ids
             out.append(ids)
         return out
 
+    def easy(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each document can be split on its bytes: it has known characters alone and no added token."""
+        out = pretokens.plain(data, offsets)
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = False
+                at = raw.find(token, at + 1)
+        return out
+
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """uint32 ids of each text in order; null reads as empty."""
         data, offsets = text_buffer(column)
@@ -73,7 +85,7 @@ class BpeEncoder:
             n = lens[codes]
             end = np.r_[0, np.cumsum(n)]
             tokens = flat[np.repeat(at[codes] - end[:-1], n) + np.arange(end[-1])]
-            easy = pretokens.plain(part, own)
+            easy = self.easy(part, own)
             first = end[np.searchsorted(begin, own)]
             for d in range(j - i):
                 if easy[d]:
@@ -150,21 +162,26 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, *, capacity: int = 2048, group_pieces: int = 8192) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset, in place of columns so named.
 
+    Nulls in doc_id, piece and other columns are kept; an empty table stays empty.
     ``length`` is between 1 and ``capacity``. Groups hold about ``group_pieces``
     pieces each, whatever the size of the table, and pieces of one document or
     repeated rows spread over the groups by hash, so that none grows with a key.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    group = "_g"
+    while group in pieces.columns:
+        group += "_"
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
-    keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id() % 16), F.lit(groups)).cast("int"))
+    keyed = pieces.withColumn(group, F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id() % 16), F.lit(groups)).cast("int"))
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sequence, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
-        table = table.drop_columns(["_g"])
+        table = table.drop_columns([group])
         table = table.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32)))
         return table.append_column("offset", pa.array(offset))
 
-    return keyed.groupBy("_g").applyInArrow(run, out)
+    return keyed.groupBy(group).applyInArrow(run, out)

@@ -50,7 +50,7 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from billforge.llm.warc_derivatives import build, responses
 
     records = build(responses(_read(spark, sf_dir, "pages")))
-    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", F.crc32("block").alias("block_crc32"))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", "concurrent_to", F.crc32("block").alias("block_crc32"))
 
 
 def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,11 +202,12 @@ class Unigram:
 
 
 def encode(docs: DataFrame, model: Unigram) -> DataFrame:
-    """``docs`` with n_tokens, n_byte_tokens and ids (little-endian uint32) in place of ``text``.
+    """``docs`` with n_tokens, n_byte_tokens and ids (little-endian uint32) in place of ``text`` and of columns so named.
 
+    A word of n bytes takes n steps, shared by all words of its length in a block.
     Null and empty texts have no ids; every row yields one, other columns stay.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "n_byte_tokens", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_byte = np.zeros(len(model.pieces), bool)
@@ -221,7 +222,8 @@ def encode(docs: DataFrame, model: Unigram) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: Unigram) -> DataFrame:
-    """``encoded`` (with ids) with its text; null ids give a null text."""
+    """``encoded`` (with ids) with its text, in place of a column so named; null ids give a null text."""
+    encoded = encoded.drop("text")
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,27 +87,40 @@ def _present(chosen: np.ndarray):
     return run
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the classifier; ``x`` is documents by features."""
-    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
-    p, u = x[positive], x[~positive]
-    w = np.zeros(x.shape[1], np.float32)
-    w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(w), np.zeros_like(w)
+def risk(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of the positive texts, and of the negative ones before it is held above zero."""
+    return float(prior * np.logaddexp(0, -g_p).mean()), float(np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean())
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+def gradient(rows: np.ndarray, cols: np.ndarray, width: int, positive: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
+    """Slope of the risk by weights and bias (last); of the negative part alone, turned, where that is below zero.
+
+    ``rows`` and ``cols`` tell which features each text has.
+    """
+    g = w[-1] + np.bincount(rows, w[cols], len(positive))
+    s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    n_p = int(positive.sum())
+    rest_part = np.where(positive, -prior * s / n_p, s / (len(positive) - n_p))
+    if risk(g[positive], g[~positive], prior)[1] < 0:
+        part = -rest_part
+    else:
+        part = rest_part + np.where(positive, prior * (s - 1) / n_p, 0)
+    return np.append(np.bincount(cols, part[rows], width), part.sum())
+
+
+def fit_nnpu(x: np.ndarray | tuple[np.ndarray, np.ndarray, int], positive: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the classifier; ``x`` is documents by features (0 or 1), or the rows and columns of its ones and its width."""
+    rows, cols, width = (*np.nonzero(x), x.shape[1]) if isinstance(x, np.ndarray) else x
+    w = np.zeros(width + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g_p, g_u = p @ w, u @ w
-        rest = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
-        rest_slope = u.T @ sigmoid(g_u) / len(u) - prior * (p.T @ sigmoid(g_p)) / len(p)
-        slope = -rest_slope if rest < 0 else prior * (p.T @ (sigmoid(g_p) - 1)) / len(p) + rest_slope
+        slope = gradient(rows, cols, width, positive, w, prior)
         slope[:-1] += l2 * w[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope * slope
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float32), float(w[-1])
 
 
 def held_to_prior(margins: np.ndarray, bias: float, prior: float) -> float:
@@ -125,14 +138,15 @@ def held_to_prior(margins: np.ndarray, bias: float, prior: float) -> float:
     return low
 
 
-def train(docs: DataFrame, toxic: DataFrame, *, positives: int = 3000, unlabelled: int = 6000, most_features: int = 1024, z: float = 12.0, least_share: float = 0.01) -> Model:
+def train(docs: DataFrame, toxic: DataFrame, *, positives: int = 3000, unlabelled: int = 6000, z: float = 12.0, least_share: float = 0.01) -> Model:
     """Fit on a bounded sample: about ``positives`` toxic and ``unlabelled`` other texts, taken by a hash of their ids.
 
     ``docs`` (doc_id, text) are the texts whose labels may be used; ``toxic``
     (doc_id, toxic 0/1) labels some of them, and its share of ones is the class
-    prior. Features are taken that ``least_share`` of the toxic texts hold and that
-    stand out by ``z`` standard errors (fewer, as the root of the share, where fewer
-    than ``positives`` are known, but 4 at least). Without a toxic label or a telling feature every text gets the prior.
+    prior. Features are taken that ``least_share`` of the toxic or of the other texts
+    hold and whose shares differ, either way, by ``z`` standard errors (fewer, as the
+    root of the share, where fewer than ``positives`` are known, but 4 at least),
+    however many they are. Without a toxic label or a telling feature every text gets the prior.
     """
     docs = docs.select("doc_id", "text").where("text is not null")
     toxic = toxic.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -155,23 +169,25 @@ def train(docs: DataFrame, toxic: DataFrame, *, positives: int = 3000, unlabelle
     share = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     spread = F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     score = (F.col("p") / n_p - F.col("u") / n_u) / spread
-    chosen = counts.where(F.col("p") >= max(3, least_share * n_p)).select("feature", score.alias("z")).where(F.col("z") >= max(4.0, z * (n_p / positives) ** 0.5)).orderBy(F.desc("z"), "feature").limit(most_features)
+    chosen = counts.where((F.col("p") >= max(3, least_share * n_p)) | (F.col("u") >= max(3, least_share * n_u))).select("feature", score.alias("z")).where(F.abs("z") >= max(4.0, z * (n_p / positives) ** 0.5))
     chosen = np.sort(np.array([r["feature"] for r in chosen.collect()], np.int64))
     if not len(chosen):
         return nothing
     rows = sample.mapInArrow(_present(chosen), "positive int, at array<int>").toArrow()
     lists = rows.column("at").combine_chunks()
-    x = np.zeros((rows.num_rows, len(chosen)), np.float32)
-    x[np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = 1
+    of, feature = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
     positive = rows.column("positive").to_numpy() == 1
-    w, bias = fit_nnpu(x, positive, prior)
-    bias = held_to_prior(x[~positive] @ w, bias, prior)
+    w, bias = fit_nnpu((of, feature, len(chosen)), positive, prior)
+    bias = held_to_prior(np.bincount(of, w[feature], len(positive))[~positive], bias, prior)
     return Model(chosen, w, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of ``docs`` and ``score`` from 0 to 1; a null or empty text scores as one without features."""
-    keep = docs.columns if keep is None else keep
+    """The columns ``keep`` (default: all) of ``docs`` and ``score`` from 0 to 1, in place of a column so named.
+
+    A null or empty text scores as one without features; every row gets a score.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     features, weights, bias = model.features, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from billforge.llm.text import slices
 
-_FIELDS = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block binary, page_id long"
-_KINDS = (pa.string(),) * 6 + (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64())
+_FIELDS = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block binary, page_id long, concurrent_to string"
+_KINDS = (pa.string(),) * 6 + (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
 
-_HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|blockquote|pre|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_HIDDEN = ("script", "style", "noscript", "template")
+_BREAK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav title blockquote pre hr".split())
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9]*)")
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in (*_HIDDEN, "title")}
+_HREF = re.compile(r"\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_CONTROL = re.compile(r"[\x00-\x20\x7f]+")
 
 
 def digest(data: bytes) -> str:
@@ -40,41 +40,118 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text: one line for each block element, entities resolved, blank lines left out."""
-    if "-->" in page:
-        page = _COMMENT.sub(" ", page)
-    if "</" in page:
-        page = _HIDDEN.sub(" ", page)
-    lines = _TAG.sub("", _BREAK.sub("\n", page)).split("\n")
-    return "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in lines) if x)
+def scan(page: str) -> tuple[str | None, list[str], str]:
+    """Title (None without one), link targets in order and visible text with line breaks, all with their entities.
+
+    One pass from tag to tag; what is searched for once and not found is not
+    searched for again, so the time grows with the page whatever its openings.
+    Comments and hidden elements give a space, block elements a line break; one
+    that is never closed counts as its opening tag alone, a ``<`` without ``>`` as text.
+    """
+    out: list[str] = []
+    links: list[str] = []
+    title = None
+    absent: set[str] = set()
+
+    def end_of(name: str, start: int) -> tuple[int, int] | None:
+        if name in absent:
+            return None
+        if name == "-->":
+            i = page.find("-->", start)
+            found = (i, i + 3) if i >= 0 else None
+        else:
+            m = _CLOSE[name].search(page, start)
+            found = m.span() if m else None
+        if found is None:
+            absent.add(name)
+        return found
+
+    at, size = 0, len(page)
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        out.append(page[at:i])
+        if page.startswith("<!--", i) and (end := end_of("-->", i + 4)):
+            out.append(" ")
+            at = end[1]
+            continue
+        close = page.find(">", i)
+        if close < 0:
+            at = i
+            break
+        if not (page[i + 1] in "/!" or (page[i + 1].isascii() and page[i + 1].isalpha())):
+            out.append("<")
+            at = i + 1
+            continue
+        m = _NAME.match(page, i + 1, close)
+        name = m[1].lower() if m else ""
+        at = close + 1
+        if page[i + 1] == "/":
+            pass
+        elif name in _HIDDEN:
+            if end := end_of(name, at):
+                out.append(" ")
+                at = end[1]
+        elif name == "title" and title is None:
+            if end := end_of(name, at):
+                title = page[at : end[0]]
+        elif name == "a" and (href := _HREF.search(page, i, close)):
+            links.append(href[1])
+        if name in _BREAK:
+            out.append("\n")
+    out.append(page[at:])
+    return title, links, "".join(out)
+
+
+def plain_text(visible: str) -> str:
+    """Visible text of scan: entities resolved, blank lines left out, white space single."""
+    return "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in visible.split("\n")) if x)
+
+
+def one_line(value: str) -> str:
+    """A field's value with its entities resolved; control characters and white space become single spaces, so no field can start inside it."""
+    return " ".join(_CONTROL.sub(" ", html.unescape(value)).split())
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers in order and payload; a block without a header end is all payload."""
+    """Status line, headers in order and payload; a block without a header end is all payload.
+
+    A line that starts with white space continues the header before it; a line
+    without a colon is no header and is left out.
+    """
     head, end, payload = block.partition(b"\r\n\r\n")
     if not end or not head.startswith(b"HTTP/"):
         return "", [], block
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
+    headers: list[tuple[str, list[str]]] = []
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t"):
+            if headers:
+                headers[-1][1].append(line.strip())
+        elif colon:
+            headers.append((name.strip(), [value.strip()]))
+    return status, [(name, " ".join(values)) for name, values in headers], payload
 
 
 def derivatives(record: dict) -> list[tuple]:
-    """The two derived records of one response (record_id, target_uri, warc_date, block, page_id)."""
+    """The two derived records of one response (record_id, target_uri, warc_date, block, page_id), which name each other."""
     status, headers, payload = split_http(record["block"] or b"")
     page = payload.decode("utf-8", "replace")
     source = digest(payload)
-    title = _TITLE.search(page)
+    title, links, visible = scan(page)
     fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", source)]
-    if title:
-        fields.append(("title", " ".join(html.unescape(title[1]).split())))
-    fields += [("outlink", html.unescape(x)) for x in _LINK.findall(page)]
-    metadata = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    text = plain_text(page).encode()
+    if title is not None:
+        fields.append(("title", title))
+    fields += [("outlink", x) for x in links]
+    metadata = "".join(f"{one_line(k)}: {one_line(v) if k in ('title', 'outlink') else _CONTROL.sub(' ', v)}\r\n" for k, v in fields).encode()
+    text = plain_text(visible).encode()
     refers = record["record_id"]
+    ids = {kind: record_id(kind, refers or "", source) for kind in ("metadata", "conversion")}
     out = []
-    for kind, media, block in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", text)):
-        out.append((kind, record_id(kind, refers or "", source), refers, record["target_uri"], record["warc_date"], media, len(block), digest(block), source, block, record["page_id"]))
+    for kind, other, media, block in (("metadata", "conversion", "application/warc-fields", metadata), ("conversion", "metadata", "text/plain; charset=utf-8", text)):
+        out.append((kind, ids[kind], refers, record["target_uri"], record["warc_date"], media, len(block), digest(block), source, block, record["page_id"], ids[other]))
     return out
 
 
@@ -108,8 +185,12 @@ def build(records: DataFrame) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """``records`` with ``record``: the bytes of each as it stands in a WARC 1.1 file; absent fields are left out."""
+    """``records`` with ``record``: the bytes of each as it stands in a WARC 1.1 file; absent fields are left out.
+
+    WARC allows no concurrent id on conversion records, so only the metadata names the other.
+    """
     names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
     lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.col(c).cast("string"))) for n, c in names]
+    lines.append(F.when(F.col("record_type") == "metadata", F.concat(F.lit("WARC-Concurrent-To: "), F.col("concurrent_to"))))
     head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines, F.lit(""), F.lit(""))
     return records.withColumn("record", F.concat(head.cast("binary"), F.col("block"), F.lit("\r\n\r\n").cast("binary")))

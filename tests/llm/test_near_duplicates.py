@@ -159,6 +159,42 @@ def test_passages_around_a_common_line(spark):
         assert {x["doc_id"] for x in find_repeats(df.repartition(3), **more).collect()} == wanted
 
 
+def test_rows_with_one_id(spark):
+    r = random.Random(8)
+    words_of = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    passage = words_of(70)
+    rows = [(1, f"{words_of(9)} {passage}"), (2, passage + " " + words_of(9)), (2, None), (2, "short"), *[(3, f"{words_of(5)} {passage}")] * 2, (None, passage)]
+    df = spark.createDataFrame([(d, t, [d], "x", 9) for d, t in rows], "doc_id long, text string, spans array<long>, _spans string, row int")
+    left = remove_repeats(df, find_repeats(df))
+    assert left.columns == df.columns and left.count() == len(rows)
+    kept = {(x["doc_id"], x["text"]) for x in left.collect()}
+    assert (1, rows[0][1]) in kept and (2, None) in kept and (2, "short") in kept and (None, passage) in kept
+    assert not any(d == 3 and passage in t for d, t in kept)
+    # of different texts with one id, one stands for it in op10 too
+    sizes = {x["doc_id"]: x["n_shingles"] for x in link_components(df).collect()}
+    assert sizes[2] in (1, 75) and sizes[3] in {len({tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}) for d, t in rows if d == 3}
+
+
+def test_near_copies_are_found(spark):
+    r = random.Random(29)
+    rows, wanted = [], set()
+    for i in range(120):
+        base = [f"v{r.randrange(10**6)}" for _ in range(120)]
+        near = list(base)
+        for at in r.sample(range(len(near)), 2 + i % 2):  # every edit changes five shingles
+            near[at] = "changed"
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(near))]
+        if 100 * len(set(zip(*(base[k:] for k in range(5)), strict=False)) & set(zip(*(near[k:] for k in range(5)), strict=False))) >= 75 * 131:
+            wanted.add(1000 + i)
+    got = {x["doc_id"] for x in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & wanted) >= 0.97 * len(wanted) and len(wanted) > 50
+
+
+def test_many_buckets(spark):
+    rows = synthetic(7)
+    assert linked(spark, rows, bucket_tokens=1e-3) == jaccard_components(rows)
+
+
 def test_no_repeats(docs, nothing):
     assert {r["doc_id"] for r in find_repeats(docs).collect()} == set()
     assert find_repeats(nothing).count() == 0

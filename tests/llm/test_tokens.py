@@ -17,7 +17,6 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -125,6 +124,30 @@ def test_edits_equal_encoding_anew(reference):
             assert tree.text() == text and tree.tokens == len(reference(text)) and tree.chars == len(text)
 
 
+def test_edits_around_added_tokens(reference):
+    r = random.Random(3)
+    parts = ["<|endof", "text|>", "<|endoftext|>", "a ", "don't ", "  ", "日", " 12", "\n", "<|", "|>", "endoftext"]
+    counter = edit_counts.Counter(BPE)
+    for _ in range(100):
+        s = "".join(r.choice(parts) for _ in range(r.randint(0, 300)))
+        tree = edit_counts.TokenTree(next(iter(counter.leaves(pa.array([s]), 4))), counter, 4)
+        for _ in range(6):
+            a, n, more = r.randint(0, len(s) + 2), r.randint(0, 12), "".join(r.choice(parts) for _ in range(r.randint(0, 3)))
+            tree.edit(a, n, more)
+            a = min(a, len(s))
+            s = s[:a] + more + s[a + n :]
+            assert tree.text() == s and tree.tokens == len(reference(s))
+
+
+def test_clashing_names(spark, unigram):
+    df = spark.createDataFrame([(1, "some text", 5, 6, 7, 8)], "doc_id long, text string, n_tokens int, ids int, offset int, _g int")
+    back = decode(encode(df, unigram).withColumn("text", F.lit("x")), unigram).first()
+    assert back["text"] == "some text" and back["offset"] == 7
+    pieces = packing.tokenize(df, BPE).withColumns({"offset": F.lit(3), "_g": F.lit(4), "sequence_id": F.lit(5)})
+    placed = packing.pack(pieces).collect()
+    assert [(x["offset"], x["_g"]) for x in placed] == [(0, 4)]
+
+
 def test_edit_encodes_a_part_only():
     counter = edit_counts.Counter(BPE)
     text = "some words of a long text " * 2000
