@@ -46,6 +46,11 @@ def abbreviation_patterns() -> list[tuple[str, str]]:
     return [(rf"\b{short.rstrip('!')}\b" if short.endswith("!") else rf"\b{short}\.?\b", full) for short, full in ABBREVIATIONS]
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of ``c``, which is evaluated once however often the body names it; the optimiser doesn't fold it back."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def sub(c: Column, pattern: str, by: str = "") -> Column:
     """Replace all matches, regardless of case; \\b is an ASCII word edge."""
     return F.regexp_replace(c, "(?i)" + pattern.replace(r"\b", _EDGE), by)
@@ -76,21 +81,26 @@ def building_name(raw: Column) -> Column:
 
     Applying it twice may take off more, so normalise once.
     """
+    def told_name(name: Column) -> Column:
+        for p in POSTAL:
+            name = sub(name, p)
+        name = js_trim(name)
+        for p in FLOOR:
+            name = sub(name, p)
+        return sub(js_trim(name), SUFFIX, "$1")
+
+    def parts(name: Column, kindless: Column) -> Column:
+        return let(
+            F.struct(js_trim(sub(kindless, NOISE)).alias("told"), F.when(kindless != "", kindless).otherwise(name).alias("rest")),
+            lambda x: let(
+                F.struct(spaced(F.regexp_extract(x["told"], r"^(.*?)([0-9][0-9/-]*)", 1)).alias("street"), F.regexp_extract(x["told"], r"^(.*?)([0-9]+)[0-9/-]*", 2).alias("number"), x["rest"].alias("rest")),
+                lambda y: F.when((y["street"] != "") & (y["number"] != ""), F.concat(y["street"], F.lit(" "), y["number"])).otherwise(spaced(y["rest"])),
+            ),
+        )
+
     start = js_trim(F.coalesce(raw, F.lit("")))
-    bare = without_prefix(start)
-    name = without_zeros(expanded(F.when(bare != "", bare).otherwise(start)))
-    for p in POSTAL:
-        name = sub(name, p)
-    name = js_trim(name)
-    for p in FLOOR:
-        name = sub(name, p)
-    name = sub(js_trim(name), SUFFIX, "$1")
-    kindless = js_trim(sub(name, STREET_KIND))
-    told = js_trim(sub(kindless, NOISE))
-    street = spaced(F.regexp_extract(told, r"^(.*?)([0-9][0-9/-]*)", 1))
-    number = F.regexp_extract(told, r"^(.*?)([0-9]+)[0-9/-]*", 2)
-    fallback = spaced(F.when(kindless != "", kindless).otherwise(name))
-    return F.upper(F.when((street != "") & (number != ""), F.concat(street, F.lit(" "), number)).otherwise(fallback))
+    full = let(start, lambda s: let(without_prefix(s), lambda bare: F.when(bare != "", bare).otherwise(s)))
+    return F.upper(let(told_name(without_zeros(expanded(full))), lambda name: let(js_trim(sub(name, STREET_KIND)), lambda kindless: parts(name, kindless))))
 
 
 def tokens_text(c: Column) -> Column:

@@ -1,52 +1,106 @@
-"""Entity resolution: exact, substring and alias joins, and the cascade over them."""
+"""Entity resolution: tax ids, exact names, contained words and aliases, as rules in turn over what is left."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billforge.functions import address as A
 
+Rule = Callable[[DataFrame], DataFrame]
+
+
+def _grams(text: Column) -> Column:
+    """All pieces of one to three characters of a text, once each."""
+    def of(n: int) -> Column:
+        ends = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(ends, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
-def substring_matches(docs: DataFrame, dim: DataFrame, on: str, text: str = "match_text", words: str = "match_words") -> DataFrame:
-    """Rows of ``docs`` with every ``dim`` row of the same ``on`` whose words are all substrings of the text.
 
-    The equi key makes it a hash join with the substring test as a residual.
+def _pieces(word: Column) -> Column:
+    """The pieces of three characters of a word, or a shorter word itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(word, i, F.lit(3)))
+
+
+def contained(texts: DataFrame, words: DataFrame, on: str) -> DataFrame:
+    """text_id and words_id of all pairs of one ``on`` in which every word is a substring of the text.
+
+    ``texts`` has the tenant, text_id and text, ``words`` the tenant, words_id and
+    an array of words. A text holds all pieces of the words it contains, so both
+    meet at the words' piece that the fewest texts of the tenant hold, and only
+    these pairs are tested. An array without words or null matches nothing.
     """
-    return docs.join(dim, on).where(A.all_within(F.col(words), F.col(text)))
+    held = texts.select(on, "text_id", F.explode(_grams(F.col("text"))).alias("gram"))
+    counts = held.groupBy(on, "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = words.select(on, "words_id", F.explode(F.array_distinct(F.flatten(F.transform("words", _pieces)))).alias("gram"))
+    rarest = own.join(counts, [on, "gram"], "left").groupBy(on, "words_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pairs = rarest.join(held, [on, "gram"]).select("text_id", "words_id")
+    met = pairs.join(texts.select("text_id", "text"), "text_id").join(words.select("words_id", "words"), "words_id")
+    return met.where(A.all_within(F.col("words"), F.col("text"))).select("text_id", "words_id")
 
 
-def alias_hit(name: Column, text: Column, aliases: Column) -> Column:
-    """Whether an alias equals the normalised name, lies within the text, or holds all words of the name.
+def by_tax_id(docs: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """doc_id and match_id by the first tax id of a document that a row of the tenant has; of several rows the smallest id.
 
-    ``aliases`` is an array of structs (name, text, words) prepared once per dimension row.
+    ``docs`` has tax_ids (digits, in order), ``dim`` match_id and tax_id (digits).
     """
-    own = A.tokens(A.tokens_text(name))
-    return F.exists(
-        aliases,
-        lambda a: ((name != "") & (a["name"] == name))
-        | ((F.size(a["words"]) > 0) & A.all_within(a["words"], text))
-        | ((name != "") & (F.size(own) > 0) & A.all_within(own, a["text"])),
-    )
+    asked = docs.select(on, "doc_id", F.posexplode("tax_ids").alias("at", "tax_id"))
+    hits = asked.join(dim.select(on, "match_id", "tax_id"), [on, "tax_id"])
+    return hits.groupBy("doc_id").agg(F.min(F.struct("at", "match_id")).alias("m")).select("doc_id", "m.match_id")
+
 
+def by_name(docs: DataFrame, dim: DataFrame, on: str, name: str = "name") -> DataFrame:
+    """doc_id and match_id where the tenant has a row of the same name; blank names match nothing."""
+    named = dim.where(F.col(name) != "").groupBy(on, name).agg(F.min("match_id").alias("match_id"))
+    return docs.join(named, [on, name]).select("doc_id", "match_id")
 
-def prepared(aliases: Column) -> Column:
-    return F.transform(aliases, lambda x: F.struct(A.building_name(x).alias("name"), A.match_text(x).alias("text"), A.tokens(A.match_text(x)).alias("words")))
 
+def by_words(docs: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """doc_id and match_id where a document's text holds all words of a row (match_id, words)."""
+    hits = contained(docs.select(on, F.col("doc_id").alias("text_id"), F.col("text")), dim.select(on, F.col("match_id").alias("words_id"), "words"), on)
+    return hits.select(F.col("text_id").alias("doc_id"), F.col("words_id").alias("match_id"))
 
-def first_hit(candidates: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One candidate of each key: the first by rule, position and tie-break. Candidates of one key are few."""
-    return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+def by_alias(docs: DataFrame, aliases: DataFrame, on: str) -> DataFrame:
+    """doc_id and match_id where an alias equals the name, lies within the text, or holds all words of the name.
+
+    ``aliases`` has one row for each alias: match_id, alias_id, name, text and words.
+    """
+    same = by_name(docs, aliases, on)
+    inside = contained(docs.select(on, F.col("doc_id").alias("text_id"), "text"), aliases.select(on, F.col("alias_id").alias("words_id"), "words"), on)
+    around = contained(aliases.select(on, F.col("alias_id").alias("text_id"), "text"), docs.select(on, F.col("doc_id").alias("words_id"), A.tokens(A.tokens_text(F.col("name"))).alias("words")), on)
+    pairs = inside.select(F.col("text_id").alias("doc_id"), F.col("words_id").alias("alias_id")).union(around.select("words_id", "text_id"))
+    return same.union(pairs.join(aliases.select("alias_id", "match_id"), "alias_id").select("doc_id", "match_id"))
+
+
+def by_part_of_name(docs: DataFrame, dim: DataFrame, on: str, *, least: int = 5) -> DataFrame:
+    """doc_id and match_id where a row's name holds a document's name of ``least`` characters or more, or that holds the row's first ``least``.
+
+    Names are normalised on both sides; blank ones match nothing.
+    """
+    long = docs.where(F.length("name") >= least)
+    rows = dim.where(F.col("name") != "")
+    within = contained(rows.select(on, F.col("match_id").alias("text_id"), F.col("name").alias("text")), long.select(on, F.col("doc_id").alias("words_id"), F.array("name").alias("words")), on)
+    starts = rows.select(on, F.substring("name", 1, least).alias("start"), "match_id")
+    first = starts.groupBy(on, "start").agg(F.min("match_id").alias("match_id"))
+    holds = contained(long.select(on, F.col("doc_id").alias("text_id"), F.col("name").alias("text")), first.select(on, F.col("match_id").alias("words_id"), F.array("start").alias("words")), on)
+    return within.select(F.col("words_id").alias("doc_id"), F.col("text_id").alias("match_id")).union(holds.select("text_id", "words_id"))
 
 
-def cascade(docs: DataFrame, rules: list[tuple[int, DataFrame]], key: str) -> DataFrame:
-    """``docs`` with the match of the first rule that has one; each rule's frame has the key and match_id.
+def in_turn(docs: DataFrame, rules: list[tuple[int, Rule]], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, match_id and rule of the documents that a rule matches: each rule sees only what those before it left.
 
-    A rule's matches shrink to their smallest id per document before rules meet.
+    Of several matches of one rule the smallest id is taken. ``settle`` writes a
+    rule's result, so that no later rule computes it again.
     """
-    parts = [m.groupBy(key).agg(F.min("match_id").alias("match_id")).withColumn("rule", F.lit(n)) for n, m in rules]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = every.groupBy(key).agg(F.min(F.struct("rule", "match_id")).alias("best"))
-    return docs.join(best, key, "left").withColumn("match_id", F.col("best.match_id")).withColumn("rule", F.col("best.rule")).drop("best")
+    found = None
+    for number, rule in rules:
+        left = docs if found is None else docs.join(found.select("doc_id"), "doc_id", "left_anti")
+        mine = settle(rule(left).groupBy("doc_id").agg(F.min("match_id").alias("match_id")).withColumn("rule", F.lit(number)))
+        found = mine if found is None else found.union(mine)
+    return found

@@ -253,68 +253,143 @@ def q_address_norm(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("p_partkey", "raw", A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("match_text"))
 
 
-# Every ninth part names a building of the dimension: the canonical name and aliases packed with bars.
-_DIM_SQL = "dim AS (SELECT p_partkey AS building_id, client_id, name AS canonical, match_text AS dim_text FROM named WHERE p_partkey % 9 = 0)"
+# Parts of two types are the directory: those of type ECONOMY name buildings, those of type SMALL are aliases of buildings.
+_DIM_SQL = """num AS (SELECT named.*, p_type, p_size FROM named JOIN part USING (p_partkey)),
+ dim AS (SELECT p_partkey AS building_id, client_id, name AS canonical, list_filter(string_split(%s, ' '), lambda w: w <> '') AS words, '30' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '7' AS cuit FROM num WHERE p_type = 'ECONOMY'),
+ al AS (SELECT p_partkey AS building_id, client_id, name AS a_name, match_text AS a_text FROM num WHERE p_type = 'SMALL'),
+ tax AS (SELECT p_partkey, client_id, i, '30' || lpad(CAST(p_partkey + 25 * i AS VARCHAR), 8, '0') || '7' AS cuit FROM num, range(1, 3) AS r(i) WHERE p_size <= 10)""" % (
+    "trim(regexp_replace(regexp_replace(upper(" + _sql_subs(_sql_expanded("name"), [(A.LEADING_ZEROS, "$1")]) + "), '[^A-ZÁÉÍÓÚÑ0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+)
+_ALL_WORDS = "len(words) > 0 AND list_bool_and(list_transform(words, lambda w: contains(match_text, w)))"
+_R0_SQL = "SELECT p_partkey, min_by(building_id, i * 1000000000 + building_id) AS building_id FROM tax JOIN dim ON dim.client_id = tax.client_id AND dim.cuit = tax.cuit GROUP BY 1"
+_R1_SQL = "SELECT p_partkey, min(building_id) AS building_id FROM named JOIN dim ON dim.client_id = named.client_id AND name = canonical AND name <> '' GROUP BY 1"
+_R2_SQL = f"SELECT p_partkey, min(building_id) AS building_id, count(*) AS n_matches FROM named JOIN dim ON dim.client_id = named.client_id AND {_ALL_WORDS} GROUP BY 1"
+_R3_SQL = """SELECT named.p_partkey, min(building_id) AS building_id FROM named JOIN al ON al.client_id = named.client_id AND (name = a_name AND name <> ''
+ OR (a_text <> '' AND list_bool_and(list_transform(string_split(a_text, ' '), lambda w: contains(match_text, w)))) OR (name <> '' AND list_bool_and(list_transform(string_split(name, ' '), lambda w: contains(a_text, w))))) GROUP BY 1"""
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    raw = _raw_addresses(spark, d)
-    return raw.select("p_partkey", "client_id", "raw", A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("match_text"))
+    """Documents with their names normalised, written once: doc_id, client_id, name, text, tax_ids, kind."""
+    raw = _raw_addresses(spark, d).join(T.read(spark, d, "part").select("p_partkey", "p_type", "p_size"), "p_partkey")
+    ids = F.transform(F.array(F.lit(1), F.lit(2)), lambda i: _cuit(F.col("p_partkey") + 25 * i))
+    return T.settled(
+        raw.select(
+            F.col("p_partkey").alias("doc_id"), F.col("client_id"), A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("text"),
+            F.when(F.col("p_size") <= 10, ids).otherwise(F.array().cast("array<string>")).alias("tax_ids"), F.col("p_type").alias("kind"),
+        )
+    )
 
 
-def _dim(named: DataFrame) -> DataFrame:
-    return named.where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("building_id"), "client_id", F.col("name").alias("canonical"), F.col("match_text").alias("dim_text"))
+def _cuit(k: F.Column) -> F.Column:
+    return K.digits(F.concat(F.lit("30-"), F.lpad(k.cast("string"), 8, "0"), F.lit("-7")))
 
 
-@query(f"WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} SELECT p_partkey, min(building_id) AS building_id FROM named JOIN dim ON dim.client_id = named.client_id AND name = canonical GROUP BY 1")
-def q_match_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _exact(_named(spark, d))
+def _buildings(named: DataFrame) -> DataFrame:
+    """The directory: match_id, name, words as the substring match reads them, tax id."""
+    return named.where("kind = 'ECONOMY'").select(F.col("doc_id").alias("match_id"), "client_id", "name", A.tokens(A.match_text(F.col("name"))).alias("words"), _cuit(F.col("doc_id")).alias("tax_id"))
 
 
-def _exact(named: DataFrame) -> DataFrame:
-    dim = _dim(named).withColumnRenamed("canonical", "name")
-    return named.join(dim, ["client_id", "name"]).groupBy("p_partkey").agg(F.min("building_id").alias("building_id"))
+def _aliases(named: DataFrame) -> DataFrame:
+    """Aliases, one row each, read from names packed with bars."""
+    packed = named.where("kind = 'SMALL'").select(F.col("doc_id").alias("match_id"), "client_id", "name", "text")
+    return packed.select("match_id", F.col("match_id").alias("alias_id"), "client_id", "name", "text", A.tokens(F.col("text")).alias("words"))
 
 
-@query(f"""WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} SELECT p_partkey, min(building_id) AS building_id, count(*) AS n_matches FROM named JOIN dim ON dim.client_id = named.client_id
- AND coalesce(list_bool_and(list_transform(list_filter(string_split(canonical, ' '), lambda w: w <> ''), lambda w: contains(match_text, w))), true) GROUP BY 1""")
-def q_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """All words of a canonical name are substrings of the raw one, within a tenant."""
-    return _fuzzy(_named(spark, d)).groupBy("p_partkey").agg(F.min("building_id").alias("building_id"), F.count(F.lit(1)).alias("n_matches"))
+_BUILDING_RULES = [
+    (0, lambda dims: lambda docs: match.by_tax_id(docs, dims[0], "client_id")),
+    (1, lambda dims: lambda docs: match.by_name(docs, dims[0], "client_id")),
+    (2, lambda dims: lambda docs: match.by_words(docs, dims[0], "client_id")),
+    (3, lambda dims: lambda docs: match.by_alias(docs, dims[1], "client_id")),
+]
 
 
-def _fuzzy(named: DataFrame) -> DataFrame:
-    dim = _dim(named).select("building_id", "client_id", A.tokens(F.col("canonical")).alias("match_words"))
-    return match.substring_matches(named, dim, "client_id")
+def _by_rule(spark: SparkSession, d: str, number: int) -> DataFrame:
+    named = _named(spark, d)
+    hits = _BUILDING_RULES[number][1]((_buildings(named), _aliases(named)))(named)
+    return hits.groupBy(F.col("doc_id").alias("p_partkey")).agg(F.min("match_id").alias("building_id"), F.count(F.lit(1)).alias("n_matches"))
 
 
-@query(f"""WITH {_RAW_SQL}, {_NAME_SQL}, al AS (SELECT p_partkey AS building_id, client_id, name AS a_name, match_text AS a_text FROM named WHERE p_partkey % 11 = 0)
- SELECT named.p_partkey, min(building_id) AS building_id FROM named JOIN al ON al.client_id = named.client_id AND (name = a_name
- OR list_bool_and(list_transform(string_split(a_text, ' '), lambda w: contains(match_text, w))) OR list_bool_and(list_transform(string_split(name, ' '), lambda w: contains(a_text, w)))) GROUP BY 1""")
-def q_match_alias(spark: SparkSession, d: str) -> DataFrame:
-    """An alias equals the name, lies within the raw text, or holds all words of the name."""
-    return _alias(_named(spark, d)).groupBy("p_partkey").agg(F.min("building_id").alias("building_id"))
+@query(f"WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} {_R0_SQL}")
+def q_match_tax_id(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings by the first tax id of a document that the tenant's directory has."""
+    return _by_rule(spark, d, 0).drop("n_matches")
+
+
+@query(f"WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} {_R1_SQL}")
+def q_match_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _by_rule(spark, d, 1).drop("n_matches")
+
+
+@query(f"WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} {_R2_SQL}")
+def q_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """All words of a canonical name, expanded and cleaned as the raw one is, are substrings of that, within a tenant."""
+    return _by_rule(spark, d, 2)
 
 
-def _alias(named: DataFrame) -> DataFrame:
-    packed = named.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("building_id"), "client_id", F.concat(F.lit(" | "), "raw").alias("packed"))
-    dim = packed.select("building_id", "client_id", match.prepared(A.packed_list(F.col("packed"))).alias("aliases"))
-    return named.join(dim, "client_id").where(match.alias_hit(F.col("name"), F.col("match_text"), F.col("aliases")))
+@query(f"WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL} {_R3_SQL}")
+def q_match_alias(spark: SparkSession, d: str) -> DataFrame:
+    """An alias equals the name, lies within the raw text, or holds all words of the name."""
+    return _by_rule(spark, d, 3).drop("n_matches")
 
 
-@query(f"""WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL}, al AS (SELECT p_partkey AS building_id, client_id, name AS a_name, match_text AS a_text FROM named WHERE p_partkey % 11 = 0),
- c AS (SELECT p_partkey, 1 AS rule, building_id FROM named JOIN dim ON dim.client_id = named.client_id AND name = canonical
- UNION ALL SELECT p_partkey, 2, building_id FROM named JOIN dim ON dim.client_id = named.client_id AND coalesce(list_bool_and(list_transform(list_filter(string_split(canonical, ' '), lambda w: w <> ''), lambda w: contains(match_text, w))), true)
- UNION ALL SELECT named.p_partkey, 3, building_id FROM named JOIN al ON al.client_id = named.client_id AND (name = a_name
- OR list_bool_and(list_transform(string_split(a_text, ' '), lambda w: contains(match_text, w))) OR list_bool_and(list_transform(string_split(name, ' '), lambda w: contains(a_text, w))))),
- w AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY rule, building_id) AS n FROM c)
+@query(f"""WITH {_RAW_SQL}, {_NAME_SQL}, {_DIM_SQL}, c AS (SELECT 0 AS rule, * FROM ({_R0_SQL}) UNION ALL SELECT 1, * FROM ({_R1_SQL}) UNION ALL SELECT 2, p_partkey, building_id FROM ({_R2_SQL}) UNION ALL SELECT 3, * FROM ({_R3_SQL})),
+ w AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY rule) AS n FROM c)
  SELECT named.p_partkey, w.building_id, CAST(w.rule AS BIGINT) AS rule, CASE WHEN w.rule IS NULL THEN 'unassigned' ELSE 'scanned' END AS route FROM named LEFT JOIN w ON w.p_partkey = named.p_partkey AND w.n = 1""")
 def q_match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Exact, then substring, then alias match; the rest is routed as unassigned."""
+    """Tax id, then exact, substring and alias match, each on what is left; the rest is routed as unassigned."""
     named = _named(spark, d)
-    rules = [(i + 1, m.select("p_partkey", F.col("building_id").alias("match_id"))) for i, m in enumerate((_exact(named), _fuzzy(named), _alias(named)))]
-    out = match.cascade(named.select("p_partkey"), rules, "p_partkey")
-    return out.select("p_partkey", F.col("match_id").alias("building_id"), F.col("rule").cast("long").alias("rule"), F.when(F.col("rule").isNull(), "unassigned").otherwise("scanned").alias("route"))
+    dims = (T.settled(_buildings(named)), _aliases(named))
+    best = match.in_turn(named, [(n, rule(dims)) for n, rule in _BUILDING_RULES], T.settled)
+    out = named.select("doc_id").join(best, "doc_id", "left")
+    return out.select(F.col("doc_id").alias("p_partkey"), F.col("match_id").alias("building_id"), F.col("rule").cast("long").alias("rule"), F.when(F.col("rule").isNull(), "unassigned").otherwise("scanned").alias("route"))
+
+
+# Suppliers as vendors with a trade, a number and a legal form; lines of orders name one, or a part of its name, or give a tax id.
+_TRADES = ("Ascensores", "Plomeria", "Electricidad", "Gas Natural", "Limpieza", "Seguros", "Pintura", "Cerrajeria")
+_VENDOR_SQL = f"""v AS (SELECT s_suppkey AS vendor_id, s_nationkey AS client_id, list_extract({list(_TRADES)}, CAST(s_suppkey % 8 AS INTEGER) + 1) || ' ' || CAST(s_suppkey AS VARCHAR) AS name,
+  '30' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '1' AS cuit, 'obra ' || CAST(s_suppkey * 7 AS VARCHAR) AS alias FROM supplier),
+ vd AS (SELECT o_orderkey, c_nationkey AS client_id, CASE WHEN o_totalprice < 60000 THEN ['30' || lpad(CAST(c_custkey % 100 AS VARCHAR), 8, '0') || '1', '30' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 8, '0') || '1'] ELSE [] END AS tax_ids,
+  '30' || lpad(CAST(c_custkey % 100 AS VARCHAR), 8, '0') || '1' AS building_cuit,
+  lower(CASE o_orderstatus WHEN 'O' THEN list_extract({list(_TRADES)}, CAST(o_custkey % 8 AS INTEGER) + 1) || ' ' || CAST(o_custkey % 100 AS VARCHAR) WHEN 'F' THEN 'Obra ' || CAST(o_custkey % 100 * 7 AS VARCHAR)
+   ELSE 'para ' || list_extract({list(_TRADES)}, CAST(o_orderkey % 8 AS INTEGER) + 1) || ' urgente' END) AS name FROM orders JOIN customer ON o_custkey = c_custkey),
+ c AS (SELECT o_orderkey, 0 AS rule, min_by(vendor_id, i * 1000000000 + vendor_id) AS vendor_id FROM (SELECT o_orderkey, client_id, building_cuit, unnest(tax_ids) AS t, generate_subscripts(tax_ids, 1) AS i FROM vd) AS x JOIN v ON v.client_id = x.client_id AND v.cuit = t AND t <> building_cuit GROUP BY 1
+ UNION ALL SELECT o_orderkey, 2, min(vendor_id) FROM vd JOIN v ON v.client_id = vd.client_id AND (lower(v.name) = vd.name OR v.alias = vd.name) GROUP BY 1
+ UNION ALL SELECT o_orderkey, 3, min(vendor_id) FROM vd JOIN v ON v.client_id = vd.client_id AND length(vd.name) >= 5 AND (contains(lower(v.name), vd.name) OR contains(vd.name, substr(lower(v.name), 1, 5))) GROUP BY 1),
+ w AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rule) AS n FROM c)"""
+
+
+@query(f"WITH {_VENDOR_SQL} SELECT o_orderkey, w.vendor_id, CAST(w.rule AS BIGINT) AS rule, CASE WHEN w.rule IS NULL THEN 'unassigned' ELSE 'scanned' END AS route FROM vd LEFT JOIN w USING (o_orderkey) WHERE coalesce(w.n, 1) = 1")
+def q_match_vendor(spark: SparkSession, d: str) -> DataFrame:
+    """The vendor cascade: tax ids but for the building's own, exact name or alias, part of the name."""
+
+    def trade(k: F.Column) -> F.Column:
+        return F.element_at(F.array(*(F.lit(t) for t in _TRADES)), (k % len(_TRADES)).cast("int") + 1)
+
+    def cuit(k: F.Column) -> F.Column:
+        return K.digits(F.concat(F.lit("30-"), F.lpad(k.cast("string"), 8, "0"), F.lit("-1")))
+
+    k = F.col("s_suppkey")
+    form = F.when(F.col("s_acctbal") > 0, " S.R.L.").otherwise(" S.A.")
+    vendors = T.settled(
+        T.read(spark, d, "supplier").select(
+            F.col("s_nationkey").alias("client_id"), k.alias("match_id"), cuit(k).alias("tax_id"), K.provider_name(F.concat(trade(k), F.lit(" "), k.cast("string"), form)).alias("name"),
+            F.concat(F.lit("Obra "), (k * 7).cast("string"), F.lit(" | ")).alias("packed"),
+        )
+    )
+    names = vendors.select("client_id", "match_id", F.explode(F.concat(F.array("name"), F.transform(A.packed_list(F.col("packed")), K.provider_name))).alias("name"))
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    told = F.when(F.col("o_orderstatus") == "O", F.concat(trade(c), F.lit(" "), (c % 100).cast("string"))).when(F.col("o_orderstatus") == "F", F.concat(F.lit("Obra "), (c % 100 * 7).cast("string"))).otherwise(F.concat(F.lit("para "), trade(o), F.lit(" urgente")))
+    own = cuit(c % 100)
+    tax_ids = F.when(F.col("o_totalprice") < 60000, F.filter(F.array(own, cuit(o % 100)), lambda x: x != own)).otherwise(F.array().cast("array<string>"))
+    orders = T.read(spark, d, "orders").join(T.consortiums(spark, d).select(F.col("consortium_id").alias("o_custkey"), "client_id"), "o_custkey")
+    docs = T.settled(orders.select(o.alias("doc_id"), "client_id", tax_ids.alias("tax_ids"), K.provider_name(told).alias("name")))
+    rules = [
+        (0, lambda x: match.by_tax_id(x, vendors, "client_id")),
+        (2, lambda x: match.by_name(x.where(F.length("name") >= 3), names, "client_id")),
+        (3, lambda x: match.by_part_of_name(x, vendors, "client_id")),
+    ]
+    out = docs.select("doc_id").join(match.in_turn(docs, rules, T.settled), "doc_id", "left")
+    return out.select(F.col("doc_id").alias("o_orderkey"), F.col("match_id").alias("vendor_id"), F.col("rule").cast("long").alias("rule"), F.when(F.col("rule").isNull(), "unassigned").otherwise("scanned").alias("route"))
 
 
 # --- texts -----------------------------------------------------------------------------------------

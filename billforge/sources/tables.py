@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` (unset: under the warehouse) and read back, so that it is computed once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-settled"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def clients(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select(F.col("n_nationkey").alias("client_id"), F.col("n_name").alias("client_name"))
 
