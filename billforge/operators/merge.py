@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str], *, delete_orphans: bool = False) -> DataFrame:
-    """Full outer merge of snapshots: source values win, null source values keep the target's.
+def merge(target: DataFrame, source: DataFrame, keys: list[str], *, delete_orphans: bool = False, nulls: str = "keep") -> DataFrame:
+    """Full outer merge of snapshots: source values win; null source values keep the target's, or win too.
 
+    ``nulls`` is "keep" for patches and "win" for upserts, whose rows are whole.
     ``action`` tells insert, update or keep; with ``delete_orphans`` target rows without a source are gone.
     """
     values = [c for c in target.columns if c not in keys]
@@ -16,7 +17,13 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], *, delete_orpha
     s = source.withColumn("_s", F.lit(True)).alias("s")
     joined = t.join(s, keys, "right" if delete_orphans else "full")
     action = F.when(F.col("t._t").isNull(), "insert").when(F.col("s._s").isNotNull(), "update").otherwise("keep")
-    return joined.select(*keys, *(F.coalesce(f"s.{c}", f"t.{c}").alias(c) for c in values), action.alias("action"))
+    if nulls not in ("keep", "win"):
+        raise ValueError(f"nulls is keep or win, not {nulls}")
+
+    def value(c: str):
+        return F.coalesce(f"s.{c}", f"t.{c}") if nulls == "keep" else F.when(F.col("s._s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}"))
+
+    return joined.select(*keys, *(value(c).alias(c) for c in values), action.alias("action"))
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from billforge.functions.keys import period_label
 
@@ -31,19 +36,37 @@ def close_all(active: DataFrame, majority_year: str = "majority_year", majority_
     return active.withColumn("action", F.when(same, "close").otherwise("skip")).withColumn("next_year", F.when(same, F.year(ahead))).withColumn("next_month", F.when(same, F.month(ahead)))
 
 
-def greedy_gate(ticks: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
+def greedy_gate(ticks: DataFrame, by: str, ts: str, seconds: int, tie: str) -> DataFrame:
     """``ticks`` with ``accepted``: the first of each ``by``, then each at least ``seconds`` after the last accepted one.
 
-    A fold over each key's ordered times; keys are tenants, whose ticks are bounded by the schedule.
+    Ticks of equal time come in the order of ``tie``. Each key's ticks pass in
+    order, batch by batch, and only its last accepted time is kept. ``by`` and
+    ``tie`` are longs; ticks without a time are not accepted.
     """
-    times = F.array_sort(F.collect_list(F.col(ts)))
-    kept = F.aggregate(
-        "times",
-        F.expr("cast(array() as array<timestamp>)"),
-        lambda a, x: F.when((F.size(a) == 0) | (x.cast("double") - F.element_at(a, -1).cast("double") >= seconds), F.concat(a, F.array(x))).otherwise(a),
-    )
-    accepted = ticks.groupBy(by).agg(times.alias("times")).select(by, F.explode(kept).alias(ts)).withColumn("accepted", F.lit(True))
-    return ticks.join(accepted, [by, ts], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    out = T.StructType([*ticks.schema.fields, T.StructField("accepted", T.BooleanType())])
+    gap = np.timedelta64(seconds, "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            keys = batch.column(by).to_pylist()
+            times = batch.column(ts).cast(pa.timestamp("us")).to_numpy(zero_copy_only=False)
+            bounds = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            accepted = np.zeros(len(keys), bool)
+            for begin, end in zip(bounds, bounds[1:], strict=False):
+                if begin == end:
+                    continue
+                if keys[begin] != key:
+                    key, last = keys[begin], None
+                at = begin + int(np.isnat(times[begin:end]).sum())  # nulls are first
+                while at < end:
+                    at = at if last is None else at + int(np.searchsorted(times[at:end], last + gap))
+                    if at < end:
+                        accepted[at], last = True, times[at]
+                        at += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted)], names=[*batch.schema.names, "accepted"])
+
+    return ticks.repartition(F.col(by)).sortWithinPartitions(by, ts, tie).mapInArrow(run, out)
 
 
 def lag_gate(ticks: DataFrame, by: str, ts: str, seconds: int, tie: str) -> DataFrame:

@@ -21,14 +21,34 @@ def mapping_of(config: dict | None, fields: dict[str, str] = DEFAULT_MAPPING) ->
 
 
 def sheet_row(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """One string column per letter, in letter order; nulls are empty and the amount is in pesos."""
+    """One string column per letter from A to the last mapped one; nulls and letters without a field are empty, the amount is in pesos."""
 
     def cell(name: str) -> Column:
         c = K.pesos(F.col(name).cast("double")) if name == "amount" else F.col(name).cast("string")
         return F.coalesce(c, F.lit(""))
 
-    placed = sorted((letter, name) for name, letter in mapping.items() if name in rows.columns)
-    return rows.select(*(cell(name).alias(letter) for letter, name in sorted(placed, key=lambda p: (len(p[0]), p[0]))))
+    place = {_number(letter): name for name, letter in mapping.items()}
+    letters = {_number(letter): letter for letter in mapping.values()}
+    cells = []
+    for n in range(1, max(place, default=0) + 1):
+        name = place.get(n)
+        cells.append((cell(name) if name in rows.columns else F.lit("")).alias(letters.get(n) or _letters(n)))
+    return rows.select(*cells)
+
+
+def _number(letters: str) -> int:
+    n = 0
+    for c in letters:
+        n = 26 * n + ord(c) - 64
+    return n
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
 
 
 def duplicate_keys(sheet: DataFrame, mapping: dict[str, str]) -> DataFrame:

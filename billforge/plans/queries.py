@@ -94,14 +94,14 @@ def q_client_audit(spark: SparkSession, d: str) -> DataFrame:
 # --- queue -----------------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents
- WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))
+@query("""WITH f AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents AS d
+ WHERE NOT EXISTS (SELECT 1 FROM labels AS l JOIN documents AS k ON k.doc_id = l.doc_id WHERE k.source = d.source AND l.doc_id = d.doc_id AND l.quality IN (0, 1)))
  SELECT doc_id, source, CAST(position AS BIGINT) AS position FROM f WHERE position <= 10""")
 def q_enqueue_new_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents without a label (an invoice or a job), ten of each source."""
-    labels = T.read(spark, d, "labels")
+    labels = T.read(spark, d, "labels").join(T.read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     files = T.read(spark, d, "documents").select("doc_id", "source", F.lit(10).alias("batch"))
-    out = jobs.new_files(files, labels.where("quality = 1").select("doc_id"), labels.where("quality = 0").select("doc_id"), tenant="source", file="doc_id", batch="batch", order=["doc_id"])
+    out = jobs.new_files(files, labels.where("quality = 1").select("source", "doc_id"), labels.where("quality = 0").select("source", "doc_id"), tenant="source", file="doc_id", batch="batch", order=["doc_id"])
     return _longs(out.select("doc_id", "source", "position"), "position")
 
 
@@ -462,12 +462,13 @@ def q_runtime_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_USE}, r AS (SELECT client_id, CAST(run_at AS DATE) AS day, count(*) FILTER (WHERE provider <> 'error') AS n_ok, count(*) FILTER (WHERE provider = 'error') AS n_failed, CAST(sum(tokens) AS BIGINT) AS tokens FROM use_ GROUP BY 1, 2)
- SELECT client_id, CAST(day AS VARCHAR) AS day, n_ok, n_failed, tokens, CASE WHEN n_failed = 0 THEN 'success' WHEN n_ok > n_failed THEN 'partial' ELSE 'failed' END AS status FROM r""")
+ SELECT client_id, CAST(day AS VARCHAR) AS day, n_ok, n_failed, tokens, CASE WHEN tokens % 13 = 0 THEN 'failed' WHEN n_failed = 0 THEN 'success' WHEN n_ok > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""")
 def q_run_status(spark: SparkSession, d: str) -> DataFrame:
     """Daily runs of each tenant with their status."""
     bad = F.col("provider") == "error"
     out = T.usage(spark, d).groupBy("client_id", F.to_date("run_at").cast("string").alias("day")).agg(F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_failed"), F.sum("tokens").alias("tokens"))
-    return out.withColumn("status", jobs.run_status("n_ok", "n_failed"))
+    out = out.withColumn("error", F.when(F.col("tokens") % 13 == 0, "lost its lock"))
+    return out.withColumn("status", jobs.run_status("n_ok", "n_failed", "error")).drop("error")
 
 
 @query(f"""WITH {_USE}, g AS (SELECT event_id, client_id, run_at, lag(run_at) OVER (PARTITION BY client_id ORDER BY run_at, event_id) AS was FROM use_)
@@ -477,11 +478,14 @@ def q_interval_gate(spark: SparkSession, d: str) -> DataFrame:
     return periods.lag_gate(T.usage(spark, d).select("event_id", "client_id", "run_at"), "client_id", "run_at", 3600, "event_id").select("event_id", "client_id", "gap_ok")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ g AS (SELECT event_id, user_id, n, ts AS last, true AS accepted FROM e WHERE n = 1
+ UNION ALL SELECT e.event_id, e.user_id, e.n, CASE WHEN epoch_us(e.ts) - epoch_us(g.last) >= 3600000000 THEN e.ts ELSE g.last END, epoch_us(e.ts) - epoch_us(g.last) >= 3600000000 FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)
+ SELECT event_id, user_id, accepted FROM g""")
 def q_interval_gate_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Events that a gate of one hour since the last accepted event of the user lets through."""
     ticks = T.usage(spark, d).join(T.read(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", "user_id", "run_at")
-    return periods.greedy_gate(ticks, "user_id", "run_at", 3600).select("event_id", "user_id", "accepted")
+    return periods.greedy_gate(ticks, "user_id", "run_at", 3600, "event_id").select("event_id", "user_id", "accepted")
 
 
 @query("""SELECT event_id, CAST(CAST(props->>'$.k' AS INTEGER) AS BIGINT) AS k, coalesce(nullif(trim(props->>'$.sheet'), ''), 'Sheet1') AS sheet,
@@ -578,15 +582,18 @@ def q_existing_keys(spark: SparkSession, d: str) -> DataFrame:
     return sheets.duplicate_keys(sheets.sheet_row(rows, mapping), mapping)
 
 
-@query(f"""WITH {_USE}, e AS (SELECT client_id, event_id, run_at, CASE WHEN k % 10 = 0 THEN 'Error 429: quota exceeded' WHEN provider = 'error' THEN 'timeout' END AS message FROM use_),
+@query(f"""WITH {_USE}, e AS (SELECT client_id, event_id, run_at, CASE WHEN k % 10 < 7 THEN list_extract(['Error 429', 'Quota exceeded', 'Too Many Requests', 'rate limit reached', 'insufficient_quota', 'limit: 0', 'server closed the connection'], k % 10 + 1) || repeat(' at step', k)
+  WHEN provider = 'error' THEN 'timeout' END AS message FROM use_),
  r AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY run_at DESC, event_id DESC) AS n FROM e WHERE message IS NOT NULL)
- SELECT client_id, CASE WHEN regexp_matches(message, '(?i)quota|429') THEN 'limited' ELSE 'ok' END AS quota_status, message AS last_error FROM r WHERE n = 1""")
+ SELECT client_id, CASE WHEN lower(message) LIKE '%quota%' OR message LIKE '%429%' OR lower(message) LIKE '%too many requests%' OR lower(message) LIKE '%rate limit%' OR lower(message) LIKE '%limit: 0%' THEN 'limited' ELSE 'ok' END AS quota_status,
+  CASE WHEN length(message) > 300 THEN message[1:300] || '...' ELSE message END AS last_error FROM r WHERE n = 1""")
 def q_quota_status(spark: SparkSession, d: str) -> DataFrame:
     """Quota status of each tenant after its last error."""
     u = T.usage(spark, d)
-    message = F.when(F.col("k") % 10 == 0, "Error 429: quota exceeded").when(F.col("provider") == "error", "timeout")
+    said = F.array(*map(F.lit, ("Error 429", "Quota exceeded", "Too Many Requests", "rate limit reached", "insufficient_quota", "limit: 0", "server closed the connection")))
+    message = F.when(F.col("k") % 10 < 7, F.concat(F.get(said, F.col("k") % 10), F.repeat(F.lit(" at step"), F.col("k")))).when(F.col("provider") == "error", "timeout")
     last = u.select("client_id", "event_id", "run_at", message.alias("m")).where("m is not null").groupBy("client_id").agg(F.max_by("m", F.struct("run_at", "event_id")).alias("last_error"))
-    return last.select("client_id", F.when(F.col("last_error").rlike("(?i)quota|429"), "limited").otherwise("ok").alias("quota_status"), "last_error")
+    return last.select("client_id", F.when(jobs.is_quota_error(F.col("last_error")), "limited").otherwise("ok").alias("quota_status"), jobs.trimmed_error(F.col("last_error")).alias("last_error"))
 
 
 @query("""SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events""")
@@ -612,14 +619,25 @@ def q_usage_maps(spark: SparkSession, d: str) -> DataFrame:
 # --- extraction ------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+ w AS (SELECT doc_id, t, source, length(t) % 9 AS k FROM t)
+ SELECT doc_id, CASE WHEN k NOT IN (4, 5, 6, 7, 8) THEN source END AS provider, CASE WHEN k NOT IN (4, 5, 6, 7, 8) THEN '30-' || lpad(CAST(length(t) AS VARCHAR), 8, '0') || '-5' END AS provider_tax_id,
+ CASE WHEN k NOT IN (4, 5, 6, 7, 8) THEN t END AS detail, CASE WHEN k NOT IN (4, 5, 6, 7, 8) THEN CASE WHEN k = 0 THEN NULL ELSE length(t) + 0.5 END END AS amount,
+ CASE WHEN k = 1 THEN 'EFECTIVO' END AS payment_method, CAST(CASE WHEN k = 2 THEN 2 END AS BIGINT) AS n_tax_ids, CASE WHEN k IN (4, 5, 6, 7, 8) THEN 'failed' ELSE 'parsed' END AS route FROM w""")
 def q_extract_parse(spark: SparkSession, d: str) -> DataFrame:
-    """A fenced JSON answer for each document, parsed into a record with a failed route for broken ones."""
+    """A fenced JSON answer with the whole text of each document, parsed into a record; wrong types, unknown ways to pay and broken JSON fail."""
     from billforge.operators.extract import parse_answer
 
-    body = F.to_json(F.struct(F.col("source").alias("provider"), F.concat(F.lit("30"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("providerTaxId"), F.col("n_chars").cast("string").alias("amount")))
-    answer = F.when(F.col("doc_id") % 10 == 9, F.lit("not json")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-    return parse_answer(T.read(spark, d, "documents").select("doc_id", answer.alias("answer")), "answer").select("doc_id", "provider", "provider_tax_id", "amount", "route")
+    t, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    k = n % 9
+    fields = F.struct(
+        F.col("source").alias("provider"), F.concat(F.lit("30"), F.lpad(n.cast("string"), 8, "0"), F.lit("5")).alias("providerTaxId"), t.alias("detail"),
+        F.when(k > 0, n + 0.5).alias("amount"), F.when(k == 1, "EFECTIVO").when(k == 4, "BITCOIN").alias("paymentMethod"),
+        F.when(k == 2, F.array(F.lit("30-1"), F.lit("2"))).alias("allTaxIds"), F.when(k == 5, F.array(F.lit(1))).alias("alias"), F.when(k == 6, F.struct(F.lit(1).alias("x"))).alias("consortium"), F.when(k == 3, "more").alias("unknown"),
+    )
+    answer = F.when(k == 7, F.lit("not json")).when(k == 8, F.lit("[1]")).otherwise(F.concat(F.lit("```json\n"), F.to_json(fields), F.lit("\n```")))
+    out = parse_answer(T.read(spark, d, "documents").select("doc_id", answer.alias("answer")), "answer")
+    return out.select("doc_id", "provider", "provider_tax_id", "detail", "amount", "payment_method", F.when(F.col("all_tax_ids").isNotNull(), F.size("all_tax_ids")).cast("long").alias("n_tax_ids"), "route")
 
 
 @query("SELECT DISTINCT user_id % 25 AS client_id, event_type AS file_id FROM events")
@@ -627,4 +645,4 @@ def q_stream_enqueue(spark: SparkSession, d: str) -> DataFrame:
     """Each tenant and file once, from a stream of events."""
     from billforge.streaming.enqueue import enqueue_once
 
-    return enqueue_once(spark, f"{d}/events.parquet")
+    return enqueue_once(spark, f"{d}/events.parquet", T.new_folder(spark))

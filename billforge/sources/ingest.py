@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """file_id, name, modified_at, content and document_hash of the files that match, oldest first by modified_at and name."""
+    """file_id, name, modified_at, content and document_hash of the files that match; sort by modified_at and name for the oldest first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.col("path").alias("file_id"), name.alias("name"), F.col("modificationTime").alias("modified_at"), "content", F.sha2("content", 256).alias("document_hash"))

@@ -12,11 +12,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the one named by ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-settled"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` (unset: under the warehouse) and read back, so that it is computed once."""
+    """``df`` written to a new folder and read back, so that it is computed once and a lost executor recomputes nothing before it."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-settled"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
