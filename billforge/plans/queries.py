@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from billforge.functions import address as A
 from billforge.functions import keys as K
+from billforge.functions import shown as S
 from billforge.functions import text as X
 from billforge.operators import dedup, jobs, match, merge, periods, sheets, usage
 from billforge.sources import tables as T
@@ -48,8 +49,9 @@ def _longs(df: DataFrame, *names: str) -> DataFrame:
  ORDER BY inv.due_date DESC, l_orderkey, l_linenumber, provider_id, l_partkey, inv.amount LIMIT 50 OFFSET 50""")
 def q_invoice_list_page(spark: SparkSession, d: str) -> DataFrame:
     """Page 2 of the newest invoices with the names of what they refer to."""
-    page = T.invoices(spark, d).join(T.consortiums(spark, d), "consortium_id", "left").join(T.providers(spark, d), "provider_id", "left").join(T.clients(spark, d), "client_id", "left")
-    page = page.orderBy(F.desc("due_date"), "l_orderkey", "l_linenumber", "provider_id", "l_partkey", "amount").offset(50).limit(50)
+    order = (F.desc("due_date"), "l_orderkey", "l_linenumber", "provider_id", "l_partkey", "amount")
+    page = T.invoices(spark, d).orderBy(*order).limit(100).orderBy(*order).offset(50)
+    page = page.join(T.consortiums(spark, d), "consortium_id", "left").join(T.providers(spark, d), "provider_id", "left").join(T.clients(spark, d), "client_id", "left").orderBy(*order)
     named = (F.coalesce(c, F.lit("unknown")).alias(c) for c in ("client_name", "consortium_name", "provider_name"))
     return page.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), *named, F.col("amount").cast("double").alias("amount"), F.col("due_date").cast("string").alias("due_date"), K.period_label(F.col("month"), F.col("year")).alias("period"))
 
@@ -158,7 +160,7 @@ def q_dup_by_business_key(spark: SparkSession, d: str) -> DataFrame:
     line = T.read(spark, d, "lineitem")
     tax = F.concat(F.lit(" 30"), F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), (F.col("l_suppkey") % 10).cast("string"))
     key = K.business_key((F.col("l_orderkey") % 50).cast("string"), K.tax_id(tax), F.date_format(F.trunc("l_shipdate", "month"), "yyyy-MM-dd"), F.round("l_quantity").cast("long").cast("string"))
-    rows = line.select("l_orderkey", key.alias("business_key"))
+    rows = T.spread(line.select("l_orderkey", "l_suppkey", "l_shipdate", "l_quantity")).select("l_orderkey", key.alias("business_key"))
     return rows.groupBy("business_key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("l_orderkey").alias("first_order"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
 
 
@@ -223,7 +225,7 @@ def _raw_addresses(spark: SparkSession, d: str) -> DataFrame:
         return F.element_at(F.array(*(F.lit(v) for v in values)), at.cast("int") + 1)
 
     raw = F.concat(pick(_PRE, k % 5), "p_name", F.lit(" 00"), (F.col("p_size") * 10 + k % 7).cast("string"), pick(_TAIL, k % 3 + k % 2))
-    return T.read(spark, d, "part").select("p_partkey", (k % 25).alias("client_id"), raw.alias("raw"))
+    return T.spread(T.read(spark, d, "part").select("p_partkey", (k % 25).alias("client_id"), raw.alias("raw")))
 
 
 def _sql_subs(expr: str, steps: list[tuple[str, str]]) -> str:
@@ -646,3 +648,66 @@ def q_stream_enqueue(spark: SparkSession, d: str) -> DataFrame:
     from billforge.streaming.enqueue import enqueue_once
 
     return enqueue_once(spark, f"{d}/events.parquet", T.new_folder(spark))
+
+
+# --- short forms, services, and who has no period ----------------------------------------------------
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, n_chars AS n, coalesce(source, '') || '-' || CAST(doc_id AS VARCHAR) AS id, sha256(coalesce(text, '')) AS h, coalesce(text, '') AS t,
+  CASE WHEN n_chars % 2 = 0 THEN '[' || CAST(400 + doc_id % 150 AS VARCHAR) || ' ' ELSE '' END || coalesce(text, '') AS m FROM documents),
+ e AS (SELECT *, regexp_replace(string_split(m, chr(10))[1], '^\s+|\s+$', '', 'g') AS line FROM d),
+ f AS (SELECT *, CASE WHEN length(line) > 220 THEN line[1:220] || '...' ELSE line END AS cut FROM e)
+ SELECT doc_id, CASE WHEN length(id) <= 10 THEN id ELSE id[1:4] || '…' || right(id, 4) END AS short_id, h[1:6] || '...' || right(h, 6) AS short_hash,
+  CASE WHEN length(t) > 70 THEN t[1:70] || '...' ELSE t END AS short_key,
+  CASE WHEN n * 37 < 1000 THEN CAST(n * 37 AS VARCHAR) || 'ms' WHEN n * 37 < 60000 THEN CAST(n * 37 // 1000 AS VARCHAR) || 's' ELSE CAST(n * 37 // 60000 AS VARCHAR) || 'm ' || CAST(n * 37 // 1000 % 60 AS VARCHAR) || 's' END AS took,
+  CASE WHEN regexp_matches(line, '\[[0-9]{3}\s') THEN 'HTTP ' || regexp_extract(line, '\[([0-9]{3})\s', 1) || ': ' || cut ELSE cut END AS error,
+  sha256('manual:' || coalesce(source, '') || ':' || CAST(n AS VARCHAR) || ':') AS manual_hash FROM f""")
+def q_short_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, hashes, keys, durations and errors as they are shown."""
+    docs, n, t = T.read(spark, d, "documents"), F.col("n_chars"), F.coalesce("text", F.lit(""))
+    said = F.concat(F.when(n % 2 == 0, F.concat(F.lit("["), (400 + F.col("doc_id") % 150).cast("string"), F.lit(" "))).otherwise(""), t)
+    return docs.select(
+        "doc_id", S.short_id(F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string"))).alias("short_id"), S.short_hash(F.sha2(t.cast("binary"), 256)).alias("short_hash"),
+        S.short_key(t).alias("short_key"), S.duration(n * 37).alias("took"), S.compact_error(said).alias("error"), S.manual_hash(F.col("source"), n, F.lit(None)).alias("manual_hash"),
+    )
+
+
+@query("""WITH m AS (SELECT event_id, ts, CASE CAST(CAST(props->>'$.k' AS INTEGER) % 5 AS INTEGER) WHEN 0 THEN 'Gemini-2' WHEN 1 THEN 'GPT-4' WHEN 2 THEN 'o3-mini' WHEN 3 THEN 'local' END AS model, user_id FROM events)
+ SELECT CASE WHEN lower(coalesce(model, '')) LIKE '%gemini%' THEN 'gemini' WHEN lower(coalesce(model, '')) LIKE '%gpt%' OR lower(coalesce(model, '')) LIKE '%o1%' OR lower(coalesce(model, '')) LIKE '%o3%' THEN 'openai' ELSE 'unknown' END AS vendor,
+ count(*) AS n, CAST(sum(greatest(epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-02') // 1000, 0)) AS BIGINT) AS millis FROM m GROUP BY 1""")
+def q_vendor_of_model(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and run time of each vendor, told by the model's name."""
+    k = F.get_json_object("props", "$.k").cast("int") % 5
+    model = F.when(k == 0, "Gemini-2").when(k == 1, "GPT-4").when(k == 2, "o3-mini").when(k == 3, "local")
+    took = S.run_millis(F.lit("2024-01-02 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp"))
+    return T.read(spark, d, "events").groupBy(S.vendor_of_model(model).alias("vendor")).agg(F.count(F.lit(1)).alias("n"), F.sum(took).alias("millis"))
+
+
+@query("SELECT c_nationkey AS client_id, c_custkey AS consortium_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+def q_without_active_period(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings without an active period (an open order)."""
+    active = T.read(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("consortium_id"))
+    return T.consortiums(spark, d).join(active, "consortium_id", "left_anti").select("client_id", "consortium_id")
+
+
+@query("""WITH s AS (SELECT c_custkey AS service_id, c_nationkey AS client_id, CASE WHEN c_acctbal > 3000 THEN c_custkey % 40 END AS vendor_id, c_mktsegment AS vendor, nullif(CAST(c_custkey * 10 AS VARCHAR), '0') AS number FROM customer),
+ o AS (SELECT o_orderkey, c_nationkey AS client_id, CASE WHEN o_orderstatus <> 'F' THEN o_custkey % 40 END AS vendor_id, CASE WHEN o_totalprice > 90000 THEN c_mktsegment ELSE 'OTHER' END AS vendor, nullif(CAST(o_custkey * 10 AS VARCHAR), '0') AS number FROM orders JOIN customer ON o_custkey = c_custkey),
+ a AS (SELECT o_orderkey, min(service_id) AS service_id FROM o JOIN s USING (client_id, vendor_id, number) GROUP BY 1), b AS (SELECT o_orderkey, min(service_id) AS service_id FROM o JOIN s USING (client_id, vendor, number) GROUP BY 1)
+ SELECT o.o_orderkey, coalesce(a.service_id, b.service_id) AS service_id, CAST(CASE WHEN a.service_id IS NOT NULL THEN 1 WHEN b.service_id IS NOT NULL THEN 2 END AS BIGINT) AS rule,
+  CASE WHEN coalesce(a.service_id, b.service_id) IS NOT NULL AND s.vendor_id IS NULL THEN o.vendor_id END AS filled_vendor_id
+ FROM o LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_orderkey) LEFT JOIN s ON s.service_id = coalesce(a.service_id, b.service_id)""")
+def q_match_service(spark: SparkSession, d: str) -> DataFrame:
+    """The fast path by a service's number with the vendor's id, then with the vendor's text; services without an id get it filled."""
+    c = T.read(spark, d, "customer")
+    number = K.client_number(F.lpad((F.col("c_custkey") * 10).cast("string"), 12, "0"))
+    services = c.select(F.col("c_custkey").alias("match_id"), F.col("c_nationkey").alias("client_id"), F.when(F.col("c_acctbal") > 3000, F.col("c_custkey") % 40).alias("vendor_id"), F.col("c_mktsegment").alias("vendor"), number.alias("number"))
+    orders = T.read(spark, d, "orders").join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    docs = orders.select(
+        F.col("o_orderkey").alias("doc_id"), F.col("c_nationkey").alias("client_id"), F.when(F.col("o_orderstatus") != "F", F.col("o_custkey") % 40).alias("vendor_id"),
+        F.when(F.col("o_totalprice") > 90000, F.col("c_mktsegment")).otherwise("OTHER").alias("vendor"), K.client_number(F.lpad((F.col("o_custkey") * 10).cast("string"), 12, "0")).alias("number"),
+    )
+    rules = [(n, lambda x, key=key: x.join(services.select("match_id", *key), key).select("doc_id", "match_id")) for n, key in ((1, ["client_id", "vendor_id", "number"]), (2, ["client_id", "vendor", "number"]))]
+    best = match.in_turn(docs, rules, T.settled).join(services.select("match_id", F.col("vendor_id").alias("known")), "match_id")
+    out = docs.select("doc_id", "vendor_id").join(best, "doc_id", "left")
+    filled = F.when(F.col("match_id").isNotNull() & F.col("known").isNull(), F.col("vendor_id"))
+    return out.select(F.col("doc_id").alias("o_orderkey"), F.col("match_id").alias("service_id"), F.col("rule").cast("long").alias("rule"), filled.alias("filled_vendor_id"))

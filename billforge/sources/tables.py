@@ -18,6 +18,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in fewer parts, for steps that compute much on few rows; a table of many parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to a new folder and read back, so that it is computed once and a lost executor recomputes nothing before it."""
     spark = df.sparkSession
