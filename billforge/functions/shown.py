@@ -62,3 +62,18 @@ def or_default(link: Column, default: Column) -> Column:
 def manual_hash(*parts: Column) -> Column:
     """sha256 of 'manual' and the parts joined by colons, nulls as empty; the caller gives the clock as a part."""
     return F.sha2(F.concat_ws(":", F.lit("manual"), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256)
+
+
+def shown_amount(c: Column) -> Column:
+    """'$ 1.234,50' with a no-break space, a minus sign in front, and a dash for none."""
+    grouped = F.translate(F.format_number(F.abs(c.cast("double")), 2), ",.", ".,")
+    return F.coalesce(F.concat(F.when(c < 0, "-").otherwise(""), F.lit("$ "), grouped), F.lit("—"))
+
+
+def shown_date(c: Column) -> Column:
+    """'5/3/2024' of a date, a dash for none."""
+    return F.coalesce(F.date_format(c, "d/M/yyyy"), F.lit("—"))
+
+
+def input_date(iso: Column) -> Column:
+    return F.substring(F.coalesce(iso, F.lit("")), 1, 10)

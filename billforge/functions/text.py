@@ -128,3 +128,21 @@ def building_from_lines(lines: Column) -> Column:
     near = F.filter(F.slice(lines, first["i"] + 2, 7), lambda x: ~is_metadata_line(x) & ~is_numeric_line(x) & has_letters(x))
     more = F.try_element_at(near, F.lit(1))
     return F.when(first.isNotNull() & is_generic_building(first["v"]), F.concat_ws(" ", first["v"], more)).otherwise(first["v"])
+
+
+# The prompt that each company's bills get; bills of other companies get 'utility', other texts 'invoice'.
+PROMPTS = {"EDESUR": "edesur", "EDENOR": "edenor", "AYSA": "aysa", "METROGAS": "gas", "NATURGY": "gas", "CAMUZZI": "gas", "LITORAL_GAS": "gas", "PERSONAL": "personal"}
+
+
+def prompt_name(text: Column) -> Column:
+    """Which of the seven prompts a text is sent with."""
+    company = utility_company(text)
+    out = F.when(company.isNull(), "invoice")
+    for label, prompt in PROMPTS.items():
+        out = out.when(company == label, prompt)
+    return out.otherwise("utility")
+
+
+def prompt(text: Column, templates: Column) -> Column:
+    """The template of the text's prompt (``templates`` is a map by name, kept as configuration) and the text's telling lines below it."""
+    return F.concat_ws("\n", F.try_element_at(templates, prompt_name(text)), relevant_lines(text))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billforge.functions import address as A
 from billforge.functions import shown as S
-from billforge.operators import configs, directory, documents, jobs, match, queue, runs
-from billforge.plans.queries import _PER, _longs, query
+from billforge.functions import text as X
+from billforge.operators import configs, directory, documents, jobs, match, pages, queue, runs
+from billforge.plans.queries import _BILL_SQL, _INV, _NAME_SQL, _PER, _RAW_SQL, _WORDS, _longs, _raw_addresses, query
 from billforge.sources import tables as T
 
 # --- run summaries, log, counters, usage rows --------------------------------------------------------
@@ -267,3 +269,95 @@ def q_document_pipeline(spark: SparkSession, d: str) -> DataFrame:
     rules = [(1, lambda x: match.by_name(x, names, "client_id"))]
     out = documents.process(T.spread(docs), rules, T.settled)
     return out.select("doc_id", "route", "building_id", "consortium", "business_key", "is_duplicate")
+
+
+# --- pages -----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_INV} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line_number, l_partkey, CASE WHEN l_linenumber = 3 THEN '-' ELSE '' END || '$' || chr(160) || translate(format('{{:,.2f}}', CAST(amount AS DOUBLE)), ',.', '.,') AS amount,
+ CASE WHEN l_linenumber = 4 THEN '—' ELSE CAST(day(due_date) AS VARCHAR) || '/' || CAST(month(due_date) AS VARCHAR) || '/' || CAST(year(due_date) AS VARCHAR) END AS due, CAST(due_date AS VARCHAR) AS input FROM inv""")
+def q_shown_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts and dates of invoices as pages show them."""
+    inv = T.invoices(spark, d)
+    amount, due = F.when(F.col("l_linenumber") == 3, -F.col("amount")).otherwise(F.col("amount")), F.when(F.col("l_linenumber") != 4, F.col("due_date"))
+    iso = F.concat(F.col("due_date").cast("string"), F.lit("T00:00:00.000Z"))
+    return inv.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), "l_partkey", S.shown_amount(amount).alias("amount"), S.shown_date(due).alias("due"), S.input_date(iso).alias("input"))
+
+
+@query("""WITH v AS (SELECT s_suppkey AS id, s_nationkey AS c, '30' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '1' AS cuit, 'proveedor sa ' || CAST(s_suppkey AS VARCHAR) AS n, CASE WHEN s_acctbal > 5000 THEN 'pago ' || CAST(s_suppkey AS VARCHAR) END AS a FROM supplier),
+ o AS (SELECT o_orderkey, c_nationkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN '30' || lpad(CAST(o_custkey % 60 AS VARCHAR), 8, '0') || '1' END AS tax, CASE WHEN o_orderstatus = 'P' THEN 'pago ' ELSE 'proveedor sa ' END || CAST(o_custkey % 70 AS VARCHAR) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+ t AS (SELECT o_orderkey, min(id) AS id FROM o JOIN v ON o.c = v.c AND cuit = tax GROUP BY 1), m AS (SELECT o_orderkey, min(id) AS id FROM o JOIN v ON o.c = v.c AND (v.n = o.n OR v.a = o.n) GROUP BY 1)
+ SELECT o.o_orderkey, coalesce(t.id, m.id) AS vendor_id, CAST(CASE WHEN t.id IS NOT NULL THEN 0 WHEN m.id IS NOT NULL THEN 1 END AS BIGINT) AS rule FROM o LEFT JOIN t USING (o_orderkey) LEFT JOIN m USING (o_orderkey)""")
+def q_vendor_of_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The vendor of each scan by tax id, name or payment alias, as pages match them."""
+    n = F.col("s_suppkey").cast("string")
+    vendors = T.read(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("match_id"), F.col("s_nationkey").alias("client_id"), F.concat(F.lit("30-"), F.lpad(n, 8, "0"), F.lit("-1")).alias("cuit"),
+        F.concat(F.lit("Proveedor S.A. "), n).alias("name"), F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("pago_"), n)).alias("payment_alias"),
+    ).withColumn("name", F.replace("name", F.lit("S.A."), F.lit("SA.")))
+    o = T.read(spark, d, "orders").join(T.consortiums(spark, d).withColumnRenamed("consortium_id", "o_custkey"), "o_custkey")
+    tax = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("30 "), F.lpad((F.col("o_custkey") % 60).cast("string"), 8, "0"), F.lit(" 1")))
+    told = F.concat(F.when(F.col("o_orderstatus") == "P", " PAGO-").otherwise("proveedor, sa  "), (F.col("o_custkey") % 70).cast("string"))
+    scans = T.settled(o.select(F.col("o_orderkey").alias("doc_id"), "client_id", told.alias("provider"), tax.alias("provider_tax_id")))
+    found = pages.vendor_of_scan(scans, vendors, "client_id", T.settled)
+    return scans.join(found, "doc_id", "left").select(F.col("doc_id").alias("o_orderkey"), F.col("match_id").alias("vendor_id"), F.col("rule").cast("long").alias("rule"))
+
+
+@query(f"""WITH {_RAW_SQL}, {_NAME_SQL}, known_ AS (SELECT client_id, name, min(raw) AS known FROM named JOIN part USING (p_partkey) WHERE name <> '' AND p_size <= 25 GROUP BY 1, 2),
+ sel AS (SELECT a.*, b.name AS selected FROM named a LEFT JOIN named b ON b.p_partkey = a.p_partkey - a.p_partkey % 2),
+ mis AS (SELECT *, coalesce(name <> '' AND selected <> '' AND name <> selected, false) AS mismatch FROM sel)
+ SELECT p_partkey, mismatch, CASE WHEN mismatch THEN coalesce(known, trim(raw)) END AS found FROM mis x LEFT JOIN known_ k ON k.client_id = x.client_id AND k.name = x.name""")
+def q_building_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Scans that name another building than the one selected."""
+    named = T.settled(_raw_addresses(spark, d).withColumn("name", A.building_name(F.col("raw"))))
+    selected = named.select(F.col("p_partkey").alias("_b"), F.col("name").alias("selected"))
+    scans = named.join(selected, F.col("_b") == F.col("p_partkey") - F.col("p_partkey") % 2, "left")
+    small = T.read(spark, d, "part").where("p_size <= 25").select("p_partkey")
+    known = named.join(small, "p_partkey").select("client_id", "name", F.col("raw").alias("raw_name"))
+    return pages.building_mismatch(scans, known, "client_id").select("p_partkey", "mismatch", "found")
+
+
+@query("""SELECT o_orderkey, sha256('manual:' || CAST(c_nationkey AS VARCHAR) || ':' || CAST(o_custkey AS VARCHAR) || ':' || o_orderpriority || ':' || regexp_replace(CAST(o_totalprice AS VARCHAR), '[.]0$', '') || ':1700000000000') AS document_hash,
+ upper(o_orderpriority) AS number_norm, '30' || CAST(o_custkey AS VARCHAR) AS tax_id_norm, printf('%.2f', o_totalprice) AS amount_norm, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_orderdate AS DATE)::VARCHAR END AS due_norm
+ FROM orders JOIN customer ON c_custkey = o_custkey""")
+def q_manual_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as invoices typed in by hand."""
+    o = T.read(spark, d, "orders").join(T.consortiums(spark, d), F.col("consortium_id") == F.col("o_custkey"))
+    rows = o.select(
+        "o_orderkey", "client_id", "consortium_id", F.lower("o_orderpriority").alias("low"), F.col("o_orderpriority").alias("number"), F.col("o_totalprice").alias("amount"),
+        F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("due"), F.concat(F.lit("30-"), F.col("o_custkey").cast("string")).alias("tax_id"),
+    )
+    out = pages.manual_invoices(rows, F.lit("1700000000000"))
+    return out.select("o_orderkey", "document_hash", "number_norm", "tax_id_norm", "amount_norm", "due_norm")
+
+
+@query(f"""WITH {_INV}, v AS (SELECT s_suppkey, s_name, s_nationkey, '30' || CAST(s_suppkey AS VARCHAR) AS cuit FROM supplier), a AS (SELECT c_custkey, c_nationkey, '30' || CAST(c_custkey % 100 AS VARCHAR) AS cuit FROM customer)
+ SELECT c_custkey AS consortium_id, s_suppkey AS provider_id, s_name AS provider_name FROM a JOIN v ON a.cuit = v.cuit AND c_nationkey = s_nationkey WHERE EXISTS (SELECT 1 FROM inv WHERE consortium_id = c_custkey AND provider_id = s_suppkey)""")
+def q_linked_vendors(spark: SparkSession, d: str) -> DataFrame:
+    """Vendors by tax id among those that a building is linked with."""
+    vendors = T.providers(spark, d).select(F.col("provider_client").alias("client_id"), "provider_id", "provider_name", F.concat(F.lit("30"), F.col("provider_id").cast("string")).alias("cuit"))
+    asked = T.consortiums(spark, d).select("client_id", "consortium_id", F.concat(F.lit("30"), (F.col("consortium_id") % 100).cast("string")).alias("cuit"))
+    return pages.linked_vendors(T.invoices(spark, d), vendors, asked).select("consortium_id", "provider_id", "provider_name")
+
+
+@query("""SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN c_name ELSE lower(s_name) END AS name, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def q_join_update(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of a table updated from the rows of another that have its key."""
+    target = T.read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
+    source = T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.lower("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    return pages.updated(target, source, "c_custkey", ["name", "acctbal"])
+
+
+_LINES = r"""array_to_string(list_filter(list_transform(string_split(replace(body, chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^[\t\n\x0B\f\r  ]+|[\t\n\x0B\f\r  ]+$', '', 'g')), lambda x: x <> '')[1:80], chr(10))"""
+
+
+@query(f"""WITH {_BILL_SQL}, b AS (SELECT *, list_extract(['edesur', 'aysa', 'gas', 'personal', 'utility', 'utility', 'invoice'], CAST(doc_id % 7 AS INTEGER) + 1) AS told FROM bill)
+ SELECT doc_id, sha256('Prompt ' || told || chr(10) || {_LINES}) AS prompt_hash FROM b""")
+def q_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each bill: its company's template and its telling lines."""
+    word = F.element_at(F.array(*(F.lit(w) for w in _WORDS)), (F.col("doc_id") % len(_WORDS)).cast("int") + 1)
+    body = F.concat(F.coalesce("source", F.lit("")), F.lit(" "), word, F.lit("\n"), F.coalesce("text", F.lit("")))
+    names = sorted({*X.PROMPTS.values(), "utility", "invoice"})
+    templates = F.create_map(*(F.lit(v) for n in names for v in (n, f"Prompt {n}")))
+    docs = T.read(spark, d, "documents").select("doc_id", body.alias("body"))
+    return docs.select("doc_id", F.sha2(X.prompt(F.col("body"), templates).cast("binary"), 256).alias("prompt_hash"))

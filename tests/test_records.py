@@ -1,6 +1,9 @@
 import json
 
-from billforge.operators import configs, directory, documents, match, queue, runs
+import pytest
+from billforge.functions import shown as S
+from billforge.functions import text as X
+from billforge.operators import configs, directory, documents, match, pages, queue, runs
 from billforge.sources import tables as T
 from pyspark.sql import functions as F
 
@@ -96,3 +99,27 @@ def test_documents_take_what_is_stored(spark):
         6: ("scanned", 7, False, None), 7: ("failed", None, None, None), 8: ("scanned", 8, False, "2"), 9: ("unassigned", None, None, "9"), 10: ("unassigned", None, None, "9"),
     }
     assert {r["doc_id"] for r in out.where("observation = 'OCR_ONLY'").collect()} == {5, 6}
+
+
+def test_pages(spark):
+    v = spark.createDataFrame([(3, 1, "30-12345678-9", "Gas S.A.", None), (2, 1, None, "Luz", "gas_s_a"), (4, 2, None, "Luz", None)], "match_id int, t int, cuit string, name string, payment_alias string")
+    scans = [(1, 1, "x", "30123456789"), (2, 1, " GAS-S.A ", None), (3, 1, "luz", "123"), (4, 2, "gas s a", None), (5, 1, "lu", None)]
+    found = pages.vendor_of_scan(spark.createDataFrame(scans, "doc_id int, t int, provider string, provider_tax_id string"), v, "t", T.settled)
+    assert rows(found, "doc_id") == [(1, 3, 0), (2, 2, 1), (3, 2, 1)]
+    scan = spark.createDataFrame([(1, "A 1", "B 2", " a 1 "), (1, "C 3", "B 2", " c 3 "), (1, "B 2", "B 2", "b"), (1, "", "B 2", "")], "t int, name string, selected string, raw string")
+    got = pages.building_mismatch(scan, spark.createDataFrame([(1, "A 1", "Calle A 1")], "t int, name string, raw_name string"), "t").select("name", "mismatch", "found")
+    assert rows(got, "name") == [("", False, None), ("A 1", True, "Calle A 1"), ("B 2", False, None), ("C 3", True, "c 3")]
+    assert rows(pages.scoped(v, "t", {"role": "CLIENT", "client_id": 2}).select("match_id"), "match_id") == [(4,)] and pages.scoped(v, "t", {"role": "ADMIN"}).count() == 3
+    with pytest.raises(PermissionError):
+        pages.scoped(v, "t", {"role": "VIEWER", "client_id": 2}, change=True)
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, c string")
+    assert rows(pages.updated(t, spark.createDataFrame([(2, None)], "k int, c string"), "k", ["c"]), "k") == [(1, "a"), (2, None)]
+
+
+def test_shown_forms(spark):
+    one = spark.createDataFrame([(1234.5, -0.4, None)], "a double, b double, c double")
+    assert tuple(one.select(*(S.shown_amount(F.col(c)) for c in "abc")).first()) == ("$ 1.234,50", "-$ 0,40", "—")
+    got = one.select(S.shown_date(F.lit("2024-03-05").cast("date")), S.shown_date(F.lit(None).cast("date")), S.input_date(F.lit("2024-03-05T10:00:00Z")), S.input_date(F.lit(None).cast("string"))).first()
+    assert tuple(got) == ("5/3/2024", "—", "2024-03-05", "")
+    names = [one.select(X.prompt_name(F.lit(t))).first()[0] for t in ("web Edesur x", "Litoral Gas x", "telecom", "aguas de argentinas", "LSP 7", "Factura")]
+    assert names == ["edesur", "gas", "personal", "utility", "utility", "invoice"]
