@@ -9,7 +9,7 @@ from billforge.functions import address as A
 from billforge.functions import shown as S
 from billforge.functions import text as X
 from billforge.operators import configs, directory, documents, jobs, match, pages, queue, runs
-from billforge.plans.queries import _BILL_SQL, _INV, _NAME_SQL, _PER, _RAW_SQL, _WORDS, _longs, _raw_addresses, query
+from billforge.plans.queries import _BILL_SQL, _INV, _NAME_SQL, _PER, _RAW_SQL, _WORDS, _longs, _raw_addresses, _sql_any, query
 from billforge.sources import tables as T
 
 # --- run summaries, log, counters, usage rows --------------------------------------------------------
@@ -242,12 +242,13 @@ def q_invoice_catalog(spark: SparkSession, d: str) -> DataFrame:
 # --- the way of a document -----------------------------------------------------------------------------
 
 
-@query(r"""WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer), w AS (SELECT doc_id, text, n_chars, c_custkey, c_name, c_nationkey,
+@query(rf"""WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer), w AS (SELECT doc_id, text, n_chars, c_custkey, c_name, c_nationkey,
   CASE WHEN doc_id % 11 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS client_id, CASE doc_id % 5 WHEN 0 THEN 'EDESUR' || chr(10) WHEN 1 THEN 'Razón Social: ' || c_name || chr(10) ELSE '' END || text AS body
   FROM documents JOIN c ON c_custkey = doc_id % 90),
  o AS (SELECT *, sha256(body) AS h, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'Consorcio de Propietarios' ELSE c_name END AS told FROM w WHERE text IS NOT NULL),
- r AS (SELECT *, CASE WHEN doc_id % 5 = 1 AND (told IS NULL OR told LIKE 'Consorcio de%') THEN c_name ELSE told END AS consortium,
-  CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars % 20 AS VARCHAR) || '|||' || CAST(n_chars % 4 AS VARCHAR) || '.50' END AS k FROM o),
+ bill AS (SELECT *, {_sql_any((*X.UTILITY_WORDS, "AGUAS+ARGENTINAS"))} AS utility FROM (SELECT *, upper(substr(body, 1, 4000)) AS u FROM o)),
+ r AS (SELECT *, CASE WHEN doc_id % 5 = 1 AND NOT utility AND (told IS NULL OR told LIKE 'Consorcio de%') THEN c_name ELSE told END AS consortium,
+  CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars % 20 AS VARCHAR) || '|||' || CAST(n_chars % 4 AS VARCHAR) || '.50' END AS k FROM bill),
  m AS (SELECT r.*, CASE WHEN consortium = c_name AND client_id = c_nationkey THEN c_custkey END AS own FROM r),
  f AS (SELECT client_id, h, arg_min(struct_pack(d := doc_id, b := own, k := k, c := consortium), doc_id) AS s FROM m WHERE own IS NOT NULL GROUP BY 1, 2),
  a AS (SELECT m.doc_id, m.client_id, m.h, coalesce(m.doc_id > s.d, false) AS again, CASE WHEN m.doc_id > s.d THEN s.b ELSE own END AS building_id, CASE WHEN m.doc_id > s.d THEN s.k ELSE m.k END AS k,
