@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billforge.llm.oracles import filter_audit_sql, merkle_sql
 from billforge.llm.shared import cut
 
 
@@ -95,6 +96,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.merkle import audit
+
+    return audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.filter_audit import audit
+
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billforge.llm.language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,9 +127,14 @@ QUERIES = {
         op8_pii_bilstm_crf,
         op9_compact_windows,
         op10_ngram_jaccard_join,
+        op11_merkle_manifest,
+        op12_filter_audit,
+        op13_language_codes,
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": merkle_sql(),
+    "op12_filter_audit": filter_audit_sql(),
     "op6_line_frequency": r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
