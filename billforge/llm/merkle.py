@@ -170,11 +170,14 @@ def paths(leaves: DataFrame, nodes: DataFrame, sizes: DataFrame, *, size: int =
     columns = leaves.columns
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
+        if not mine.num_rows:  # none of the partition's leaves is asked for
+            none = pa.array([], kind)
+            return mine.select(columns).append_column("steps", none).append_column("above", none).append_column("subroot", pa.array([], pa.string()))
         got = {(f["level"], f["place"]): f["digest"] for f in theirs.select(["level", "place", "digest"]).to_pylist()}
         above = next((a for a in theirs.column("above").to_pylist() if a is not None), [])
-        places, n = mine.column("place").to_numpy(), mine.column("n")[0].as_py() if mine.num_rows else 0
+        places, n = mine.column("place").to_numpy(), mine.column("n")[0].as_py()
         steps = [[{"before": a, "after": b} for a, b in path] for path in expand(places, mine.column("digest").to_pylist(), n, got)]
-        kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
         same = pa.repeat(pa.scalar(above, kind), mine.num_rows)
         return mine.select(columns).append_column("steps", pa.array(steps, kind)).append_column("above", same).append_column("subroot", pa.repeat(pa.scalar(got.get((None, None)), pa.string()), mine.num_rows))
 
