@@ -51,6 +51,12 @@ def business_date(c: Column) -> Column:
     return F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw).otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lower(raw)))
 
 
+def parsed_date(c: Column) -> Column:
+    """The date of a text that business_date turns into one, else null."""
+    told = business_date(c)
+    return F.when(told.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), told.try_cast("date"))
+
+
 def business_key(number: Column, tax_id: Column, due: Column, amount: Column) -> Column:
     """The four normalised parts joined by bars, null where all are empty; amounts and dates come as text."""
     return joined_key(business_text(number), business_text(tax_id), business_date(due), business_amount(amount))

@@ -238,15 +238,20 @@ def _sql_expanded(expr: str) -> str:
     return "trim(" + _sql_subs(expr, [*A.abbreviation_patterns(), ("\\s+", " ")]) + ")"
 
 
-_NAME_SQL = f"""b AS (SELECT *, trim({_sql_subs('trim(raw)', [(p, '') for p in A.PREFIXES])}) AS bare FROM raw),
- e AS (SELECT *, {_sql_subs(_sql_expanded("CASE WHEN bare <> '' THEN bare ELSE trim(raw) END"), [(A.LEADING_ZEROS, '$1')])} AS ex FROM b),
- p AS (SELECT *, trim({_sql_subs('ex', [(p, '') for p in A.POSTAL])}) AS po FROM e),
- f AS (SELECT *, {_sql_subs('trim(' + _sql_subs('po', [(p, '') for p in A.FLOOR]) + ')', [(A.SUFFIX, '$1')])} AS fl FROM p),
- k AS (SELECT *, trim({_sql_subs('fl', [(A.STREET_KIND, '')])}) AS kl FROM f),
- t AS (SELECT *, trim({_sql_subs('kl', [(A.NOISE, '')])}) AS told FROM k),
- g AS (SELECT *, trim(regexp_replace(regexp_extract(told, '^(.*?)([0-9][0-9/-]*)', 1), '\\s+', ' ', 'g')) AS street, regexp_extract(told, '^(.*?)([0-9]+)[0-9/-]*', 2) AS num FROM t),
+def name_sql(p: str = "") -> str:
+    """Table ``named``: the rows of ``raw`` (p_partkey, client_id, raw) with name and match_text; ``p`` begins the names of the tables between."""
+    return f"""{p}b AS (SELECT *, trim({_sql_subs('trim(raw)', [(x, '') for x in A.PREFIXES])}) AS bare FROM raw),
+ {p}e AS (SELECT *, {_sql_subs(_sql_expanded("CASE WHEN bare <> '' THEN bare ELSE trim(raw) END"), [(A.LEADING_ZEROS, '$1')])} AS ex FROM {p}b),
+ {p}p AS (SELECT *, trim({_sql_subs('ex', [(x, '') for x in A.POSTAL])}) AS po FROM {p}e),
+ {p}f AS (SELECT *, {_sql_subs('trim(' + _sql_subs('po', [(x, '') for x in A.FLOOR]) + ')', [(A.SUFFIX, '$1')])} AS fl FROM {p}p),
+ {p}k AS (SELECT *, trim({_sql_subs('fl', [(A.STREET_KIND, '')])}) AS kl FROM {p}f),
+ {p}t AS (SELECT *, trim({_sql_subs('kl', [(A.NOISE, '')])}) AS told FROM {p}k),
+ {p}g AS (SELECT *, trim(regexp_replace(regexp_extract(told, '^(.*?)([0-9][0-9/-]*)', 1), '\\s+', ' ', 'g')) AS street, regexp_extract(told, '^(.*?)([0-9]+)[0-9/-]*', 2) AS num FROM {p}t),
  named AS (SELECT p_partkey, client_id, raw, upper(CASE WHEN street <> '' AND num <> '' THEN street || ' ' || num ELSE trim(regexp_replace(CASE WHEN kl <> '' THEN kl ELSE fl END, '\\s+', ' ', 'g')) END) AS name,
-  trim(regexp_replace(regexp_replace(upper({_sql_subs(_sql_expanded('raw'), [(A.LEADING_ZEROS, '$1')])}), '[^A-ZÁÉÍÓÚÑ0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS match_text FROM g)"""
+  trim(regexp_replace(regexp_replace(upper({_sql_subs(_sql_expanded('raw'), [(A.LEADING_ZEROS, '$1')])}), '[^A-ZÁÉÍÓÚÑ0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS match_text FROM {p}g)"""
+
+
+_NAME_SQL = name_sql()
 
 
 @query(f"WITH {_RAW_SQL}, {_NAME_SQL} SELECT p_partkey, raw, name, match_text FROM named")

@@ -239,39 +239,6 @@ def q_invoice_catalog(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(s.join(n, "client_id", "left"), "l_suppkey", "left").select("l_orderkey", "line_number", "l_partkey", "coeficiente", "rubro")
 
 
-# --- the way of a document -----------------------------------------------------------------------------
-
-
-@query(rf"""WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer), w AS (SELECT doc_id, text, n_chars, c_custkey, c_name, c_nationkey,
-  CASE WHEN doc_id % 11 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS client_id, CASE doc_id % 5 WHEN 0 THEN 'EDESUR' || chr(10) WHEN 1 THEN 'Razón Social: ' || c_name || chr(10) ELSE '' END || text AS body
-  FROM documents JOIN c ON c_custkey = doc_id % 90),
- o AS (SELECT *, sha256(body) AS h, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'Consorcio de Propietarios' ELSE c_name END AS told FROM w WHERE text IS NOT NULL),
- bill AS (SELECT *, {_sql_any((*X.UTILITY_WORDS, "AGUAS+ARGENTINAS"))} AS utility FROM (SELECT *, upper(substr(body, 1, 4000)) AS u FROM o)),
- r AS (SELECT *, CASE WHEN doc_id % 5 = 1 AND NOT utility AND (told IS NULL OR told LIKE 'Consorcio de%') THEN c_name ELSE told END AS consortium,
-  CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars % 20 AS VARCHAR) || '|||' || CAST(n_chars % 4 AS VARCHAR) || '.50' END AS k FROM bill),
- m AS (SELECT r.*, CASE WHEN consortium = c_name AND client_id = c_nationkey THEN c_custkey END AS own FROM r),
- f AS (SELECT client_id, h, arg_min(struct_pack(d := doc_id, b := own, k := k, c := consortium), doc_id) AS s FROM m WHERE own IS NOT NULL GROUP BY 1, 2),
- a AS (SELECT m.doc_id, m.client_id, m.h, coalesce(m.doc_id > s.d, false) AS again, CASE WHEN m.doc_id > s.d THEN s.b ELSE own END AS building_id, CASE WHEN m.doc_id > s.d THEN s.k ELSE m.k END AS k,
-  CASE WHEN m.doc_id > s.d THEN s.c ELSE consortium END AS consortium FROM m LEFT JOIN f ON m.client_id = f.client_id AND m.h = f.h),
- x AS (SELECT client_id, k, min(doc_id) AS d FROM a WHERE building_id IS NOT NULL AND k IS NOT NULL GROUP BY 1, 2)
- SELECT doc_id, CASE WHEN building_id IS NULL THEN 'unassigned' ELSE 'scanned' END AS route, building_id, consortium, a.k AS business_key,
-  CASE WHEN building_id IS NOT NULL THEN again OR coalesce(doc_id > x.d, false) END AS is_duplicate FROM a LEFT JOIN x ON a.client_id = x.client_id AND a.k = x.k
- UNION ALL SELECT doc_id, 'failed', NULL, NULL, NULL, NULL FROM w WHERE text IS NULL""")
-def q_document_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Every document from its text and an answer to a stored invoice, an unassigned file or a failure."""
-    b = T.consortiums(spark, d)
-    i = F.col("doc_id")
-    docs = T.read(spark, d, "documents").join(b, F.col("consortium_id") == i % 90)
-    body = F.concat(F.when(i % 5 == 0, "EDESUR\n").when(i % 5 == 1, F.concat(F.lit("Razón Social: "), "consortium_name", F.lit("\n"))).otherwise(""), "text")
-    fields = F.struct((F.col("n_chars") % 20).cast("string").alias("boletaNumber"), F.when(i % 3 == 0, "Consorcio de Propietarios").otherwise(F.col("consortium_name")).alias("consortium"), (F.col("n_chars") % 4 + 0.5).alias("amount"))
-    answer = F.when(i % 7 == 0, "no answer").otherwise(F.to_json(fields))
-    docs = docs.select("doc_id", F.when(i % 11 == 0, (F.col("client_id") + 1) % 25).otherwise(F.col("client_id")).alias("client_id"), body.alias("text"), answer.alias("answer"))
-    names = b.select("client_id", F.col("consortium_id").alias("match_id"), F.lower("consortium_name").alias("name"))
-    rules = [(1, lambda x: match.by_name(x, names, "client_id"))]
-    out = documents.process(T.spread(docs), rules, T.settled)
-    return out.select("doc_id", "route", "building_id", "consortium", "business_key", "is_duplicate")
-
-
 # --- pages -----------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from billforge.plans import records  # noqa: F401 - registers its queries
+from billforge.plans import pipeline, records  # noqa: F401 - registers its queries
 from billforge.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,7 +3,7 @@ import json
 import pytest
 from billforge.functions import shown as S
 from billforge.functions import text as X
-from billforge.operators import configs, directory, documents, match, pages, queue, runs
+from billforge.operators import configs, directory, pages, queue, runs
 from billforge.sources import tables as T
 from pyspark.sql import functions as F
 
@@ -74,33 +74,6 @@ def test_queue(spark):
     assert tuple(spark.createDataFrame([(0,)], "n int").select(*queue.next_row(F.col("n"))).first()) == (2, "A2:M2")
 
 
-def test_documents_take_what_is_stored(spark):
-    def answer(building, number):
-        return json.dumps({"consortium": building, "boletaNumber": number, "amount": 1.5})
-
-    docs = [
-        (1, 1, "same", answer("nobody", "1")),  # unassigned: nothing is a duplicate of it
-        (2, 1, "same", answer("Torre", "2")),
-        (3, 1, "same", answer("nobody", "3")),  # takes 2's fields
-        (4, 1, "else", answer("TORRE", "2")),  # business key of 2
-        (5, 1, "third", "no json"),
-        (6, 1, "Razón Social: Torre\nx", "no json"),  # the text names the building
-        (7, 1, None, answer("Torre", "9")),
-        (8, 2, "same", answer("Torre", "2")),  # another tenant
-        (9, 1, "EDESUR\nRazón Social: Torre", answer("x", "9")),  # bills of utilities keep theirs
-        (10, 1, "Razón Social: Torre", answer("Torre Larga", "9")),  # the longer name stays
-    ]
-    names = spark.createDataFrame([(1, 7, "torre"), (2, 8, "torre")], "client_id int, match_id int, name string")
-    rules = [(1, lambda x: match.by_name(x, names, "client_id"))]
-    out = documents.process(spark.createDataFrame(docs, "doc_id int, client_id int, text string, answer string"), rules, T.settled)
-    got = {r["doc_id"]: (r["route"], r["building_id"], r["is_duplicate"], r["boleta_number"]) for r in out.collect()}
-    assert got == {
-        1: ("unassigned", None, None, "1"), 2: ("scanned", 7, False, "2"), 3: ("scanned", 7, True, "2"), 4: ("scanned", 7, True, "2"), 5: ("unassigned", None, None, None),
-        6: ("scanned", 7, False, None), 7: ("failed", None, None, None), 8: ("scanned", 8, False, "2"), 9: ("unassigned", None, None, "9"), 10: ("unassigned", None, None, "9"),
-    }
-    assert {r["doc_id"] for r in out.where("observation = 'OCR_ONLY'").collect()} == {5, 6}
-
-
 def test_pages(spark):
     v = spark.createDataFrame([(3, 1, "30-12345678-9", "Gas S.A.", None), (2, 1, None, "Luz", "gas_s_a"), (4, 2, None, "Luz", None)], "match_id int, t int, cuit string, name string, payment_alias string")
     scans = [(1, 1, "x", "30123456789"), (2, 1, " GAS-S.A ", None), (3, 1, "luz", "123"), (4, 2, "gas s a", None), (5, 1, "lu", None)]
