@@ -11,7 +11,7 @@ from billforge.functions import address as A
 from billforge.functions import keys as K
 from billforge.functions import shown as S
 from billforge.functions import text as X
-from billforge.operators import dedup, jobs, match, merge, periods, sheets, usage
+from billforge.operators import assign, dedup, jobs, match, merge, periods, sheets, usage
 from billforge.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,10 +260,11 @@ def q_address_norm(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("p_partkey", "raw", A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("match_text"))
 
 
-# Parts of two types are the directory: those of type ECONOMY name buildings, those of type SMALL are aliases of buildings.
+# Parts of two types are the directory: those of type ECONOMY name buildings, those of type SMALL are buildings by aliases: their own raw name and that of the tenant's next part.
 _DIM_SQL = """num AS (SELECT named.*, p_type, p_size FROM named JOIN part USING (p_partkey)),
  dim AS (SELECT p_partkey AS building_id, client_id, name AS canonical, list_filter(string_split(%s, ' '), lambda w: w <> '') AS words, '30' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '7' AS cuit FROM num WHERE p_type = 'ECONOMY'),
- al AS (SELECT p_partkey AS building_id, client_id, name AS a_name, match_text AS a_text FROM num WHERE p_type = 'SMALL'),
+ al AS (SELECT p_partkey AS building_id, client_id, name AS a_name, match_text AS a_text FROM num WHERE p_type = 'SMALL'
+  UNION ALL SELECT s.p_partkey, s.client_id, n.name, n.match_text FROM num AS s JOIN num AS n ON n.p_partkey = s.p_partkey + 25 WHERE s.p_type = 'SMALL'),
  tax AS (SELECT p_partkey, client_id, i, '30' || lpad(CAST(p_partkey + 25 * i AS VARCHAR), 8, '0') || '7' AS cuit FROM num, range(1, 3) AS r(i) WHERE p_size <= 10)""" % (
     "trim(regexp_replace(regexp_replace(upper(" + _sql_subs(_sql_expanded("name"), [(A.LEADING_ZEROS, "$1")]) + "), '[^A-ZÁÉÍÓÚÑ0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
@@ -271,17 +272,17 @@ _ALL_WORDS = "len(words) > 0 AND list_bool_and(list_transform(words, lambda w: c
 _R0_SQL = "SELECT p_partkey, min_by(building_id, i * 1000000000 + building_id) AS building_id FROM tax JOIN dim ON dim.client_id = tax.client_id AND dim.cuit = tax.cuit GROUP BY 1"
 _R1_SQL = "SELECT p_partkey, min(building_id) AS building_id FROM named JOIN dim ON dim.client_id = named.client_id AND name = canonical AND name <> '' GROUP BY 1"
 _R2_SQL = f"SELECT p_partkey, min(building_id) AS building_id, count(*) AS n_matches FROM named JOIN dim ON dim.client_id = named.client_id AND {_ALL_WORDS} GROUP BY 1"
-_R3_SQL = """SELECT named.p_partkey, min(building_id) AS building_id FROM named JOIN al ON al.client_id = named.client_id AND (name = a_name AND name <> ''
- OR (a_text <> '' AND list_bool_and(list_transform(string_split(a_text, ' '), lambda w: contains(match_text, w)))) OR (name <> '' AND list_bool_and(list_transform(string_split(name, ' '), lambda w: contains(a_text, w))))) GROUP BY 1"""
+_R3_SQL = r"""SELECT named.p_partkey, min(building_id) AS building_id FROM (SELECT *, trim(regexp_replace(regexp_replace(name, '[^A-ZÁÉÍÓÚÑ0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM named) AS named JOIN al ON al.client_id = named.client_id AND (name = a_name AND name <> ''
+ OR (a_text <> '' AND list_bool_and(list_transform(string_split(a_text, ' '), lambda w: contains(match_text, w)))) OR (clean <> '' AND list_bool_and(list_transform(string_split(clean, ' '), lambda w: contains(a_text, w))))) GROUP BY 1"""
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with their names normalised, written once: doc_id, client_id, name, text, tax_ids, kind."""
+    """Documents with their names normalised, written once: doc_id, client_id, raw, name, text, tax_ids, kind."""
     raw = _raw_addresses(spark, d).join(T.read(spark, d, "part").select("p_partkey", "p_type", "p_size"), "p_partkey")
     ids = F.transform(F.array(F.lit(1), F.lit(2)), lambda i: _cuit(F.col("p_partkey") + 25 * i))
     return T.settled(
         raw.select(
-            F.col("p_partkey").alias("doc_id"), F.col("client_id"), A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("text"),
+            F.col("p_partkey").alias("doc_id"), F.col("client_id"), "raw", A.building_name(F.col("raw")).alias("name"), A.match_text(F.col("raw")).alias("text"),
             F.when(F.col("p_size") <= 10, ids).otherwise(F.array().cast("array<string>")).alias("tax_ids"), F.col("p_type").alias("kind"),
         )
     )
@@ -298,8 +299,11 @@ def _buildings(named: DataFrame) -> DataFrame:
 
 def _aliases(named: DataFrame) -> DataFrame:
     """Aliases, one row each, read from names packed with bars."""
-    packed = named.where("kind = 'SMALL'").select(F.col("doc_id").alias("match_id"), "client_id", "name", "text")
-    return packed.select("match_id", F.col("match_id").alias("alias_id"), "client_id", "name", "text", A.tokens(F.col("text")).alias("words"))
+    more = named.select((F.col("doc_id") - 25).alias("match_id"), F.col("raw").alias("second"))
+    packed = named.where("kind = 'SMALL'").select(F.col("doc_id").alias("match_id"), "client_id", "raw").join(more, "match_id", "left").select("match_id", "client_id", F.concat_ws(" | ", "raw", "second").alias("packed"))
+    each = packed.select("match_id", "client_id", F.posexplode(A.packed_list(F.col("packed"))).alias("at", "alias"))
+    told = each.select("match_id", (F.col("match_id") * 2 + F.col("at")).alias("alias_id"), "client_id", A.building_name(F.col("alias")).alias("name"), A.match_text(F.col("alias")).alias("text"))
+    return told.withColumn("words", A.tokens(F.col("text")))
 
 
 _BUILDING_RULES = [
@@ -312,7 +316,7 @@ _BUILDING_RULES = [
 
 def _by_rule(spark: SparkSession, d: str, number: int) -> DataFrame:
     named = _named(spark, d)
-    hits = _BUILDING_RULES[number][1]((_buildings(named), _aliases(named)))(named)
+    hits = _BUILDING_RULES[number][1]((_buildings(named), T.settled(_aliases(named)) if number == 3 else None))(named)
     return hits.groupBy(F.col("doc_id").alias("p_partkey")).agg(F.min("match_id").alias("building_id"), F.count(F.lit(1)).alias("n_matches"))
 
 
@@ -345,7 +349,7 @@ def q_match_alias(spark: SparkSession, d: str) -> DataFrame:
 def q_match_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Tax id, then exact, substring and alias match, each on what is left; the rest is routed as unassigned."""
     named = _named(spark, d)
-    dims = (T.settled(_buildings(named)), _aliases(named))
+    dims = (T.settled(_buildings(named)), T.settled(_aliases(named)))
     best = match.in_turn(named, [(n, rule(dims)) for n, rule in _BUILDING_RULES], T.settled)
     out = named.select("doc_id").join(best, "doc_id", "left")
     return out.select(F.col("doc_id").alias("p_partkey"), F.col("match_id").alias("building_id"), F.col("rule").cast("long").alias("rule"), F.when(F.col("rule").isNull(), "unassigned").otherwise("scanned").alias("route"))
@@ -356,10 +360,12 @@ _TRADES = ("Ascensores", "Plomeria", "Electricidad", "Gas Natural", "Limpieza",
 _VENDOR_SQL = f"""v AS (SELECT s_suppkey AS vendor_id, s_nationkey AS client_id, list_extract({list(_TRADES)}, CAST(s_suppkey % 8 AS INTEGER) + 1) || ' ' || CAST(s_suppkey AS VARCHAR) AS name,
   '30' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '1' AS cuit, 'obra ' || CAST(s_suppkey * 7 AS VARCHAR) AS alias FROM supplier),
  vd AS (SELECT o_orderkey, c_nationkey AS client_id, CASE WHEN o_totalprice < 60000 THEN ['30' || lpad(CAST(c_custkey % 100 AS VARCHAR), 8, '0') || '1', '30' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 8, '0') || '1'] ELSE [] END AS tax_ids,
+  CASE WHEN o_orderkey % 7 < 3 THEN '30' || lpad(CAST(CASE WHEN o_orderkey % 7 = 0 THEN c_custkey ELSE o_orderkey // 7 END % 100 AS VARCHAR), 8, '0') || '1' WHEN o_orderkey % 7 = 3 THEN '123' ELSE '' END AS own,
   '30' || lpad(CAST(c_custkey % 100 AS VARCHAR), 8, '0') || '1' AS building_cuit,
   lower(CASE o_orderstatus WHEN 'O' THEN list_extract({list(_TRADES)}, CAST(o_custkey % 8 AS INTEGER) + 1) || ' ' || CAST(o_custkey % 100 AS VARCHAR) WHEN 'F' THEN 'Obra ' || CAST(o_custkey % 100 * 7 AS VARCHAR)
    ELSE 'para ' || list_extract({list(_TRADES)}, CAST(o_orderkey % 8 AS INTEGER) + 1) || ' urgente' END) AS name FROM orders JOIN customer ON o_custkey = c_custkey),
  c AS (SELECT o_orderkey, 0 AS rule, min_by(vendor_id, i * 1000000000 + vendor_id) AS vendor_id FROM (SELECT o_orderkey, client_id, building_cuit, unnest(tax_ids) AS t, generate_subscripts(tax_ids, 1) AS i FROM vd) AS x JOIN v ON v.client_id = x.client_id AND v.cuit = t AND t <> building_cuit GROUP BY 1
+ UNION ALL SELECT o_orderkey, 1, min(vendor_id) FROM vd JOIN v ON v.client_id = vd.client_id AND v.cuit = own AND own <> building_cuit GROUP BY 1
  UNION ALL SELECT o_orderkey, 2, min(vendor_id) FROM vd JOIN v ON v.client_id = vd.client_id AND (lower(v.name) = vd.name OR v.alias = vd.name) GROUP BY 1
  UNION ALL SELECT o_orderkey, 3, min(vendor_id) FROM vd JOIN v ON v.client_id = vd.client_id AND length(vd.name) >= 5 AND (contains(lower(v.name), vd.name) OR contains(vd.name, substr(lower(v.name), 1, 5))) GROUP BY 1),
  w AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rule) AS n FROM c)"""
@@ -367,7 +373,7 @@ _VENDOR_SQL = f"""v AS (SELECT s_suppkey AS vendor_id, s_nationkey AS client_id,
 
 @query(f"WITH {_VENDOR_SQL} SELECT o_orderkey, w.vendor_id, CAST(w.rule AS BIGINT) AS rule, CASE WHEN w.rule IS NULL THEN 'unassigned' ELSE 'scanned' END AS route FROM vd LEFT JOIN w USING (o_orderkey) WHERE coalesce(w.n, 1) = 1")
 def q_match_vendor(spark: SparkSession, d: str) -> DataFrame:
-    """The vendor cascade: tax ids but for the building's own, exact name or alias, part of the name."""
+    """The vendor cascade: all tax ids but for the building's, the document's own tax id unless it is the building's, exact name or alias, part of the name."""
 
     def trade(k: F.Column) -> F.Column:
         return F.element_at(F.array(*(F.lit(t) for t in _TRADES)), (k % len(_TRADES)).cast("int") + 1)
@@ -379,22 +385,17 @@ def q_match_vendor(spark: SparkSession, d: str) -> DataFrame:
     form = F.when(F.col("s_acctbal") > 0, " S.R.L.").otherwise(" S.A.")
     vendors = T.settled(
         T.read(spark, d, "supplier").select(
-            F.col("s_nationkey").alias("client_id"), k.alias("match_id"), cuit(k).alias("tax_id"), K.provider_name(F.concat(trade(k), F.lit(" "), k.cast("string"), form)).alias("name"),
+            F.col("s_nationkey").alias("client_id"), k.alias("vendor_id"), cuit(k).alias("digits"), K.provider_name(F.concat(trade(k), F.lit(" "), k.cast("string"), form)).alias("name"),
             F.concat(F.lit("Obra "), (k * 7).cast("string"), F.lit(" | ")).alias("packed"),
-        )
+        ).withColumn("names", F.concat(F.array("name"), F.transform(A.packed_list(F.col("packed")), K.provider_name)))
     )
-    names = vendors.select("client_id", "match_id", F.explode(F.concat(F.array("name"), F.transform(A.packed_list(F.col("packed")), K.provider_name))).alias("name"))
     c, o = F.col("o_custkey"), F.col("o_orderkey")
     told = F.when(F.col("o_orderstatus") == "O", F.concat(trade(c), F.lit(" "), (c % 100).cast("string"))).when(F.col("o_orderstatus") == "F", F.concat(F.lit("Obra "), (c % 100 * 7).cast("string"))).otherwise(F.concat(F.lit("para "), trade(o), F.lit(" urgente")))
-    own = cuit(c % 100)
-    tax_ids = F.when(F.col("o_totalprice") < 60000, F.filter(F.array(own, cuit(o % 100)), lambda x: x != own)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(F.col("o_totalprice") < 60000, F.array(cuit(c % 100), cuit(o % 100))).otherwise(F.array().cast("array<string>"))
+    own = F.when(o % 7 == 0, cuit(c % 100)).when(o % 7 < 3, cuit(F.floor(o / 7) % 100)).when(o % 7 == 3, "123").otherwise("")
     orders = T.read(spark, d, "orders").join(T.consortiums(spark, d).select(F.col("consortium_id").alias("o_custkey"), "client_id"), "o_custkey")
-    docs = T.settled(orders.select(o.alias("doc_id"), "client_id", tax_ids.alias("tax_ids"), K.provider_name(told).alias("name")))
-    rules = [
-        (0, lambda x: match.by_tax_id(x, vendors, "client_id")),
-        (2, lambda x: match.by_name(x.where(F.length("name") >= 3), names, "client_id")),
-        (3, lambda x: match.by_part_of_name(x, vendors, "client_id")),
-    ]
+    docs = T.settled(orders.select(o.alias("doc_id"), "client_id", ids.alias("tax_ids"), own.alias("own_id"), cuit(c % 100).alias("building_tax_id"), K.provider_name(told).alias("name")))
+    rules = assign.vendor_rules(assign.Directory(None, vendors, None, None))
     out = docs.select("doc_id").join(match.in_turn(docs, rules, T.settled), "doc_id", "left")
     return out.select(F.col("doc_id").alias("o_orderkey"), F.col("match_id").alias("vendor_id"), F.col("rule").cast("long").alias("rule"), F.when(F.col("rule").isNull(), "unassigned").otherwise("scanned").alias("route"))
 
