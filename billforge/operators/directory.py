@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,20 @@ TABS = {
     "_Coeficientes": {"name": "key", "code": "code"},
     "_LspServices": {"consortium_name": "key", "provider": "code", "client_number": "number", "description": "text"},
 }
-# Headings that name a column of an import.
+# Headings that name a column of an import of buildings, and of one of vendors.
 HEADINGS = {
     "name": ("Nombre", "nombre", "NOMBRE", "canonicalName", "Canonical Name"),
     "cuit": ("CUIT", "cuit", "Cuit"),
     "match_names": ("Aliases", "aliases", "Alias", "alias", "Nombres alternativos"),
     "payment_alias": ("Alias de pago", "alias de pago", "PaymentAlias", "paymentAlias"),
 }
+VENDOR_HEADINGS = {
+    "name": ("Nombre", "nombre", "NOMBRE", "canonicalName", "Razón Social", "Razon Social"),
+    "cuit": ("CUIT", "cuit", "Cuit"),
+    "match_names": ("Alias", "alias", "ALIAS", "Nombres alternativos"),
+    "payment_alias": ("Alias de pago", "alias de pago", "PaymentAlias", "paymentAlias"),
+}
+LEAST_DIGITS = 10  # of a tax id that is looked for
 
 
 def missing_tabs(existing: DataFrame, title: str) -> DataFrame:
@@ -83,9 +92,9 @@ def services(sheet: DataFrame, buildings: DataFrame, vendors: DataFrame, tenant:
     return out.withColumn("warning", F.when(~known, said)).withColumn("client_number", F.when(bare != "", bare).otherwise(F.col("client_number")))
 
 
-def picked(rows: DataFrame, field: str) -> Column:
+def picked(rows: DataFrame, field: str, headings: dict[str, tuple[str, ...]] = HEADINGS) -> Column:
     """The cell under the first heading of ``field`` that the table has, blank where it is null; null where it has none."""
-    name = next((h for h in HEADINGS[field] if h in rows.columns), None)
+    name = next((h for h in headings[field] if h in rows.columns), None)
     return F.lit(None).cast("string") if name is None else js_trim(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
 
 
@@ -100,3 +109,57 @@ def import_buildings(rows: DataFrame, existing: DataFrame, *, tenant: str, row:
     outcome = F.when(F.col("name").isNull(), "error").when(F.col("_have") | (F.col("_first") < F.col("row_number")), "skipped").otherwise("imported")
     said = F.concat(F.lit("Fila "), F.col("row_number").cast("string"), F.lit(': columna "Nombre" vacía — omitida'))
     return out.select(tenant, "row_number", *HEADINGS, outcome.alias("outcome"), F.when(F.col("name").isNull(), said).alias("message"))
+
+
+def _bearers(cells: DataFrame, asked: DataFrame, tenant: str) -> DataFrame:
+    """tenant, asked and cuit of all pairs of distinct tax ids looked for and cells that contain them.
+
+    Both meet at the first ten digits looked for, so that a cell meets those alone
+    that hold its pieces of ten characters.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.length("cuit") - LEAST_DIGITS + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(at, lambda i: F.substring("cuit", i, F.lit(LEAST_DIGITS))))
+    held = cells.where(F.length("cuit") >= LEAST_DIGITS).select(tenant, "cuit", F.explode(pieces).alias("piece"))
+    met = asked.withColumn("piece", F.substring("asked", 1, LEAST_DIGITS)).join(held, [tenant, "piece"])
+    return met.where(F.col("cuit").contains(F.col("asked"))).select(tenant, "asked", "cuit")
+
+
+def import_vendors(rows: DataFrame, existing: DataFrame, settle: Callable[[DataFrame], DataFrame], *, tenant: str, row: str) -> DataFrame:
+    """Each row of an import with its outcome: 'error' with a message for a blank name, else 'skipped' where a vendor has its
+    name, or a tax id that contains the row's digits (ten or more), else 'imported'.
+
+    A row's vendors are the tenant's ``existing`` (tenant, name, cuit) and what rows
+    before it (by ``row``, from 0) have brought; a skipped row brings nothing. So a
+    row's outcome depends on those of earlier rows. Rounds settle them: of each
+    name and each tax id the first imported row of the last round decides, and as it is an
+    earlier one, each round settles at least the next row that another depends on; rows that
+    share a name or a tax id meet in minima alone. ``row`` is unique within a tenant.
+    """
+    read = rows.select(tenant, F.col(row).cast("long").alias("at"), *(F.nullif(picked(rows, f, VENDOR_HEADINGS), F.lit("")).alias(f) for f in VENDOR_HEADINGS))
+    read = settle(read.withColumn("digits", F.regexp_replace(F.coalesce("cuit", F.lit("")), "[^0-9]", "")))
+    known = existing.select(tenant, "name", "cuit", F.lit(-1).cast("long").alias("at"))
+    named = read.where("name is not null").select(tenant, "at", "name", "cuit", F.when(F.length("digits") >= LEAST_DIGITS, F.col("digits")).alias("asked"))
+    cells = known.select(tenant, "cuit").union(named.select(tenant, "cuit")).where("cuit is not null").distinct()
+    bearers = settle(_bearers(cells, named.where("asked is not null").select(tenant, "asked").distinct(), tenant))
+
+    def chosen(imported: DataFrame) -> DataFrame:
+        """The rows that nothing before them in ``imported`` (tenant, at, name, cuit) forbids."""
+        by_name = imported.groupBy(tenant, "name").agg(F.min("at").alias("_n"))
+        by_cell = imported.where("cuit is not null").groupBy(tenant, "cuit").agg(F.min("at").alias("_c"))
+        by_tax = bearers.join(by_cell, [tenant, "cuit"]).groupBy(tenant, "asked").agg(F.min("_c").alias("_t"))
+        told = named.join(by_name, [tenant, "name"], "left").join(by_tax, [tenant, "asked"], "left")
+        free = F.coalesce(F.col("_n") >= F.col("at"), F.lit(True)) & F.coalesce(F.col("_t") >= F.col("at"), F.lit(True))
+        return told.where(free).select(tenant, "at", "name", "cuit")
+
+    held = known.select(tenant, "at", "name", "cuit")
+    last = settle(chosen(held))
+    while True:
+        new = settle(chosen(held.union(last)))
+        if new.select(tenant, "at").exceptAll(last.select(tenant, "at")).isEmpty() and last.select(tenant, "at").exceptAll(new.select(tenant, "at")).isEmpty():
+            break
+        last = new
+    out = read.join(new.select(tenant, "at", F.lit(True).alias("_in")), [tenant, "at"], "left")
+    outcome = F.when(F.col("name").isNull(), "error").when(F.col("_in"), "imported").otherwise("skipped")
+    number = F.col("at") + 2
+    said = F.concat(F.lit("Fila "), number.cast("string"), F.lit(': columna "Nombre" vacía — omitida'))
+    return out.select(tenant, number.alias("row_number"), *VENDOR_HEADINGS, outcome.alias("outcome"), F.when(F.col("name").isNull(), said).alias("message"))
