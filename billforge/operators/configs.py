@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billforge.functions.text import js_trim
 
-# The fields of a patch and what they must keep: least and most of a number, or least length of a text.
+# The fields of a patch: kind, least and most (of a number, or of a text's length), and whether null is a value.
 PATCH_RULES = {
-    "name": ("length", 2, None), "batchSize": ("value", 1, 500), "intervalMinutes": ("value", 1, 1440), "sheetsId": ("length", 10, None),
-    "sheetName": ("length", 1, None), "googleProjectId": ("length", 2, None), "googlePrivateKey": ("length", 50, None),
-    "driveFolderPending": ("length", 5, None), "driveFolderScanned": ("length", 5, None), "geminiApiKey": ("length", 10, None), "openaiApiKey": ("length", 10, None),
+    "name": ("text", 2, None, False), "isActive": ("flag", None, None, False), "consortiumsEnabled": ("flag", None, None, False),
+    "batchSize": ("whole", 1, 500, False), "intervalMinutes": ("whole", 1, 1440, False), "sheetsId": ("text", 10, None, False),
+    "altaSheetsId": ("text", 10, None, True), "sheetName": ("text", 1, None, False), "googleProjectId": ("text", 2, None, False),
+    "googleClientEmail": ("mail", None, None, False), "googlePrivateKey": ("text", 50, None, False), "driveFolderPending": ("text", 5, None, False),
+    "driveFolderScanned": ("text", 5, None, False), "driveFolderUnassigned": ("text", 0, None, True), "driveFolderFailed": ("text", 0, None, True),
+    "driveFolderReceipts": ("text", 0, None, True), "geminiApiKey": ("text", 10, None, True), "openaiApiKey": ("text", 10, None, True),
 }
+MAIL = r"(?i)^(?!\.)(?!.*\.\.)([A-Z0-9_'+\-.]*)[A-Z0-9_+\-]@([A-Z0-9][A-Z0-9-]*\.)+[A-Z]{2,}$"
 
 
 def no_entries() -> Column:
@@ -42,11 +46,56 @@ def folder_issues(json: Column) -> Column:
     return F.array_compact(F.array(F.when(json.isNull(), "no_folders"), of(pending, "pending"), of(scanned, "scanned"), same))
 
 
-def violations(rows: DataFrame, rules: dict[str, tuple[str, int, int | None]]) -> Column:
-    """Names, in alphabetical order, of the fields in ``rows`` that break their rule; nulls (not given) break none."""
-    found = []
-    for name, (what, least, most) in sorted(rules.items()):
-        if name in rows.columns:
-            c = F.length(name) if what == "length" else F.col(name)
-            found.append(F.when((c < least) | (F.lit(False) if most is None else c > most), name))
-    return F.array_compact(F.array(*found))
+def violations(body: Column, rules: dict[str, tuple] = PATCH_RULES) -> Column:
+    """Names, in alphabetical order, of the fields of a JSON object that break their rule.
+
+    A field that isn't given breaks none, a null only where null is no value, and
+    a value of another kind always does; whole numbers may be written with a zero
+    fraction. A text that is no JSON object breaks 'body'.
+    """
+    v = F.try_parse_json(body)
+
+    def broken(name: str, kind: str, least: int | None, most: int | None, nullable: bool) -> Column:
+        x = F.try_variant_get(v, f"$.{name}", "variant")
+        is_null = F.coalesce(F.is_variant_null(x), F.lit(False))
+        told = F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+        text, number = F.try_variant_get(x, "$", "string"), F.try_variant_get(x, "$", "double")
+        if kind == "flag":
+            ok = told == "BOOLEAN"
+        elif kind == "whole":
+            ok = told.rlike(r"^(BIGINT|DOUBLE|DECIMAL.*)$") & (number == F.floor(number)) & number.between(least, most)
+        elif kind == "mail":
+            ok = (told == "STRING") & text.rlike(MAIL)
+        else:
+            ok = (told == "STRING") & (F.length(text) >= least)
+        return F.when(is_null, F.lit(None) if nullable else F.lit(name)).when(x.isNotNull() & ~F.coalesce(ok, F.lit(False)), name)
+
+    found = F.array_compact(F.array(*(broken(name, *rules[name]) for name in sorted(rules))))
+    return F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), found).otherwise(F.array(F.lit("body")))
+
+
+# What a tenant's config must have to be processed, in the order of asking.
+CONFIG_ERRORS = (
+    "Missing required client config: driveFoldersJson.pending", "Missing required client config: driveFoldersJson.scanned",
+    "Invalid client config: pending and scanned folders must be different", "Missing required client config: sheetName",
+    "Missing required client config: google credentials (projectId/clientEmail/privateKey/sheetsId)",
+)
+GOOGLE_FIELDS = ("projectId", "clientEmail", "privateKey", "sheetsId")
+
+
+def config_error(folders: Column, google: Column, sheet_name: Column, *, pending: str = "", scanned: str = "") -> Column:
+    """The first thing that keeps a tenant from being processed, else null; ``pending`` and ``scanned`` stand where the tenant has none."""
+    f, g = as_map(folders), as_map(google)
+
+    def cell(m: Column, name: str, default: str = "") -> Column:
+        return F.coalesce(F.nullif(js_trim(F.try_element_at(m, F.lit(name))), F.lit("")), F.lit(default))
+
+    p, s = cell(f, "pending", pending), cell(f, "scanned", scanned)
+    whole = F.lit(True)
+    for name in GOOGLE_FIELDS:
+        whole = whole & (cell(g, name) != "")
+    wrong = (p == "", s == "", p == s, js_trim(F.coalesce(sheet_name, F.lit(""))) == "", ~whole)
+    out = F.lit(None).cast("string")
+    for test, said in reversed(list(zip(wrong, CONFIG_ERRORS, strict=True))):
+        out = F.when(test, said).otherwise(out)
+    return out

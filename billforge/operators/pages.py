@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from billforge.functions import keys as K
@@ -79,3 +79,20 @@ def updated(target: DataFrame, source: DataFrame, key: str, columns: list[str])
     one = source.groupBy(key).agg(F.min(F.struct(*columns)).alias("_s"))
     out = target.join(one, key, "left")
     return out.select(*(F.when(F.col("_s").isNull(), F.col(c)).otherwise(F.col(f"_s.{c}")).alias(c) if c in columns else c for c in target.columns))
+
+
+def page_with_total(rows: DataFrame, order: list, *, page: int = 1, size: int = 50) -> tuple[DataFrame, Observation]:
+    """One page of ``rows`` in order and, after an action on it, how many rows there are: ``observation.get["total"]``.
+
+    The page is 1 at least and its size from 1 to 100. The rows are counted in the
+    pass that finds the page's; only as many rows as the pages up to this one hold are sorted.
+    """
+    page, size = max(1, page), min(100, max(1, size))
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("total"))
+    return counted.orderBy(*order).limit(page * size).orderBy(*order).offset((page - 1) * size), seen
+
+
+def ordered_by(rows: DataFrame, related: DataFrame, key: str, order: list) -> DataFrame:
+    """``rows`` with the columns of ``related``, in an order that may name these; a row without its related one stays, its cells null."""
+    return rows.join(related, key, "left").orderBy(*order)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billforge.functions.keys import period_label
+from billforge.operators.carry import last_before
 
 
 def majority_month(periods: DataFrame, by: str) -> DataFrame:
@@ -70,6 +71,6 @@ def greedy_gate(ticks: DataFrame, by: str, ts: str, seconds: int, tie: str) -> D
 
 
 def lag_gate(ticks: DataFrame, by: str, ts: str, seconds: int, tie: str) -> DataFrame:
-    """``ticks`` with ``gap_ok``: at least ``seconds`` since the tick before."""
-    before = F.lag(ts).over(Window.partitionBy(by).orderBy(ts, tie))
-    return ticks.withColumn("gap_ok", F.coalesce(F.col(ts).cast("double") - before.cast("double") >= seconds, F.lit(True)))
+    """``ticks`` with ``gap_ok``: at least ``seconds`` since the tick before. A key's days are looked at apart and hand on their last tick."""
+    out = last_before(ticks, [by], [ts, tie], F.col(ts).cast("double"), bucket=F.to_date(ts), name="_last")
+    return out.withColumn("gap_ok", F.coalesce(F.col(ts).cast("double") - F.col("_last") >= seconds, F.lit(True))).drop("_last")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billforge.functions import shown as S
+from billforge.operators.jobs import is_quota_error, trimmed_error
 
 # The counts of a summary.
 COUNTS = {
@@ -60,6 +61,64 @@ def added_up(rows: DataFrame, summary: str) -> DataFrame:
     return s.agg(F.count(F.lit(1)).alias("n_summaries"), *sums, F.coalesce(F.sum(F.size(f"{summary}.errors")), F.lit(0)).cast("long").alias("n_errors"))
 
 
+def folded(rows: DataFrame, summary: str, order: list[str]) -> DataFrame:
+    """One row with the sums of all summaries, maps and errors included: counts and tokens, by_provider and by_model added
+    up entry by entry, and the errors of all in the ``order`` of their rows.
+
+    Entries are added up by their name before maps are made of them. Errors are one list, as in a summary: their number is that of failed files.
+    """
+    s = rows.where(F.col(summary).isNotNull())
+    out = added_up(rows, summary)
+    for name in ("by_provider", "by_model"):
+        entry = s.select(F.explode(F.map_entries(f"{summary}.{name}")).alias("e"))
+        sums = entry.groupBy("e.key").agg(*(F.sum(f"e.value.{t}").alias(t) for t in TOKENS))
+        pairs = sums.agg(F.array_sort(F.collect_list(F.struct("key", F.struct(*TOKENS).alias("value")))).alias("m"))
+        out = out.join(pairs.select(F.map_from_entries("m").alias(name)))
+    listed = s.select(F.struct(*order).alias("o"), F.posexplode(f"{summary}.errors").alias("i", "e"))
+    errors = listed.agg(F.array_sort(F.collect_list(F.struct("o", "i", "e"))).alias("l"))
+    return out.join(errors.select(F.transform("l", lambda x: x["e"]).alias("errors")))
+
+
+# The vendors whose quota is told, and the words in an error that name each.
+QUOTA_VENDORS = {"gemini": ("gemini", "generativelanguage"), "openai": ("openai",)}
+USED = "Consumo detectado en la ultima ejecucion."
+
+
+def quota_patch(summary: Column, error: Column) -> Column:
+    """By vendor, the status and note that a run leaves: map of vendor to struct<status, note>.
+
+    Of a run with a summary: usage says 'ok', and after it each error of an exhausted
+    quota that names the vendor says 'limited', the last one with its text. Of a run without one its error does, where it names
+    the vendor itself. A vendor that nothing is said of has no entry.
+    """
+
+    def last_error(words: tuple[str, ...]) -> Column:
+        named = F.filter(summary["errors"], lambda e: is_quota_error(e["error"]) & _names(e["error"], words))
+        return F.try_element_at(named, F.lit(-1))["error"]
+
+    def patch(vendor: str, words: tuple[str, ...]) -> Column:
+        used = F.coalesce(F.try_element_at(summary["by_provider"], F.lit(vendor))["total_tokens"] > 0, F.lit(False))
+        said = F.when(summary.isNotNull(), last_error(words)).when(is_quota_error(error) & _names(error, (vendor,)), error)
+        status = F.when(said.isNotNull(), "limited").when(used, "ok")
+        note = F.when(said.isNotNull(), trimmed_error(said)).when(used, USED)
+        return F.when(status.isNotNull(), F.struct(F.lit(vendor).alias("key"), F.struct(status.alias("status"), note.alias("note")).alias("value")))
+
+    return F.map_from_entries(F.array_compact(F.array(*(patch(v, w) for v, w in QUOTA_VENDORS.items()))))
+
+
+def _names(message: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.lower(message).contains(w)
+    return out
+
+
+def quota_states(log: DataFrame, by: str, summary: str, error: str, order: list[str]) -> DataFrame:
+    """by, vendor, status and note after all runs of ``log``: for each vendor what the last run says that says something."""
+    said = log.select(by, F.struct(*order).alias("o"), F.explode(quota_patch(F.col(summary), F.col(error))).alias("vendor", "p"))
+    return said.groupBy(by, "vendor").agg(F.max_by("p", "o").alias("p")).select(by, "vendor", "p.status", "p.note")
+
+
 def usage_rows(rows: DataFrame, summary: str) -> DataFrame:
     """``rows`` once for each metered count of their summary: grain, provider, model and the three token counts.
 

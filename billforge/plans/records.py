@@ -189,8 +189,8 @@ def q_patch_config(spark: SparkSession, d: str) -> DataFrame:
  CASE WHEN length(o_orderstatus) < 2 THEN 'name' END) AS invalid FROM orders""")
 def q_invalid_patches(spark: SparkSession, d: str) -> DataFrame:
     """The fields of each request that are out of range."""
-    r = T.read(spark, d, "orders").withColumns({"batchSize": F.col("o_orderkey") % 700, "intervalMinutes": F.col("o_custkey"), "name": F.col("o_orderstatus"), "sheetName": F.lit(None).cast("string")})
-    return r.select("o_orderkey", F.concat_ws(",", configs.violations(r, configs.PATCH_RULES)).alias("invalid"))
+    body = F.to_json(F.struct((F.col("o_orderkey") % 700).alias("batchSize"), F.col("o_custkey").alias("intervalMinutes"), F.col("o_orderstatus").alias("name")))
+    return T.read(spark, d, "orders").select("o_orderkey", F.concat_ws(",", configs.violations(body)).alias("invalid"))
 
 
 # --- queue and lists ---------------------------------------------------------------------------------
