@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from billforge.functions import address as A
 from billforge.functions import shown as S
 from billforge.functions import text as X
-from billforge.operators import configs, directory, documents, jobs, match, pages, queue, runs
+from billforge.operators import configs, directory, jobs, pages, queue, runs
 from billforge.plans.queries import _BILL_SQL, _INV, _NAME_SQL, _PER, _RAW_SQL, _WORDS, _longs, _raw_addresses, _sql_any, query
+from billforge.operators.extract import parse_answer
+from billforge.sources import extractors
 from billforge.sources import tables as T
 
 # --- run summaries, log, counters, usage rows --------------------------------------------------------
@@ -239,6 +241,32 @@ def q_invoice_catalog(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(s.join(n, "client_id", "left"), "l_suppkey", "left").select("l_orderkey", "line_number", "l_partkey", "coeficiente", "rubro")
 
 
+# --- extractors ------------------------------------------------------------------------------------------
+
+_HEAD = """CASE WHEN doc_id % 3 < 2 THEN 'Razón Social: Consorcio ' || source || ' ' || doc_id % 50 || chr(10) ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN 'CUIT 30-' || lpad(CAST(doc_id % 70 AS VARCHAR), 8, '0') || '-1' || chr(10) ELSE '' END
+ || CASE WHEN doc_id % 5 > 0 THEN 'Factura Nº ' || doc_id || chr(10) ELSE '' END || 'TOTAL: $ 1.' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ',50' || chr(10) || text"""
+
+
+@query(rf"""WITH b AS (SELECT doc_id, text IS NULL AS none, {_HEAD} AS t FROM documents),
+ x AS (SELECT doc_id, none, t, nullif(regexp_extract(t, '(?i)raz[oó]n social: *([^
+]*[^
+ ])', 1), '') AS consortium, nullif(regexp_extract(t, '(?i)(?:boleta|factura) n[º°ro.]* *([0-9][0-9-]*)', 1), '') AS number, list_extract(regexp_extract_all(t, '[0-9]{{2}}-[0-9]{{8}}-[0-9]'), 1) AS tax FROM b),
+ y AS (SELECT *, CASE WHEN none THEN NULL WHEN consortium IS NOT NULL AND number IS NOT NULL THEN 'labelled-lines' WHEN number IS NOT NULL THEN 'numbers' END AS model FROM x)
+ SELECT doc_id, model, CASE WHEN model IS NOT NULL THEN consortium END AS consortium, CASE WHEN model IS NOT NULL THEN number END AS boleta_number, CASE WHEN model IS NOT NULL THEN tax END AS provider_tax_id,
+  CASE WHEN model IS NOT NULL THEN 1000.5 + doc_id % 1000 END AS amount, CASE WHEN model = 'labelled-lines' OR none THEN '' WHEN model = 'numbers' THEN 'rules: no consortium in the text' WHEN consortium IS NULL THEN 'rules: no consortium in the text; rules: no boletaNumber in the text' ELSE 'rules: no boletaNumber in the text; rules: no boletaNumber in the text' END AS errors FROM y""")
+def q_extractors(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with labelled lines read by two extractors in turn, and the errors of those that could not."""
+    i = F.col("doc_id")
+    tax = F.concat(F.lit("CUIT 30-"), F.lpad((i % 70).cast("string"), 8, "0"), F.lit("-1\n"))
+    head = F.concat(
+        F.when(i % 3 < 2, F.concat(F.lit("Razón Social: Consorcio "), "source", F.lit(" "), (i % 50).cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 4 > 0, tax).otherwise(""),
+        F.when(i % 5 > 0, F.concat(F.lit("Factura Nº "), i.cast("string"), F.lit("\n"))).otherwise(""), F.lit("TOTAL: $ 1."), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit(",50\n"), "text",
+    )
+    chain = [extractors.Rules(("consortium", "boletaNumber")), extractors.Rules(("boletaNumber",), model="numbers")]
+    out = parse_answer(extractors.extract(T.spread(T.read(spark, d, "documents").select("doc_id", head.alias("text"))), chain).withColumnRenamed("provider", "by"), "answer")
+    return out.select("doc_id", "model", "consortium", "boleta_number", "provider_tax_id", "amount", F.array_join("errors", "; ").alias("errors"))
+
+
 # --- pages -----------------------------------------------------------------------------------------------
 
 
