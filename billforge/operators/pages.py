@@ -81,16 +81,17 @@ def updated(target: DataFrame, source: DataFrame, key: str, columns: list[str])
     return out.select(*(F.when(F.col("_s").isNull(), F.col(c)).otherwise(F.col(f"_s.{c}")).alias(c) if c in columns else c for c in target.columns))
 
 
-def page_with_total(rows: DataFrame, order: list, *, page: int = 1, size: int = 50) -> tuple[DataFrame, Observation]:
-    """One page of ``rows`` in order and, after an action on it, how many rows there are: ``observation.get["total"]``.
+def page_with_total(rows: DataFrame, order: list, settle: Callable[[DataFrame], DataFrame], *, page: int = 1, size: int = 50) -> tuple[DataFrame, int]:
+    """One page of ``rows`` in order, as ``settle`` has written it, and how many rows there are.
 
     The page is 1 at least and its size from 1 to 100. The rows are counted in the
     pass that finds the page's; only as many rows as the pages up to this one hold are sorted.
+    ``rows`` come from tables: of made-up rows, whose number Spark knows, it may sort all, after a pass that samples them, and so count twice.
     """
     page, size = max(1, page), min(100, max(1, size))
     seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("total"))
-    return counted.orderBy(*order).limit(page * size).orderBy(*order).offset((page - 1) * size), seen
+    out = settle(rows.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).offset((page - 1) * size).limit(size))
+    return out.orderBy(*order), seen.get["total"]
 
 
 def ordered_by(rows: DataFrame, related: DataFrame, key: str, order: list) -> DataFrame:

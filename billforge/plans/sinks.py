@@ -127,9 +127,8 @@ def q_secrets(spark: SparkSession, d: str) -> DataFrame:
 def q_page_total(spark: SparkSession, d: str) -> DataFrame:
     """The third page of the dearest invoices, of as many as a page may have, and how many there are in all."""
     order = [F.desc("amount"), "l_orderkey", "l_linenumber", "l_partkey", "provider_id"]
-    page, seen = pages.page_with_total(T.invoices(spark, d).where("year >= 1996"), order, page=3, size=5000)
-    page = T.settled(page)
-    return page.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), F.col("amount").cast("double").alias("amount"), F.lit(seen.get["total"]).alias("total"))
+    page, total = pages.page_with_total(T.invoices(spark, d).where("year >= 1996"), order, T.settled, page=3, size=5000)
+    return page.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), F.col("amount").cast("double").alias("amount"), F.lit(total).cast("long").alias("total"))
 
 
 @query("""SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY c_acctbal DESC, c_custkey, o_orderkey LIMIT 40""")
