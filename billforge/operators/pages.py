@@ -97,3 +97,29 @@ def page_with_total(rows: DataFrame, order: list, settle: Callable[[DataFrame],
 def ordered_by(rows: DataFrame, related: DataFrame, key: str, order: list) -> DataFrame:
     """``rows`` with the columns of ``related``, in an order that may name these; a row without its related one stays, its cells null."""
     return rows.join(related, key, "left").orderBy(*order)
+
+
+def with_children(rows: DataFrame, children: DataFrame, key: str, newest: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the list of their children as structs of the columns ``newest``, the largest first; without children it is empty.
+
+    A parent's children are one list, so they must be few, as months are.
+    """
+    listed = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*newest)), asc=False).alias(name))
+    out = rows.join(listed, key, "left")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+
+
+def search(fields: list[str], exact: list[str], text: str) -> Column:
+    """Rows with ``text`` in one of ``fields``, whatever its case, or in one of ``exact`` as it is in lower case; nulls hold nothing, an empty text finds all."""
+    q = text.lower()
+    out = F.lit(q == "")
+    for c in fields:
+        out = out | F.coalesce(F.lower(c).contains(q), F.lit(False))
+    for c in exact:
+        out = out | F.coalesce(F.col(c).contains(q), F.lit(False))
+    return out
+
+
+def found_totals(rows: DataFrame, by: str) -> DataFrame:
+    """by, n_found, total (missing amounts count as 0) and n_duplicates of ``rows`` (amount, is_duplicate)."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_found"), F.sum(F.coalesce("amount", F.lit(0))).cast("double").alias("total"), F.count_if("is_duplicate").alias("n_duplicates"))

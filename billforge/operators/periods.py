@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billforge.functions.keys import period_label
+from billforge.functions.keys import month_name, period_label
 from billforge.operators.carry import last_before
 
 
@@ -37,6 +37,13 @@ def close_all(active: DataFrame, majority_year: str = "majority_year", majority_
     return active.withColumn("action", F.when(same, "close").otherwise("skip")).withColumn("next_year", F.when(same, F.year(ahead))).withColumn("next_month", F.when(same, F.month(ahead)))
 
 
+def close_counts(closed: DataFrame, by: str) -> DataFrame:
+    """by, n_to_close, n_to_skip and the label of the month to open ('Marzo 2024'), from close_all's rows with the majority month."""
+    ahead = F.add_months(F.make_date("majority_year", "majority_month", F.lit(1)), 1)
+    label = F.concat(month_name(F.month(ahead)), F.lit(" "), F.year(ahead).cast("string"))
+    return closed.groupBy(by).agg(F.count_if(F.col("action") == "close").alias("n_to_close"), F.count_if(F.col("action") == "skip").alias("n_to_skip"), F.max(label).alias("next_label"))
+
+
 def greedy_gate(ticks: DataFrame, by: str, ts: str, seconds: int, tie: str) -> DataFrame:
     """``ticks`` with ``accepted``: the first of each ``by``, then each at least ``seconds`` after the last accepted one.
 
