@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billforge.llm.shared import cut
+from billforge.llm.shared import cut, quoted
 
 _SPACE = r"[\\x20\\x09-\\x0D]"  # inside a SQL string
 _WORDS = f"filter(split(t, '{_SPACE}+'), w -> w <> '')"
@@ -111,17 +111,18 @@ def remove_lines(docs: DataFrame, *, host: str = "source", most_docs: int = 20)
 
     Documents are counted as in judge; every row stays, columns may have any names.
     """
-    row = docs.select(F.struct(*docs.columns).alias("row"))
-    key = F.struct(F.xxhash64("row.doc_id", f"row.{host}", "row.text").alias("a"), F.xxhash64(F.lit(1), "row.text", f"row.{host}", "row.doc_id").alias("b"))
+    row = docs.select(F.struct(*quoted(docs)).alias("row"))
+    where = F.col("row").getField(host)
+    key = F.struct(F.xxhash64("row.doc_id", where, "row.text").alias("a"), F.xxhash64(F.lit(1), "row.text", where, "row.doc_id").alias("b"))
     keyed = row.withColumn("same", key)
-    own = keyed.select("same", F.col("row.doc_id").alias("doc_id"), F.explode(F.array_distinct(line_keys("row.text", f"row.{host}")["key"])).alias("key"))
+    own = keyed.select("same", F.col("row.doc_id").alias("doc_id"), F.explode(F.array_distinct(line_keys(F.col("row.text"), where)["key"])).alias("key"))
     above = _above(own, most_docs)
     gone = _salted(own.dropDuplicates(["same", "key"]), above, F.col("same.a")).groupBy("same").agg(F.collect_set("key").alias("gone"))
 
     def stays(line: Column) -> Column:
         norm = F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
-        return (norm == "") | ~F.array_contains("gone", F.xxhash64(F.col(f"row.{host}"), norm))
+        return (norm == "") | ~F.array_contains("gone", F.xxhash64(where, norm))
 
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), stays), "\n"))
     cut_ = keyed.join(gone, "same", "left").withColumn("text", text)
-    return cut_.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return cut_.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,32 +1,13 @@
-"""Places of rows in a total order, without gathering a group in one task."""
+"""Places of rows in a total order; tables between are written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from billforge.llm.shared import cut
+from billforge.operators import numbering
 
 
 def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``place`` (long, gapless from 0 in each ``group``), ordered by the columns ``order``, nulls first.
-
-    Rows are spread by ranges of group and order, so a group of any size lies in as
-    many tasks as it needs; a task's rows are counted, and each gets the sum of the
-    counts before it. Rows that are equal in ``order`` are told apart by where they
-    were read. A null group is a group of its own.
-    """
-    keys = [group, *order]
-    sorted_ = (
-        rows.withColumn("_read", F.monotonically_increasing_id())
-        .repartitionByRange(*(F.asc_nulls_first(c) for c in keys), "_read")
-        .sortWithinPartitions(*(F.asc_nulls_first(c) for c in keys), "_read")
-        .withColumn("_at", F.monotonically_increasing_id())
-        .drop("_read")
-    )
-    sorted_ = cut(sorted_.withColumn("_part", F.shiftright("_at", 33)))
-    counts = sorted_.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
-    starts = counts.select("_group", "_of", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = sorted_.join(starts, sorted_[group].eqNullSafe(F.col("_group")) & (sorted_["_part"] == F.col("_of")))
-    return placed.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"))
+    """operators.numbering.numbered, with ``place``."""
+    return numbering.numbered(rows, group, order, cut)

@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, one under the warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def one_text(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id long, text and others) without rows that repeat a doc_id with another text than that of the least hash.
 

@@ -66,7 +66,7 @@ def scan(page: str) -> tuple[str | None, list[str], str]:
             absent.add(name)
         return found
 
-    at, size = 0, len(page)
+    at, size, close = 0, len(page), 0
     while at < size:
         i = page.find("<", at)
         if i < 0:
@@ -76,7 +76,7 @@ def scan(page: str) -> tuple[str | None, list[str], str]:
             out.append(" ")
             at = end[1]
             continue
-        close = page.find(">", i)
+        close = close if close > i else page.find(">", i)  # the next one, looked for once
         if close < 0:
             at = i
             break

@@ -198,3 +198,23 @@ def test_many_buckets(spark):
 def test_no_repeats(docs, nothing):
     assert {r["doc_id"] for r in find_repeats(docs).collect()} == set()
     assert find_repeats(nothing).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path, monkeypatch):
+    """Dots and blanks in names, and names that the operators use themselves."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from billforge.llm import line_quality
+
+    line = "one line that every document of the host has"
+    rows = [(i, f"{line}\n" + " ".join(f"w{i % 7}x{j}" for j in range(60)), "s", "v", i) for i in range(30)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string, `x y` long").withColumn("score", F.lit(1)).withColumn("row", F.lit("r"))
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = line_quality.remove_lines(docs, most_docs=5)
+    assert out.columns == docs.columns and out.where("text like 'one line%'").count() == 0 and out.where("`a.b` = 'v'").count() == 30
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats, corpus_pipeline.mask_personal_data):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 8
