@@ -87,15 +87,13 @@ def usable_tax_ids(c: Column) -> Column:
 
 
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-# Legal forms of companies, first match wins.
-LEGAL_FORMS = (
-    r"s\.?r\.?l\.?", r"s\.?a\.?", r"s\.?a\.?s\.?", r"s\.?c\.?s?\.?", r"s\.?h\.?", r"ltda?\.?", r"e\.?i\.?r\.?l\.?", r"s\.?a\.?u\.?",
-)
+# Fixed value: legal forms of companies, first match wins.
+LEGAL_FORMS = r"s\.?r\.?l\.?|s\.?a\.?|s\.?a\.?s\.?|s\.?c\.?s?\.?|s\.?h\.?|ltda?\.?|e\.?i\.?r\.?l\.?|s\.?a\.?u\.?"
 
 
 def provider_name(c: Column) -> Column:
     """Lower case without legal forms and punctuation, white space collapsed."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{_EDGE}({'|'.join(LEGAL_FORMS)}){_EDGE}", " ")
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{_EDGE}({LEGAL_FORMS}){_EDGE}", " ")
     return js_trim(F.regexp_replace(F.regexp_replace(plain, "[.,_-]", " "), r"\s+", " "))
 
 
@@ -109,7 +107,14 @@ def period_label(month: Column, year: Column) -> Column:
 
 
 def month_name(month: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(m) for m in MONTHS)), month)
+    """The name of a month, null where it is null (element_at alone may take the last one then)."""
+    return F.when(month.isNotNull(), F.element_at(F.array(*(F.lit(m) for m in MONTHS)), month))
+
+
+def receipts_folder(building: Column, month: Column, year: Column) -> Column:
+    """The folder of a receipt below the tenant's: the building and the period in capitals, or what stands for a missing one."""
+    period = F.concat(F.upper(month_name(month)), F.lit(" "), year.cast("string"))
+    return F.concat_ws("/", F.coalesce(building, F.lit("Sin Consorcio")), F.coalesce(period, F.lit("Sin Período")))
 
 
 def pesos(c: Column) -> Column:

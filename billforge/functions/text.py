@@ -96,15 +96,14 @@ def is_numeric_line(c: Column) -> Column:
     return F.regexp_replace(c, f"{JS_SPACE}+", "").rlike(r"^[0-9./-]+$")
 
 
-# First words of lines that describe the bill.
+# Fixed value: first words of lines that describe the bill.
 METADATA_WORDS = (
-    "cuit", "iva", "fecha", "cae", "comprobante", "subtotal", "total", "domicilio", "condici[oó]n", "ingresos", "inicio",
-    "punto de venta", "c[oó]digo", "regimen", "otros impuestos", "hys",
-)
+    r"cuit|iva|fecha|cae|comprobante|subtotal|total|domicilio|condici[oó]n|ingresos|inicio|punto de venta|c[oó]digo|regimen|otros impuestos|hys"
+)
 
 
 def is_metadata_line(c: Column) -> Column:
-    return c.rlike("(?i)^(" + "|".join(METADATA_WORDS) + ")(?![A-Za-z0-9_])")
+    return c.rlike(f"(?i)^({METADATA_WORDS})(?![A-Za-z0-9_])")
 
 
 def has_letters(c: Column) -> Column:

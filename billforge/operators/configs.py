@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from billforge.functions.secret import decrypted
 from billforge.functions.text import js_trim
 
 # The fields of a patch: kind, least and most (of a number, or of a text's length), and whether null is a value.
@@ -99,3 +100,40 @@ def config_error(folders: Column, google: Column, sheet_name: Column, *, pending
     for test, said in reversed(list(zip(wrong, CONFIG_ERRORS, strict=True))):
         out = F.when(test, said).otherwise(out)
     return out
+
+
+def google_config(json: Column, secret: Column) -> Column:
+    """The credentials of a config as a struct, the private key decrypted; null where one of the four is missing or blank."""
+    m = as_map(json)
+    cells = {n: F.nullif(js_trim(F.try_element_at(m, F.lit(n))), F.lit("")) for n in GOOGLE_FIELDS}
+    whole = F.lit(True)
+    for c in cells.values():
+        whole = whole & c.isNotNull()
+    return F.when(whole, F.struct(*((decrypted(c, secret) if n == "privateKey" else c).alias(n) for n, c in cells.items())))
+
+
+# What a config says of the extractors' vendors.
+AI_KEYS, AI_MODELS = ("geminiApiKey", "openaiApiKey"), ("geminiModel", "openaiModel")
+
+
+def ai_config(json: Column, secret: Column) -> Column:
+    """Keys (decrypted) and models of a config as a struct, each null where it is missing or blank; null where all are."""
+    m = as_map(json)
+    cells = {n: F.nullif(js_trim(F.try_element_at(m, F.lit(n))), F.lit("")) for n in (*AI_KEYS, *AI_MODELS)}
+    told = F.struct(*((F.when(c.isNotNull(), decrypted(c, secret)) if n in AI_KEYS else c).alias(n) for n, c in cells.items()))
+    return F.when(F.coalesce(*cells.values()).isNotNull(), told)
+
+
+# The fields that a column mapping must name.
+MAPPED_FIELDS = ("boletaNumber", "provider", "consortium", "providerTaxId", "detail", "observation", "dueDate", "amount", "alias", "clientNumber", "sourceFileUrl", "isDuplicate", "period")
+
+
+def mapping_config(json: Column) -> Column:
+    """The column mapping of a config as a map, null where a field is missing, blank or no text."""
+    raw = F.try_variant_get(F.try_parse_json(json), "$.columnMapping", "variant")
+    whole = F.lit(True)
+    for name in MAPPED_FIELDS:
+        x = F.try_variant_get(raw, f"$.{name}", "variant")
+        text = F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING"
+        whole = whole & text & (js_trim(F.coalesce(F.try_variant_get(raw, f"$.{name}", "string"), F.lit(""))) != "")
+    return F.when(whole, F.try_variant_get(raw, "$", "map<string,string>"))

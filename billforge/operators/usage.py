@@ -16,3 +16,15 @@ def usage_grains(usage: DataFrame) -> DataFrame:
     )
     grain = F.when(F.col("g") == 3, "aggregate").when(F.col("g") == 1, "provider").otherwise("model")
     return out.select("client_id", grain.alias("grain"), F.coalesce("provider", "model", F.lit("aggregate")).alias("name"), "tokens", "n_calls")
+
+
+def stored_totals(rows: DataFrame, tenants: DataFrame, tenant: str = "client_id") -> DataFrame:
+    """grain ('provider' or 'model'), name and the three sums over the usage rows of ``tenants``.
+
+    Stored rows are of three grains: a vendor's have no model and are not of 'aggregate', a
+    model's have one; each is added up by itself, as all hold the same tokens.
+    """
+    own = rows.join(tenants.select(tenant).distinct(), tenant, "left_semi")
+    grain = F.when(F.col("model").isNotNull(), "model").when(F.col("provider") != "aggregate", "provider")
+    told = own.select(grain.alias("grain"), F.coalesce("model", "provider").alias("name"), "input_tokens", "output_tokens", "total_tokens").where("grain is not null")
+    return told.groupBy("grain", "name").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")))

@@ -59,7 +59,7 @@ def _key_sql(tax: str) -> str:
 
 def _generation_sql(g: int) -> str:
     """``rec{g}``: each document's record of generation ``g`` with its place, from ``in{g}``; and what a copy takes of it, ``in{g + 1}``."""
-    plain = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(provider, '')), '\\b({'|'.join(K.LEGAL_FORMS)})\\b', ' ', 'g'), '[.,_-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    plain = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(provider, '')), '\\b({K.LEGAL_FORMS})\\b', ' ', 'g'), '[.,_-]', ' ', 'g'), '\\s+', ' ', 'g'))"
     return rf"""x{g} AS MATERIALIZED (SELECT i.*, name, match_text, {plain} AS pn, regexp_replace(coalesce(tax_id, ''), '[^0-9]', '', 'g') AS own FROM in{g} AS i LEFT JOIN named ON raw = consortium),
  t{g} AS (SELECT doc_id, client_id, unnest(tax_ids) AS t, generate_subscripts(tax_ids, 1) AS pos FROM x{g}),
  cv{g} AS (SELECT t.doc_id, arg_min(vendor_id, pos * 1000000 + vendor_id) AS cv FROM t{g} AS t JOIN v ON v.client_id = t.client_id AND v.digits = t.t GROUP BY 1),

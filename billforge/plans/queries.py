@@ -204,7 +204,7 @@ _FORMS = (" S.R.L.", " S.A.", " SAS", " LTDA. SUR", " S.H.", "")
 
 
 @query(f"""WITH s AS (SELECT s_suppkey, s_name || list_extract({list(_FORMS)}, CAST(s_suppkey % {len(_FORMS)} AS INTEGER) + 1) AS raw FROM supplier)
- SELECT s_suppkey, raw, trim(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\b({"|".join(K.LEGAL_FORMS)})\\b', ' ', 'g'), '[.,_-]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM s""")
+ SELECT s_suppkey, raw, trim(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\b({K.LEGAL_FORMS})\\b', ' ', 'g'), '[.,_-]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM s""")
 def q_provider_name_norm(spark: SparkSession, d: str) -> DataFrame:
     form = F.element_at(F.array(*(F.lit(f) for f in _FORMS)), (F.col("s_suppkey") % len(_FORMS)).cast("int") + 1)
     s = T.read(spark, d, "supplier").select("s_suppkey", F.concat("s_name", form).alias("raw"))

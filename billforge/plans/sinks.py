@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billforge.functions import keys as K
 from billforge.functions import secret
-from billforge.operators import configs, pages, runs, sheets
+from billforge.operators import configs, pages, runs, sheets, usage
 from billforge.plans.queries import _INV, query
 from billforge.plans.records import _RUNS, _runs
 from billforge.sources import snapshots
@@ -197,3 +197,41 @@ def q_config_errors(spark: SparkSession, d: str) -> DataFrame:
     folders = F.to_json(F.struct(F.when(k % 7 == 0, " ").otherwise("f1").alias("pending"), F.when(k % 5 != 0, F.when(k % 3 == 0, "f1 ").otherwise("f2")).alias("scanned")))
     google = F.when(k % 4 != 0, F.to_json(F.struct(F.lit("p").alias("projectId"), F.lit("e").alias("clientEmail"), F.lit("k").alias("privateKey"), F.when(k % 2 == 1, "s").alias("sheetsId"))))
     return T.read(spark, d, "customer").select("c_custkey", configs.config_error(folders, google, F.when(k % 11 == 0, " ").otherwise("Sheet1")).alias("error"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 5 <> 1 AS project, c_custkey % 7 <> 2 AS sheet, c_custkey % 3 AS ai FROM customer)
+ SELECT k AS c_custkey, CASE WHEN project AND sheet THEN 'p' || k || '/secret ' || k || '/s' END AS google, CASE ai WHEN 1 THEN 'key ' || k || '//' WHEN 2 THEN '//gpt' END AS ai, CASE WHEN k % 4 = 0 THEN 'M/A' END AS mapping FROM c""")
+def q_client_configs(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials, extractors' settings and column mappings read from each tenant's JSON, keys decrypted."""
+    k, key = F.col("c_custkey"), F.lit("another secret of the tests")
+    n = k.cast("string")
+    google = F.struct(F.when(k % 5 != 1, F.concat(F.lit(" p"), n)).alias("projectId"), F.lit("e@x.org").alias("clientEmail"), secret.encrypted(F.concat(F.lit("secret "), n), key).alias("privateKey"), F.when(k % 7 != 2, "s").otherwise(" ").alias("sheetsId"))
+    columns = F.struct(*((F.when(k % 4 == 0, "A") if f == "period" else F.lit("M" if f == "amount" else "B")).alias(f) for f in configs.MAPPED_FIELDS))
+    extraction = F.struct(F.when(k % 3 == 1, secret.encrypted(F.concat(F.lit("key "), n), key)).alias("geminiApiKey"), F.when(k % 3 == 2, " gpt ").alias("openaiModel"), columns.alias("columnMapping"))
+    c = T.settled(T.read(spark, d, "customer").select(k, F.to_json(google).alias("g"), F.to_json(extraction).alias("x")))
+    g, a, m = configs.google_config(F.col("g"), key), configs.ai_config(F.col("x"), key), configs.mapping_config(F.col("x"))
+    c = c.select("c_custkey", g.alias("g"), a.alias("a"), m.alias("m"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    return c.select(
+        "c_custkey", F.when(F.col("g").isNotNull(), F.concat_ws("/", "g.projectId", "g.privateKey", "g.sheetsId")).alias("google"),
+        F.when(F.col("a").isNotNull(), F.concat_ws("/", blank(F.col("a.geminiApiKey")), blank(F.col("a.geminiModel")), blank(F.col("a.openaiModel")))).alias("ai"), F.when(F.col("m").isNotNull(), F.concat_ws("/", F.col("m")["amount"], F.col("m")["period"])).alias("mapping"),
+    )
+
+
+@query(f"""WITH {_RUNS}, u AS (SELECT * FROM s WHERE has AND user_id % 4 > 0)
+ SELECT 'provider' AS grain, 'gemini' AS name, 0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, CAST(coalesce(sum(t), 0) AS BIGINT) AS total_tokens FROM u WHERE n = 0 UNION ALL SELECT 'provider', 'openai', CAST(coalesce(sum(t), 0) AS BIGINT), CAST(coalesce(sum(k), 0) AS BIGINT), CAST(coalesce(sum(t + k), 0) AS BIGINT) FROM u WHERE n = 1
+ UNION ALL SELECT 'model', 'gpt-4o', 0, 0, CAST(coalesce(sum(t), 0) AS BIGINT) FROM u WHERE n = 0 UNION ALL SELECT 'model', 'gemini-2', 0, 0, CAST(coalesce(sum(t), 0) AS BIGINT) FROM u WHERE n = 1 UNION ALL SELECT 'model', 'o1', 0, CAST(coalesce(sum(k), 0) AS BIGINT), 0 FROM u WHERE n = 1""")
+def q_stored_usage(spark: SparkSession, d: str) -> DataFrame:
+    """The stored usage of three quarters of the tenants, by vendor and by model, without the rows that hold all of it."""
+    rows = runs.usage_rows(_runs(spark, d).select(F.col("user_id").alias("client_id"), "event_id", "summary"), "summary")
+    asked = T.read(spark, d, "events").where("user_id % 4 > 0").select(F.col("user_id").alias("client_id"))
+    return usage.stored_totals(rows, asked)
+
+
+@query(f"""WITH {_INV} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line_number, l_partkey, CASE WHEN l_linenumber = 2 THEN 'Sin Consorcio' ELSE 'Customer ' || consortium_id END || '/' || CASE WHEN l_linenumber = 3 THEN 'Sin Período' ELSE
+ list_extract(['ENERO', 'FEBRERO', 'MARZO', 'ABRIL', 'MAYO', 'JUNIO', 'JULIO', 'AGOSTO', 'SEPTIEMBRE', 'OCTUBRE', 'NOVIEMBRE', 'DICIEMBRE'], month) || ' ' || year END AS folder FROM inv""")
+def q_receipt_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The folder of each invoice's receipt."""
+    inv = T.invoices(spark, d)
+    building = F.when(F.col("l_linenumber") != 2, F.concat(F.lit("Customer "), F.col("consortium_id").cast("string")))
+    return inv.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_number"), "l_partkey", K.receipts_folder(building, F.when(F.col("l_linenumber") != 3, F.col("month")), F.col("year")).alias("folder"))

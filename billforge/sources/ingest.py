@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """file_id, name, modified_at, content and document_hash of the files that match; sort by modified_at and name for the oldest first."""
+    """tenant, file_id, name, modified_at, content and document_hash of the files in the tenants' folders below ``folder`` that match, the oldest first.
+
+    A tenant's folder is the one right below ``folder``; files that lie in none have a
+    null tenant. Of files of equal time the name and the path decide.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    inside = F.substring_index("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    tenant = F.when(F.size(F.split(inside, "/")) > 1, F.split(inside, "/")[0])
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.col("path").alias("file_id"), name.alias("name"), F.col("modificationTime").alias("modified_at"), "content", F.sha2("content", 256).alias("document_hash"))
+    out = files.select(tenant.alias("tenant"), F.col("path").alias("file_id"), name.alias("name"), F.col("modificationTime").alias("modified_at"), "content", F.sha2("content", 256).alias("document_hash"))
+    return out.where("file_id <> '' and name <> ''").orderBy("modified_at", "name", "file_id")
 
 
 def extract_text(files: DataFrame, extractors: list[Callable[[bytes], str | None]]) -> DataFrame:

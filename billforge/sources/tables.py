@@ -13,8 +13,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own in the one named by ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-settled"
+    """A folder of its own in the one named by ``spark.checkpoint.dir``; where that is unset, under the warehouse of a local session.
+
+    On a cluster the setting is needed, as a warehouse that nobody has named is each machine's own folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/billforge-settled"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

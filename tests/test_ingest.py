@@ -13,6 +13,7 @@ def test_files_extract_and_route(spark, tmp_path):
         return "" if content == b"scan" else content.decode()
 
     files = ingest.list_files(spark, str(tmp_path))
+    assert [r["tenant"] for r in files.collect()] == [None] * 3
     got = ingest.extract_text(files, [direct, lambda c: "from images" if c == b"scan" else None])
     rows = {r["name"]: r for r in ingest.route(got.withColumn("match_id", F.when(F.col("name") == "a.pdf", 1))).collect()}
     assert {n: (r["text"], r["route"]) for n, r in rows.items()} == {"a.pdf": ("text a", "scanned"), "b.pdf": ("from images", "unassigned"), "c.pdf": (None, "failed")}
@@ -25,3 +26,13 @@ def test_mapping(spark):
     df = spark.createDataFrame([("x", 118000.0), (None, None)], "boletaNumber string, amount double")
     out = sheets.sheet_row(df, mapping)
     assert out.columns == ["A", "B"] and [tuple(r) for r in out.collect()] == [("$ 118.000,00", "x"), ("", "")]
+
+
+def test_files_of_tenants_come_in_order(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("t1/b.pdf", "t2/x/a.pdf", "t1/a.pdf", "c.pdf")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+        os.utime(tmp_path / name, (1_700_000_000 - i // 2, 1_700_000_000 - i // 2))
+    assert [(r["tenant"], r["name"]) for r in ingest.list_files(spark, str(tmp_path)).collect()] == [("t1", "a.pdf"), (None, "c.pdf"), ("t2", "a.pdf"), ("t1", "b.pdf")]
