@@ -51,14 +51,20 @@ def providers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"), F.col("s_nationkey").alias("provider_client"))
 
 
-def invoices(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of orders as invoices: amount, due date, accounting period, references."""
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("consortium_id"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-    lines = read(spark, d, "lineitem").select(
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("consortium_id"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("provider_id"), "l_partkey",
         F.col("l_extendedprice").cast("decimal(14,2)").alias("amount"), F.to_date("l_shipdate").alias("due_date"),
     )
-    return lines.join(orders, "l_orderkey")
+
+
+def invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as invoices: amount, due date, accounting period, references."""
+    return lines(spark, d).join(orders(spark, d), "l_orderkey")
 
 
 def periods(spark: SparkSession, d: str) -> DataFrame:

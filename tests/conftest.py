@@ -45,6 +45,19 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="session")
+def larger(spark):
+    """The tables of the next size, where rules that few rows meet show, as a folder and in DuckDB."""
+    import duckdb
+
+    folder = os.path.join(os.path.dirname(SF), "sf0.01")
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        if f.endswith(".parquet"):
+            con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    return folder, con
+
+
 @pytest.fixture(scope="session")
 def same_rows(spark, duck, sf_dir):
     import pandas as pd
@@ -53,8 +66,8 @@ def same_rows(spark, duck, sf_dir):
         df = df[sorted(df.columns)].astype(object)
         return sorted((tuple(None if pd.isna(v) else round(v, 6) if isinstance(v, float) else v for v in r) for r in df.values.tolist()), key=repr)
 
-    def check(query, sql):
-        a, b = query(spark, sf_dir).toPandas(), duck.execute(sql).df()
+    def check(query, sql, folder=sf_dir, con=duck):
+        a, b = query(spark, folder).toPandas(), con.execute(sql).df()
         assert sorted(a.columns) == sorted(b.columns)
         assert rows(a) == rows(b)
 
