@@ -33,11 +33,11 @@ def contained(texts: DataFrame, words: DataFrame, on: str) -> DataFrame:
     ``texts`` has the tenant, text_id and text, ``words`` the tenant, words_id and
     an array of words. A text holds all pieces of the words it contains, so both
     meet at the words' piece that the fewest texts of the tenant hold, and only
-    these pairs are tested. An array without words or null matches nothing.
+    these pairs are tested; pieces that no word has are left out before they are counted. An array without words or null matches nothing.
     """
-    held = texts.select(on, "text_id", F.explode(_grams(F.col("text"))).alias("gram"))
-    counts = held.groupBy(on, "gram").agg(F.count(F.lit(1)).alias("n"))
     own = words.select(on, "words_id", F.explode(F.array_distinct(F.flatten(F.transform("words", _pieces)))).alias("gram"))
+    held = texts.select(on, "text_id", F.explode(_grams(F.col("text"))).alias("gram")).join(own.select(on, "gram").distinct(), [on, "gram"], "left_semi")
+    counts = held.groupBy(on, "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = own.join(counts, [on, "gram"], "left").groupBy(on, "words_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     pairs = rarest.join(held, [on, "gram"]).select("text_id", "words_id")
     met = pairs.join(texts.select("text_id", "text"), "text_id").join(words.select("words_id", "words"), "words_id")

@@ -184,13 +184,13 @@ def q_amount_norm(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y')
   WHEN 2 THEN ' ' || strftime(o_orderdate, '%b %-d, %Y') ELSE 'Vence ' || strftime(o_orderdate, '%Y') END AS raw, o_orderdate FROM orders)
- SELECT o_orderkey, raw, CASE WHEN o_orderkey % 4 = 3 THEN lower(raw) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS due_date FROM o""")
+ SELECT o_orderkey, raw, CASE WHEN o_orderkey % 4 = 3 THEN lower(raw) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS due_date, CASE WHEN o_orderkey % 4 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS parsed FROM o""")
 def q_due_date_norm(spark: SparkSession, d: str) -> DataFrame:
     o = T.read(spark, d, "orders").select("o_orderkey", "o_orderdate")
     k, t = F.col("o_orderkey") % 4, F.col("o_orderdate")
     raw = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "M/d/yyyy")).when(k == 2, F.concat(F.lit(" "), F.date_format(t, "MMM d, yyyy")))
     o = o.select("o_orderkey", raw.otherwise(F.concat(F.lit("Vence "), F.date_format(t, "yyyy"))).alias("raw"))
-    return o.select("o_orderkey", "raw", K.business_date(F.col("raw")).alias("due_date"))
+    return o.select("o_orderkey", "raw", K.business_date(F.col("raw")).alias("due_date"), K.parsed_date(F.col("raw")).cast("string").alias("parsed"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '30-' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '-7' WHEN 1 THEN '30' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '7' ELSE ' CUIT ' || CAST(s_suppkey AS VARCHAR) || ' ' END AS raw FROM supplier)

@@ -1,5 +1,6 @@
 from billforge.operators import sheets
 from billforge.sources import ingest
+from billforge.sources import tables as T
 from pyspark.sql import functions as F
 
 
@@ -36,3 +37,16 @@ def test_files_of_tenants_come_in_order(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
         os.utime(tmp_path / name, (1_700_000_000 - i // 2, 1_700_000_000 - i // 2))
     assert [(r["tenant"], r["name"]) for r in ingest.list_files(spark, str(tmp_path)).collect()] == [("t1", "a.pdf"), (None, "c.pdf"), ("t2", "a.pdf"), ("t1", "b.pdf")]
+
+
+def test_bills_are_read_again_by_their_first_page(spark, tmp_path):
+    for name, data in {"bill.pdf": "EDESUR\fpage two", "other.pdf": "invoice\fmore", "late.pdf": "x\fAYSA", "bad.pdf": "boom"}.items():
+        (tmp_path / name).write_text(data)
+
+    def direct(content, pages=None):
+        if content == b"boom":
+            raise ValueError("broken")
+        return "\f".join(content.decode().split("\f")[:pages])
+
+    got = {r["name"]: (r["company"], r["text"], r["error"]) for r in ingest.texts_to_extract(ingest.list_files(spark, str(tmp_path)), [direct], T.settled).collect()}
+    assert got == {"bill.pdf": ("EDESUR", "EDESUR", None), "other.pdf": (None, "invoice\fmore", None), "late.pdf": ("AYSA", "x", None), "bad.pdf": (None, None, "ValueError: broken")}
