@@ -347,7 +347,8 @@ def q_join_update(spark: SparkSession, d: str) -> DataFrame:
 _LINES = r"""array_to_string(list_filter(list_transform(string_split(replace(body, chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^[\t\n\x0B\f\r  ]+|[\t\n\x0B\f\r  ]+$', '', 'g')), lambda x: x <> '')[1:80], chr(10))"""
 
 
-@query(f"""WITH {_BILL_SQL}, b AS (SELECT *, list_extract(['edesur', 'aysa', 'gas', 'personal', 'utility', 'utility', 'invoice'], CAST(doc_id % 7 AS INTEGER) + 1) AS told FROM bill)
+@query(f"""WITH {_BILL_SQL}, h AS (SELECT *, upper(substr(body, 1, {X.ROUTED_CHARS})) AS u FROM bill),
+ b AS (SELECT *, CASE WHEN NOT {_sql_any((*X.UTILITY_WORDS, "AGUAS+ARGENTINAS"))} THEN 'invoice' {' '.join(f"WHEN {_sql_any(w)} THEN '{X.PROMPTS.get(n, 'utility')}'" for n, w in X.COMPANY_WORDS)} ELSE 'utility' END AS told FROM h)
  SELECT doc_id, sha256('Prompt ' || told || chr(10) || {_LINES}) AS prompt_hash FROM b""")
 def q_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The prompt of each bill: its company's template and its telling lines."""

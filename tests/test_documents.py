@@ -193,3 +193,15 @@ def test_many_copies_take_a_bounded_number_of_rounds(spark):
     out = documents.process(df, directory(spark, BUILDINGS, VENDORS), lambda x: written.append(1) or T.settled(x))
     assert out.documents.where("duplicate_by = 'hash'").count() == 399 and out.invoices.count() == 1 and len(written) < 60
     assert out.invoices.select(F.col("boleta_number")).first()[0] == "0"
+
+
+def test_prompts_follow_companies_that_the_texts_themselves_name(spark, same_rows, tmp_path):
+    import duckdb
+    from billforge.plans.registry import ORACLE_SQL, QUERIES
+
+    texts = ["Factura de EDENOR", "nada", "usted personal\r\notra", "METROGAS y EDESUR", None, "x", "aguas de argentinas"]
+    rows = [(i, t, "es", "src", len(t or "")) for i, t in enumerate(texts * 2, start=1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(QUERIES["q_prompts"], ORACLE_SQL["q_prompts"], str(tmp_path), con)
