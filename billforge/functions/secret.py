@@ -34,9 +34,14 @@ def encrypted(text: Column, secret: Column, iv: Column | None = None) -> Column:
 
 def decrypted(text: Column, secret: Column) -> Column:
     """What encrypted() has hidden; null and plain texts stay, a broken mark, tag or data is an error."""
-    part = F.split(F.substring(text, len(MARK) + 1, 1_000_000_000), r"\.")
-    iv, tag, data = (F.unbase64(F.try_element_at(part, F.lit(k))) for k in (1, 2, 3))
-    whole = F.concat(iv, data, tag)
-    opened = F.aes_decrypt(whole, _key(secret), F.lit("GCM")).cast("string")
-    broken = whole.isNull() | (F.octet_length(iv) != IV_BYTES) | (F.octet_length(tag) != TAG_BYTES)
-    return F.when(~text.startswith(MARK), text).when(broken, F.raise_error(F.lit("not a valid encrypted value"))).otherwise(opened)
+
+    def opened(part: Column) -> Column:
+        given = F.struct(*(F.unbase64(F.try_element_at(part, F.lit(k))).alias(n) for k, n in enumerate(("iv", "tag", "data"), start=1)))
+
+        def read(x: Column) -> Column:
+            broken = x["iv"].isNull() | x["tag"].isNull() | x["data"].isNull() | (F.octet_length(x["iv"]) != IV_BYTES) | (F.octet_length(x["tag"]) != TAG_BYTES)
+            return F.when(broken, F.raise_error(F.lit("not a valid encrypted value"))).otherwise(F.aes_decrypt(F.concat(x["iv"], x["data"], x["tag"]), _key(secret), F.lit("GCM")).cast("string"))
+
+        return let(given, read)
+
+    return F.when(~text.startswith(MARK), text).when(text.isNotNull(), let(F.split(F.substring(text, len(MARK) + 1, 1_000_000_000), r"\."), opened))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from billforge.functions.address import let
 from billforge.functions.secret import decrypted
 from billforge.functions.text import js_trim
 
@@ -54,25 +55,29 @@ def violations(body: Column, rules: dict[str, tuple] = PATCH_RULES) -> Column:
     a value of another kind always does; whole numbers may be written with a zero
     fraction. A text that is no JSON object breaks 'body'.
     """
-    v = F.try_parse_json(body)
 
-    def broken(name: str, kind: str, least: int | None, most: int | None, nullable: bool) -> Column:
-        x = F.try_variant_get(v, f"$.{name}", "variant")
+    def broken(x: Column, name: str, kind: str, least: int | None, most: int | None, nullable: bool) -> Column:
         is_null = F.coalesce(F.is_variant_null(x), F.lit(False))
         told = F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
         text, number = F.try_variant_get(x, "$", "string"), F.try_variant_get(x, "$", "double")
         if kind == "flag":
             ok = told == "BOOLEAN"
         elif kind == "whole":
-            ok = told.rlike(r"^(BIGINT|DOUBLE|DECIMAL.*)$") & (number == F.floor(number)) & number.between(least, most)
+            ok = told.rlike(r"^(BIGINT|DOUBLE|DECIMAL.*)$") & let(number, lambda y: (y == F.floor(y)) & y.between(least, most))
         elif kind == "mail":
             ok = (told == "STRING") & text.rlike(MAIL)
         else:
             ok = (told == "STRING") & (F.length(text) >= least)
-        return F.when(is_null, F.lit(None) if nullable else F.lit(name)).when(x.isNotNull() & ~F.coalesce(ok, F.lit(False)), name)
+        return F.when(x.isNull(), None).when(is_null, F.lit(None) if nullable else F.lit(name)).when(~F.coalesce(ok, F.lit(False)), name)
 
-    found = F.array_compact(F.array(*(broken(name, *rules[name]) for name in sorted(rules))))
-    return F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), found).otherwise(F.array(F.lit("body")))
+    def judged(v: Column) -> Column:
+        def of(name: str) -> Column:
+            return let(F.try_variant_get(v, f"$.{name}", "variant"), lambda x: broken(x, name, *rules[name]))
+
+        found = F.array_compact(F.array(*map(of, sorted(rules))))
+        return F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), found).otherwise(F.array(F.lit("body")))
+
+    return let(F.try_parse_json(body), judged)  # a text is parsed once, not for each field
 
 
 # What a tenant's config must have to be processed, in the order of asking.
@@ -104,12 +109,19 @@ def config_error(folders: Column, google: Column, sheet_name: Column, *, pending
 
 def google_config(json: Column, secret: Column) -> Column:
     """The credentials of a config as a struct, the private key decrypted; null where one of the four is missing or blank."""
-    m = as_map(json)
-    cells = {n: F.nullif(js_trim(F.try_element_at(m, F.lit(n))), F.lit("")) for n in GOOGLE_FIELDS}
-    whole = F.lit(True)
-    for c in cells.values():
-        whole = whole & c.isNotNull()
-    return F.when(whole, F.struct(*((decrypted(c, secret) if n == "privateKey" else c).alias(n) for n, c in cells.items())))
+
+    def told(c: Column) -> Column:
+        whole = F.lit(True)
+        for n in GOOGLE_FIELDS:
+            whole = whole & c[n].isNotNull()
+        return F.when(whole, F.struct(*((decrypted(c[n], secret) if n == "privateKey" else c[n]).alias(n) for n in GOOGLE_FIELDS)))
+
+    return let(as_map(json), lambda m: let(_cells(m, GOOGLE_FIELDS), told))
+
+
+def _cells(m: Column, names: tuple[str, ...]) -> Column:
+    """The trimmed entries of a map as a struct, null where missing or blank."""
+    return F.struct(*(F.nullif(js_trim(F.try_element_at(m, F.lit(n))), F.lit("")).alias(n) for n in names))
 
 
 # What a config says of the extractors' vendors.
@@ -118,10 +130,13 @@ AI_KEYS, AI_MODELS = ("geminiApiKey", "openaiApiKey"), ("geminiModel", "openaiMo
 
 def ai_config(json: Column, secret: Column) -> Column:
     """Keys (decrypted) and models of a config as a struct, each null where it is missing or blank; null where all are."""
-    m = as_map(json)
-    cells = {n: F.nullif(js_trim(F.try_element_at(m, F.lit(n))), F.lit("")) for n in (*AI_KEYS, *AI_MODELS)}
-    told = F.struct(*((F.when(c.isNotNull(), decrypted(c, secret)) if n in AI_KEYS else c).alias(n) for n, c in cells.items()))
-    return F.when(F.coalesce(*cells.values()).isNotNull(), told)
+    names = (*AI_KEYS, *AI_MODELS)
+
+    def told(c: Column) -> Column:
+        read = F.struct(*((F.when(c[n].isNotNull(), decrypted(c[n], secret)) if n in AI_KEYS else c[n]).alias(n) for n in names))
+        return F.when(F.coalesce(*(c[n] for n in names)).isNotNull(), read)
+
+    return let(as_map(json), lambda m: let(_cells(m, names), told))
 
 
 # The fields that a column mapping must name.
@@ -130,10 +145,12 @@ MAPPED_FIELDS = ("boletaNumber", "provider", "consortium", "providerTaxId", "det
 
 def mapping_config(json: Column) -> Column:
     """The column mapping of a config as a map, null where a field is missing, blank or no text."""
-    raw = F.try_variant_get(F.try_parse_json(json), "$.columnMapping", "variant")
-    whole = F.lit(True)
-    for name in MAPPED_FIELDS:
-        x = F.try_variant_get(raw, f"$.{name}", "variant")
-        text = F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING"
-        whole = whole & text & (js_trim(F.coalesce(F.try_variant_get(raw, f"$.{name}", "string"), F.lit(""))) != "")
-    return F.when(whole, F.try_variant_get(raw, "$", "map<string,string>"))
+
+    def told(raw: Column) -> Column:
+        whole = F.lit(True)
+        for name in MAPPED_FIELDS:
+            filled = let(F.try_variant_get(raw, f"$.{name}", "variant"), lambda x: (F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING") & (js_trim(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))) != ""))
+            whole = whole & filled
+        return F.when(whole, F.try_variant_get(raw, "$", "map<string,string>"))
+
+    return let(F.try_variant_get(F.try_parse_json(json), "$.columnMapping", "variant"), told)

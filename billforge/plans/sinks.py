@@ -186,7 +186,7 @@ def q_patch_violations(spark: SparkSession, d: str) -> DataFrame:
         F.lit(',"name":'), F.when(o % 13 == 0, '"x"').when(o % 13 == 1, "7").otherwise('"xy"'), F.lit(',"other":[1]}'),
     )
     body = F.when(o % 50 == 0, F.when(o % 100 == 0, "[1]").otherwise("{broken")).otherwise(body)
-    return T.read(spark, d, "orders").select("o_orderkey", F.concat_ws(",", configs.violations(body)).alias("invalid"))
+    return T.spread(T.read(spark, d, "orders")).select("o_orderkey", F.concat_ws(",", configs.violations(body)).alias("invalid"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Missing required client config: driveFoldersJson.pending' WHEN c_custkey % 5 = 0 THEN 'Missing required client config: driveFoldersJson.scanned' WHEN c_custkey % 3 = 0 THEN 'Invalid client config: pending and scanned folders must be different'
@@ -208,7 +208,7 @@ def q_client_configs(spark: SparkSession, d: str) -> DataFrame:
     google = F.struct(F.when(k % 5 != 1, F.concat(F.lit(" p"), n)).alias("projectId"), F.lit("e@x.org").alias("clientEmail"), secret.encrypted(F.concat(F.lit("secret "), n), key).alias("privateKey"), F.when(k % 7 != 2, "s").otherwise(" ").alias("sheetsId"))
     columns = F.struct(*((F.when(k % 4 == 0, "A") if f == "period" else F.lit("M" if f == "amount" else "B")).alias(f) for f in configs.MAPPED_FIELDS))
     extraction = F.struct(F.when(k % 3 == 1, secret.encrypted(F.concat(F.lit("key "), n), key)).alias("geminiApiKey"), F.when(k % 3 == 2, " gpt ").alias("openaiModel"), columns.alias("columnMapping"))
-    c = T.settled(T.read(spark, d, "customer").select(k, F.to_json(google).alias("g"), F.to_json(extraction).alias("x")))
+    c = T.settled(T.spread(T.read(spark, d, "customer")).select(k, F.to_json(google).alias("g"), F.to_json(extraction).alias("x")))
     g, a, m = configs.google_config(F.col("g"), key), configs.ai_config(F.col("x"), key), configs.mapping_config(F.col("x"))
     c = c.select("c_custkey", g.alias("g"), a.alias("a"), m.alias("m"))
     blank = lambda x: F.coalesce(x, F.lit(""))

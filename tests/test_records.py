@@ -4,6 +4,7 @@ import pytest
 from billforge.functions import shown as S
 from billforge.functions import text as X
 from billforge.operators import configs, directory, pages, queue, runs
+from billforge.plans.registry import QUERIES
 from billforge.sources import tables as T
 from pyspark.sql import functions as F
 
@@ -96,3 +97,16 @@ def test_shown_forms(spark):
     assert tuple(got) == ("5/3/2024", "—", "2024-03-05", "")
     names = [one.select(X.prompt_name(F.lit(t))).first()[0] for t in ("web Edesur x", "Litoral Gas x", "telecom", "aguas de argentinas", "LSP 7", "Factura")]
     assert names == ["edesur", "gas", "personal", "utility", "utility", "invoice"]
+
+
+@pytest.mark.parametrize("name", ["q_patch_violations", "q_client_configs"])
+def test_configs_are_parsed_once(name, spark, sf_dir):
+    import re
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"try_parse_json\(", plan)) == 1
+
+
+def test_sheet_keys_are_shuffled_once(spark, sf_dir):
+    plan = QUERIES["q_existing_keys"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Distinct") + plan.count("Deduplicate") == 1
