@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billforge.functions import keys as K
+from billforge.functions.address import let
 from billforge.operators.numbering import numbered
 
 # The default columns of a sheet row.
@@ -111,10 +112,9 @@ def _letters(n: int) -> str:
 
 def duplicate_keys(sheet: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Distinct business keys of a sheet's rows; a zero amount counts as none."""
-    parts = sheet.select(
-        K.business_text(F.col(mapping["boletaNumber"])).alias("number"),
-        K.business_text(F.col(mapping["providerTaxId"])).alias("tax_id"),
-        K.business_date(F.col(mapping["dueDate"])).alias("due"),
-        F.nullif(K.business_amount(F.col(mapping["amount"])), F.lit("0.00")).alias("amount"),
-    )
-    return parts.distinct().select(K.joined_key(*(F.col(c) for c in parts.columns)).alias("business_key")).where("business_key is not null").distinct()
+    parts = (
+        K.business_text(F.col(mapping["boletaNumber"])), K.business_text(F.col(mapping["providerTaxId"])), K.business_date(F.col(mapping["dueDate"])),
+        let(K.business_amount(F.col(mapping["amount"])), lambda x: F.when(x != "0.00", x)),
+    )
+    # a key is computed once, where a filter behind it would compute it again
+    return sheet.select(F.explode(F.array_compact(F.array(K.joined_key(*parts)))).alias("business_key")).distinct()
