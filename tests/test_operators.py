@@ -80,6 +80,19 @@ def test_words_of_a_name_with_a_point_match_it(spark):
     assert [(r["doc_id"], r["match_id"]) for r in got] == [(1, 9)]
 
 
+def test_equal_texts_and_words_meet_once(spark):
+    from billforge.operators import match
+
+    docs = spark.createDataFrame([(i, 5, "GENERAL BROWN 706", "BROWN") for i in range(300)] + [(900, 5, "AB", "AB"), (901, 6, "GENERAL BROWN 706", "")], "doc_id long, client_id int, text string, name string")
+    dim = spark.createDataFrame([(i, 5, "BROWN 706", ["BROWN", "706"], f"A BROWN {i % 2}") for i in range(400, 0, -1)], "match_id long, client_id int, text string, words array<string>, name string")
+    pairs = match.contained(docs, dim, "client_id")
+    assert [(r["client_id"], r["text"], r["words"]) for r in pairs.collect()] == [(5, "GENERAL BROWN 706", ["BROWN", "706"])]
+    got = match.by_words(docs, dim, "client_id").collect()
+    assert sorted((r["doc_id"], r["match_id"], r["n_matches"]) for r in got) == [(i, 1, 400) for i in range(300)]
+    assert {(r["doc_id"], r["match_id"]) for r in match.by_part_of_name(docs, dim, "client_id").collect()} == {(i, 1) for i in range(300)}
+    assert {(r["doc_id"], r["match_id"]) for r in match.by_alias(docs, dim, "client_id").collect()} == {(i, 1) for i in range(300)}
+
+
 def test_enqueue_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
     from billforge.streaming.enqueue import enqueue_once
 
