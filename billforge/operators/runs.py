@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billforge.functions import shown as S
+from billforge.functions.address import let
 from billforge.operators.jobs import is_quota_error, trimmed_error
 
 # The counts of a summary.
@@ -45,13 +46,15 @@ def _breakdown(v: Column, name: str) -> Column:
 
 def with_summary(rows: DataFrame, json: str, summary: str = "summary") -> DataFrame:
     """``rows`` with a stored summary as a struct instead of its text, null where that is no JSON object; missing and odd counts are 0."""
-    parsed = rows.withColumn("_v", F.try_parse_json(json))
-    v = F.col("_v")
-    errors = F.filter(F.coalesce(F.try_variant_get(v, "$.errors", "array<variant>"), F.array().cast("array<variant>")), lambda e: _kind(e).rlike("^(OBJECT|ARRAY)"))
-    errors = F.transform(errors, lambda e: F.struct(_text(e, "$.fileId", "unknown").alias("file_id"), _text(e, "$.fileName", "unknown").alias("file_name"), _text(e, "$.error", "Unknown error").alias("error")))
-    fields = [_number(v, f"$.{t}").alias(n) for n, t in COUNTS.items()] + [_number(v, f"$.tokenUsage.{t}").alias(n) for n, t in TOKENS.items()]
-    read = F.struct(*fields, errors.alias("errors"), _breakdown(v, "byProvider").alias("by_provider"), _breakdown(v, "byModel").alias("by_model"))
-    return parsed.withColumn(summary, F.when(_kind(v).startswith("OBJECT"), read)).drop("_v", json)
+
+    def told(v: Column) -> Column:
+        errors = F.filter(F.coalesce(F.try_variant_get(v, "$.errors", "array<variant>"), F.array().cast("array<variant>")), lambda e: _kind(e).rlike("^(OBJECT|ARRAY)"))
+        errors = F.transform(errors, lambda e: F.struct(_text(e, "$.fileId", "unknown").alias("file_id"), _text(e, "$.fileName", "unknown").alias("file_name"), _text(e, "$.error", "Unknown error").alias("error")))
+        fields = [_number(v, f"$.{t}").alias(n) for n, t in COUNTS.items()] + [_number(v, f"$.tokenUsage.{t}").alias(n) for n, t in TOKENS.items()]
+        read = F.struct(*fields, errors.alias("errors"), _breakdown(v, "byProvider").alias("by_provider"), _breakdown(v, "byModel").alias("by_model"))
+        return F.when(_kind(v).startswith("OBJECT"), read)
+
+    return rows.withColumn(summary, let(F.try_parse_json(json), told)).drop(json)  # a text is parsed once
 
 
 def added_up(rows: DataFrame, summary: str) -> DataFrame:
@@ -125,16 +128,17 @@ def usage_rows(rows: DataFrame, summary: str) -> DataFrame:
     The aggregate has a row only where its total is above 0; a model's provider is
     told by its name. Rows without a summary give none.
     """
-    s = F.col(summary)
 
     def row(grain: str, provider: Column, model: Column, of: Column) -> Column:
         return F.struct(F.lit(grain).alias("grain"), provider.alias("provider"), model.cast("string").alias("model"), *(of[t].alias(t) for t in TOKENS))
 
-    whole = F.when(s["total_tokens"] > 0, F.array(row("aggregate", F.lit("aggregate"), F.lit(None), s)))
-    by_provider = F.transform(F.map_entries(s["by_provider"]), lambda e: row("provider", e["key"], F.lit(None), e["value"]))
-    by_model = F.transform(F.map_entries(s["by_model"]), lambda e: row("model", S.vendor_of_model(e["key"]), e["key"], e["value"]))
-    every = F.concat(F.coalesce(whole, F.slice(by_provider, 1, 0)), by_provider, by_model)
-    return rows.where(s.isNotNull()).withColumn("_u", F.explode(every)).select(*(c for c in rows.columns if c != summary), "_u.*")
+    def told(s: Column) -> Column:
+        whole = F.when(s["total_tokens"] > 0, F.array(row("aggregate", F.lit("aggregate"), F.lit(None), s)))
+        by_provider = F.transform(F.map_entries(s["by_provider"]), lambda e: row("provider", e["key"], F.lit(None), e["value"]))
+        by_model = F.transform(F.map_entries(s["by_model"]), lambda e: row("model", S.vendor_of_model(e["key"]), e["key"], e["value"]))
+        return F.when(s.isNotNull(), F.concat(F.coalesce(whole, F.slice(by_provider, 1, 0)), by_provider, by_model))
+
+    return rows.select(*(c for c in rows.columns if c != summary), F.explode(let(F.col(summary), told)).alias("_u")).select(*(c for c in rows.columns if c != summary), "_u.*")
 
 
 def counters(log: DataFrame, by: str, summary: str, at: Column, *, stored: DataFrame | None = None) -> DataFrame:

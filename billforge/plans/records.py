@@ -26,7 +26,7 @@ _RUNS = """ev AS (SELECT event_id, user_id, ts, event_type, CAST(props->>'$.k' A
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """Events as runs with a stored summary of one of six shapes, old ones among them."""
-    e = T.read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("t", F.round(F.col("value") * 100).cast("long"))
+    e = T.spread(T.read(spark, d, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("t", F.round(F.col("value") * 100).cast("long"))
     n = F.col("k") % 6
 
     def put(template: str):
