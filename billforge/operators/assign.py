@@ -101,10 +101,14 @@ def assign(docs: DataFrame, d: Directory, settle: Settle) -> DataFrame:
     building that is found without a vendor the ids stay in the row.
     """
     told = X.js_trim(F.col("consortium"))
+    # names are normalised once, however many rows bear them
+    said = F.coalesce(told, F.lit(""))
+    names = settle(docs.select(said.alias("said")).distinct().select("said", A.building_name(F.col("said")).alias("building_name"), A.match_text(F.col("said")).alias("text")))
+    docs = docs.withColumn("said", said).join(names, "said")
     rows = settle(
         docs.select(
             "doc_id", "client_id", "company", "provider_tax_id", K.client_number(F.col("client_number")).alias("number"), K.usable_tax_ids(F.coalesce("all_tax_ids", F.array().cast("array<string>"))).alias("tax_ids"),
-            (F.coalesce(told, F.lit("")) != "").alias("told"), A.building_name(told).alias("building_name"), A.match_text(F.coalesce(told, F.lit(""))).alias("text"),
+            (F.col("said") != "").alias("told"), "building_name", "text",
             K.digits(F.col("provider_tax_id")).alias("own_id"), K.provider_name(X.js_trim(F.col("provider"))).alias("vendor_name"),
         )
     )
