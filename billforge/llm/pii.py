@@ -1,11 +1,10 @@
 """Personal data by rules and by a character BiLSTM-CRF (operator 8).
 
 Rules find emails, IP addresses, card and phone numbers. The tagger is trained on
-windows with labelled spans and reads overlapping windows around every digit, at
-sign, equals sign with the word after it, and long run of capitals. Each labelled
-kind holds one of these near its start: an email its at sign, the numeric kinds
-digits, a password or token its equals sign, a key a digit or 20 capitals. Other
-stretches are not read. Spans of all windows of a text are reconciled by one
+windows around every digit, at sign, equals sign with the word after it, and long
+run of capitals, where each labelled kind begins, and on some other windows. It
+reads overlapping windows over the whole of every text, whatever stands there.
+Spans of all windows of a text are reconciled by one
 choice of non-overlapping spans with the largest total weight. Rule spans stay;
 tagged secrets and emails that touch none of them are added (a number that the
 rules turn down is no card, phone or IP). Offsets are code points.
@@ -31,6 +30,7 @@ from billforge.llm.text import slices
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 WINDOW, STRIDE, MARGIN = 128, 64, 48
+PLAIN = 32  # one in so many windows is learnt from although nothing in it looks like personal data
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,6 +106,11 @@ def window_starts(text: str) -> list[int]:
     return sorted(starts)
 
 
+def all_starts(text: str) -> list[int]:
+    """Starts of windows over the whole text: each character but the first and last ``STRIDE`` is in two."""
+    return list(range(0, max(len(text) - STRIDE, min(len(text), 1)), STRIDE))
+
+
 def _windows(codes: np.ndarray, starts: list[int]) -> np.ndarray:
     out = np.zeros((len(starts), WINDOW), np.uint8)
     for i, s in enumerate(starts):
@@ -118,8 +123,9 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in slices(batches):
         ids, ats, xs, ys = [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            starts = window_starts(text or "")
-            if starts:
+            held = window_starts(text or "")
+            starts = sorted({*held, *(s for s in all_starts(text or "") if s // STRIDE % PLAIN == (doc or 0) % PLAIN)})
+            if held:
                 tags = np.zeros(len(text), np.uint8)
                 for kind, a, b in labelled(text):
                     if not tags[a:b].any():
@@ -223,7 +229,7 @@ def added(tagged: list[Span], base: list[Span]) -> list[Span]:
 
 def all_spans(texts: list[str], model: BiLstmCrf | None) -> list[tuple[list[Span], list[Span]]]:
     """Of each text the rule spans, and these together with the tagged ones."""
-    starts = [window_starts(t) if model else [] for t in texts]
+    starts = [all_starts(t) if model else [] for t in texts]
     tags = np.zeros((0, WINDOW), np.int64)
     if any(starts):
         codes = np.concatenate([_windows(_codes(t), s) for t, s in zip(texts, starts, strict=True) if s]).astype(np.int64)

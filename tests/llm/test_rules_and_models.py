@@ -397,3 +397,20 @@ def test_pipeline_on_odd_rows(spark, sf_dir, docs):
             assert not any(d in (1, 2) for d, _ in left) and {x["score"] for x in some.collect()} == {2.5}
         placed = corpus_pipeline.STAGES[-1][1](spark, some, sf_dir)
         assert placed.select("doc_id", "piece").count() >= some.count()
+
+
+def test_the_tagger_reads_every_position():
+    read = []
+
+    class Reader:
+        def decode(self, codes):
+            read.extend("".join(map(chr, w[w > 0])) for w in codes)
+            return np.zeros(codes.shape, np.int64)
+
+    for n in (0, 1, 63, 64, 65, 128, 129, 1000, 1024):
+        text = "".join(chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(n))[:n]
+        read.clear()
+        pii.all_spans([text], Reader())
+        starts = pii.all_starts(text)
+        assert read == [text[s : s + pii.WINDOW] for s in starts]
+        assert all(sum(s <= i < s + pii.WINDOW for s in starts) >= (2 if pii.STRIDE <= i < n - pii.WINDOW else 1) for i in range(n))
