@@ -110,3 +110,10 @@ def test_configs_are_parsed_once(name, spark, sf_dir):
 def test_sheet_keys_are_shuffled_once(spark, sf_dir):
     plan = QUERIES["q_existing_keys"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Distinct") + plan.count("Deduplicate") == 1
+
+
+def test_summaries_are_parsed_once(spark, sf_dir):
+    import re
+
+    plan = QUERIES["q_usage_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json", plan, re.IGNORECASE)) == 1
