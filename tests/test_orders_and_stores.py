@@ -99,6 +99,35 @@ def test_edits_equal_a_loop(spark, monkeypatch, seed, chunk):
     assert {(x["tenant"], x["id"]) for x in edits.snapshot(got, ["v"]).collect()} == want
 
 
+def test_refusals_that_hang_on_one_another_take_few_rounds(spark):
+    # each of forty ids asks for the key of the one before it, which keeps it as it is refused itself
+    log = [(1, i, i, "save", f"k{i}") for i in range(41)] + [(1, 100 + i, i, "save", f"k{i - 1}") for i in range(1, 41)]
+    tables = []
+
+    def settle(df):
+        tables.append(df)
+        return T.settled(df)
+
+    got = edits.replay(spark.createDataFrame(log, "tenant int, seq long, id long, op string, key string"), settle)
+    assert {x["seq"] for x in got.where("reason = 'duplicate'").collect()} == {100 + i for i in range(1, 41)}
+    assert len(tables) <= 12
+
+
+def test_a_key_held_from_the_first_stretch_on_reaches_the_last_at_once(spark, monkeypatch):
+    monkeypatch.setattr(edits, "_CHUNK", 4)
+    log = [(1, 0, 0, "save", "a")] + [(1, i, i, "create", "a" if i % 2 else f"b{i % 8}") for i in range(1, 64)] + [(1, 64, 0, "delete", None), (1, 65, 65, "save", "a")]
+    tables = []
+
+    def settle(df):
+        tables.append(df)
+        return T.settled(df)
+
+    got = edits.replay(spark.createDataFrame(log, "tenant int, seq long, id long, op string, key string"), settle)
+    reasons, _ = edits_by_hand([(*x, None) for x in log])
+    assert {(x["tenant"], x["seq"]): x["reason"] for x in got.collect()} == reasons
+    assert len(tables) <= 12
+
+
 def test_last_value_before_a_row(spark):
     r = random.Random(5)
     data = [(r.choice(["a", "b", None]), r.choice([*range(40), None]), i, r.choice([None, None, i])) for i in range(300)]
