@@ -64,35 +64,46 @@ class BiLstmCrf:
             trace.append((before, was, i, f, o, new, th))
         return hs, [both, inputs, trace]
 
-    def _states(self, codes: np.ndarray) -> np.ndarray:
-        """Hidden states as in _run, from a table of every code's input to the gates."""
+    def _scores(self, codes: np.ndarray) -> np.ndarray:
+        """Emissions (position, tag, window) without what backpropagation needs, from a table of every code's input to the gates.
+
+        A gate's values of all windows lie side by side, and all four gates take one exponential: tanh(x) is 2 / (1 + exp(-2x)) - 1.
+        """
         p, h = self.p, self.hidden
         n, t = codes.shape
-        table = np.matmul(p["emb"], p["wx"]) + p["b"]
-        hs = np.zeros((t, 2, n, h), np.float32)
-        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        g = np.empty((2, n, 4 * h), np.float32)
-        steps = np.ascontiguousarray(codes.T)
-        for s in range(t):
-            np.matmul(state, p["wh"], out=g)
-            g[0] += table[0][steps[s]]
-            g[1] += table[1][steps[t - 1 - s]]
-            gates = g[..., : 3 * h]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            new = np.tanh(g[..., 3 * h :])
-            cell = gates[..., h : 2 * h] * cell + gates[..., :h] * new
-            state = gates[..., 2 * h :] * np.tanh(cell)
-            hs[s] = state
-        return hs.transpose(1, 2, 0, 3)
+        scale = np.where(np.arange(4 * h) < 3 * h, -1, -2).astype(np.float32)
+        table = (np.matmul(p["emb"], p["wx"]) + p["b"]) * scale
+        wh = np.ascontiguousarray((p["wh"] * scale).transpose(0, 2, 1))
+        wo = p["wo"].reshape(2, h, -1).transpose(0, 2, 1)
+        steps = np.ascontiguousarray(codes.T, dtype=np.intp)
+        out = np.zeros((t, self.n_tags, n), np.float32) + p["bo"][:, None]
+        hs, g, x, th = np.empty((t, h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
+        with np.errstate(over="ignore"):
+            for d, places in enumerate((range(t), range(t - 1, -1, -1))):
+                state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+                for s in places:
+                    np.matmul(wh[d], state, out=g)
+                    np.take(table[d], steps[s], axis=0, out=x, mode="clip")
+                    g += x.T
+                    np.exp(g, out=g)
+                    g += 1
+                    np.reciprocal(g, out=g)
+                    new = g[3 * h :]
+                    new *= 2
+                    new -= 1
+                    new *= g[:h]
+                    cell *= g[h : 2 * h]
+                    cell += new
+                    state = np.multiply(np.tanh(cell, out=th), g[2 * h : 3 * h], out=hs[s])
+                out += np.matmul(wo[d], hs)
+        return out
 
     def emissions(self, codes: np.ndarray, keep: bool = False):
-        hs, saved = self._run(codes) if keep else (self._states(codes), None)
+        if not keep:
+            return self._scores(codes).transpose(2, 0, 1)
+        hs, saved = self._run(codes)
         joined = np.concatenate([hs[0], hs[1][:, ::-1]], -1)
-        out = joined @ self.p["wo"] + self.p["bo"]
-        return (out, joined, saved) if keep else out
+        return joined @ self.p["wo"] + self.p["bo"], joined, saved
 
     def step(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags, and its gradient."""
@@ -155,10 +166,32 @@ class BiLstmCrf:
                 self.p[key] = (self.p[key] - lr * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return losses
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags of each window by Viterbi."""
+    def _plain(self, em: np.ndarray) -> np.ndarray:
+        """Whether all tags of a window are surely 0: no run of others can score as much, whatever its tags.
+
+        ``em`` is (position, tag, window). A run is given its best entry, its best step at each place and its best end.
+        """
+        tr, st = self.p["tr"] - self.p["tr"][0, 0], self.p["st"]
+        gain = em[:, 1:].max(1) - em[:, 0]
+        run = gain[0] + (st[1:].max() - st[0])
+        best = run.copy()
+        for s in range(1, len(em)):
+            run = np.maximum(run + tr[1:, 1:].max(), tr[0, 1:].max()) + gain[s]
+            np.maximum(best, run, out=best)
+        return best + max(tr[1:, 0].max(), 0) < -0.05  # more than sums of floats are off by
+
+    def decode(self, codes: np.ndarray, size: int = 256) -> np.ndarray:
+        """Best tags of each window by Viterbi, ``size`` windows at a time; those that are surely 0 throughout are not searched."""
+        tags = np.zeros(codes.shape, np.int8)
+        for i in range(0, len(codes), size):
+            em = self._scores(codes[i : i + size])
+            open_ = np.flatnonzero(~self._plain(em))
+            if len(open_):
+                tags[i + open_] = self._best(em[:, :, open_].transpose(2, 0, 1))
+        return tags
+
+    def _best(self, em: np.ndarray) -> np.ndarray:
         p = self.p
-        em = self.emissions(codes)
         n, t, k = em.shape
         back = np.zeros((t, n, k), np.int8)
         into = np.ascontiguousarray(p["tr"].T)

@@ -166,7 +166,8 @@ def train(docs: DataFrame, *, most_docs: int = 3000, most_windows: int = 8000, s
 def _tagged(starts: list[int], tags: np.ndarray, size: int) -> list[tuple[float, Span]]:
     """Spans of a text's windows; one cut off by its window's edge weighs half."""
     out = []
-    for s, row in zip(starts, tags, strict=True):
+    hit = np.flatnonzero(tags.any(1)) if len(tags) else ()
+    for s, row in ((starts[i], tags[i]) for i in hit):
         at = 0
         n = min(WINDOW, size - s)
         while at < n:
@@ -230,10 +231,9 @@ def added(tagged: list[Span], base: list[Span]) -> list[Span]:
 def all_spans(texts: list[str], model: BiLstmCrf | None) -> list[tuple[list[Span], list[Span]]]:
     """Of each text the rule spans, and these together with the tagged ones."""
     starts = [all_starts(t) if model else [] for t in texts]
-    tags = np.zeros((0, WINDOW), np.int64)
+    tags = np.zeros((0, WINDOW), np.int8)
     if any(starts):
-        codes = np.concatenate([_windows(_codes(t), s) for t, s in zip(texts, starts, strict=True) if s]).astype(np.int64)
-        tags = np.concatenate([model.decode(codes[i : i + 512]) for i in range(0, len(codes), 512)])
+        tags = model.decode(np.concatenate([_windows(_codes(t), s) for t, s in zip(texts, starts, strict=True) if s]))
     out, at = [], 0
     for text, own in zip(texts, starts, strict=True):
         base = base_spans(text)

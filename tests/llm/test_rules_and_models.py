@@ -216,6 +216,18 @@ def test_added_spans_touch_no_rule_span():
     assert len(pii.added(pii.reconcile(many), [("ip", 10 * i, 10 * i + 5) for i in range(25000)])) == 25000
 
 
+def test_windows_without_a_tag_are_not_searched(monkeypatch):
+    m, r = BiLstmCrf(3, hidden=4, width=3), np.random.default_rng(3)
+    codes = r.integers(1, 40, (600, 20))
+    codes[::7, 5:9] = 50
+    m.fit(codes, (codes == 50).astype(np.int64), steps=200)
+    whole = m._best(m.emissions(codes))
+    assert whole.any() and not whole.any(1).all()
+    searched, best = [], m._best
+    monkeypatch.setattr(m, "_best", lambda em: (searched.append(len(em)), best(em))[1])
+    assert (m.decode(codes) == whole).all() and whole.any(1).sum() <= sum(searched) < 600
+
+
 def test_tagger_finds_held_out_secrets(spark, docs, nothing):
     r = random.Random(2)
 
