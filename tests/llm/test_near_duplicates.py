@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from bruteforce import jaccard_components, words
 
+from billforge.llm import substring_dedup
 from billforge.llm.jaccard_join import link_components
 from billforge.llm.shared import components
 from billforge.llm.substring_dedup import compact_windows, find_repeats, matches, remove_repeats
@@ -218,3 +219,19 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, monkeypatch):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() > 0
     assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 8
+
+
+def test_repeated_shared_shingles_count_once_before_pieces_are_joined(monkeypatch):
+    width, percent, r = 6, 75, np.random.default_rng(11)
+    for _ in range(300):
+        v = r.integers(0, 12, r.integers(1, 40))
+        hits = np.array([(r.random(12) < share)[v] for share in (0.2, 0.5, 0.8)])
+        for hit, got in zip(hits, substring_dedup._may_repeat(v, hits, width, percent), strict=True):
+            parts = ((v[a:b], hit[a:b]) for a in np.flatnonzero(hit) for b in range(a + width, len(v) + 1))
+            assert got == any(100 * len(set(p[h].tolist())) >= percent * len(set(p.tolist())) for p, h in parts)
+    joined = []
+    monkeypatch.setattr(substring_dedup, "_joined", lambda *a: joined.append(a) or [])
+    x, y = (np.r_[np.zeros(20, int), k + np.arange(6), np.zeros(20, int)] for k in (100, 200))
+    assert substring_dedup.matches(x.astype(np.uint32), y.astype(np.uint32), 46, percent) == [] and not joined
+    rights = substring_dedup._Rights([x], 206, 46, percent)
+    assert list(rights.candidates(y, np.array([0]))) == [] and list(rights.candidates(x, np.array([0]))) == [0]
