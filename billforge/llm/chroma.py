@@ -113,31 +113,53 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 _FOUND = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("offset", pa.int64()), ("hits", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64())])
 
 
+def _by_length(rows: list[tuple[int, np.ndarray]], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Names, integers and signs of the bits (1 and -1, a row for each recording) of recordings of one length, at most about ``most`` bits at a time."""
+    by_size: dict[int, list] = {}
+    for row in rows:
+        by_size.setdefault(len(row[1]), []).append(row)
+    for size, group in by_size.items():
+        step = max(1, most // (32 * size))
+        for k in range(0, len(group), step):
+            x = np.stack([fp for _, fp in group[k : k + step]])
+            bits = np.unpackbits(x.astype("<u4").view(np.uint8), axis=1)
+            yield np.array([i for i, _ in group[k : k + step]]), x, bits * np.float32(2) - 1
+
+
 def _align(most_errors: float, least: int):
-    """Of each pair in a block the best of all offsets that have ``least`` positions in common and few enough errors."""
+    """Of each pair in a block the best of all offsets that have ``least`` positions in common and few enough errors.
+
+    Equal bits less different ones are a product of signs, so one product of matrices
+    counts them for all pairs at an offset; its whole numbers are exact in floats.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ours, by_size = [], {}
+        sides: tuple[list, list] = ([], [])
         for r in table.select(["side", "r", "fp"]).to_pylist():
-            fp = np.array(r["fp"], np.int32).view(np.uint32)
-            (by_size.setdefault(len(fp), []) if r["side"] else ours).append((r["r"], fp))
+            sides[r["side"]].append((r["r"], np.array(r["fp"], np.int32).view(np.uint32)))
         out = []
-        for size, group in by_size.items():
-            ids, x = np.array([i for i, _ in group]), np.stack([fp for _, fp in group])
-            for name, q in ours:
-                best, found = np.zeros(len(ids)), {}
-                for o in range(least - len(q), size - least + 1):
+        for names, q, of_q in _by_length(sides[0]):
+            for ids, x, of_x in _by_length(sides[1]):
+                best, at = np.zeros((len(names), len(ids))), np.zeros((len(names), len(ids)), np.int64)
+                other = names[:, None] != ids
+                for o in range(least - q.shape[1], x.shape[1] - least + 1):
                     a, b = max(0, -o), max(0, o)
-                    n = min(len(q) - a, size - b)
+                    n = min(q.shape[1] - a, x.shape[1] - b)
                     if n < least:
                         continue
-                    other = x[:, b : b + n] ^ q[a : a + n]
-                    bits = np.bitwise_count(other).sum(1, dtype=np.int64) / (32 * n)
+                    same = of_q[:, 32 * a : 32 * (a + n)] @ of_x[:, 32 * b : 32 * (b + n)].T
+                    i, j = np.nonzero(same >= 32 * n * (1 - 2 * most_errors) - 2)
+                    bits = (32 * n - same[i, j].astype(np.int64)) // 2 / (32 * n)
                     worth = n * (0.5 - bits)
-                    for i in np.flatnonzero((bits <= most_errors) & (worth > best) & (ids != name)).tolist():
-                        best[i] = worth[i]
-                        found[i] = (name, int(ids[i]), o, int((other[i] == 0).sum()), n, float(bits[i]))
-                out += found.values()
+                    better = (bits <= most_errors) & (worth > best[i, j]) & other[i, j]
+                    i, j = i[better], j[better]
+                    best[i, j], at[i, j] = worth[better], o
+                for i, j in zip(*(v.tolist() for v in np.nonzero(best)), strict=True):
+                    o = int(at[i, j])
+                    a, b = max(0, -o), max(0, o)
+                    n = min(q.shape[1] - a, x.shape[1] - b)
+                    differ = q[i, a : a + n] ^ x[j, b : b + n]
+                    out.append((int(names[i]), int(ids[j]), o, int((differ == 0).sum()), n, int(np.bitwise_count(differ).sum()) / (32 * n)))
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else _FOUND.empty_table()
 
     return run

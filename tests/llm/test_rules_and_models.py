@@ -1,10 +1,12 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +365,30 @@ def test_alignment_with_many_bit_errors(spark):
         assert got == want and len(want) > 50
 
 
+def test_one_product_of_signs_counts_the_bit_errors_of_all_pairs(monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**32, 40, np.uint32)
+    prints = [(i, np.r_[r.integers(0, 2**32, i % 4, np.uint32), base ^ r.integers(0, 2**32, (5, 40), np.uint32).prod(0) * (r.random(40) < i / 40)][: 22 + i % 19].astype(np.uint32)) for i in range(40)]
+    rows = [{"side": k, "r": i, "fp": fp.view(np.int32).tolist()} for k in (0, 1) for i, fp in prints if k or i % 5 == 0]
+    want = set()
+    for (i, q), (j, x) in itertools.product(prints[::5], prints):
+        best = 0.0
+        for o in range(16 - len(q), len(x) - 15):
+            a, b = q[max(0, -o) :], x[max(0, o) :]
+            n = min(len(a), len(b))
+            e = int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
+            if i != j and n >= 16 and e <= 0.2 and n * (0.5 - e) > best:
+                best, found = n * (0.5 - e), (i, j, o, int((a[:n] == b[:n]).sum()), n, e)
+        want |= {found} if best else set()
+    assert len(want) > 20
+    parts = list(chroma._by_length([p for p in prints if len(p[1]) == 30] * 3, 32 * 30 * 2))
+    assert [len(ids) for ids, _, _ in parts] == [2] * (len(parts) - 1) + [len(parts[-1][0])] and len(parts) > 1
+    for most in (1 << 22, 2000):
+        monkeypatch.setattr(chroma._by_length, "__defaults__", (most,))
+        got = chroma._align(0.2, 16)((0, 0), pa.Table.from_pylist(rows, pa.schema([("side", pa.int32()), ("r", pa.int64()), ("fp", pa.list_(pa.int32()))])))
+        assert {tuple(x.values()) for x in got.to_pylist()} == want
+
+
 def test_render_handles_odd_vectors(spark):
     v = spark.createDataFrame([(1, [0.1, None, -0.5]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
     got = {x["rec_id"]: len(x["pcm"]) for x in chroma.render(v).collect()}
