@@ -21,7 +21,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q_match_fuzzy", "q_match_alias"])
+@pytest.mark.parametrize("name", ["q_match_fuzzy", "q_match_alias", "q_match_cascade"])
 def test_nothing_goes_through_the_driver(name, spark, sf_dir, plans):
     assert all("Broadcast" not in p for p in [plan_of(QUERIES[name](spark, sf_dir)), *plans])
 
