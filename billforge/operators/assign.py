@@ -12,6 +12,7 @@ from billforge.functions import address as A
 from billforge.functions import keys as K
 from billforge.functions import text as X
 from billforge.operators import match
+from billforge.operators.match import by_sorting
 
 Settle = Callable[[DataFrame], DataFrame]
 
@@ -86,7 +87,7 @@ def services_of(docs: DataFrame, d: Directory) -> DataFrame:
     best = F.min(F.struct("service_id", "service_building", F.col("known").alias("known"))).alias("s")
     by_vendor = s.where("company_vendor is not null").withColumn("known", F.col("company_vendor")).drop("company").groupBy("client_id", "company_vendor", "number").agg(best)
     by_label = s.withColumn("known", F.col("company_vendor")).groupBy("client_id", "company", "number").agg(best.alias("t"))
-    out = asked.join(by_vendor, ["client_id", "company_vendor", "number"], "left").join(by_label, ["client_id", "company", "number"], "left")
+    out = by_sorting(by_sorting(asked, by_vendor, ["client_id", "company_vendor", "number"], "left"), by_label, ["client_id", "company", "number"], "left")
     out = out.withColumn("s", F.coalesce("s", "t")).where("s is not null")
     return out.select("doc_id", "s.service_id", "s.service_building", F.when(F.col("s.known").isNull(), F.col("company_vendor")).alias("fill_vendor"))
 
@@ -104,7 +105,7 @@ def assign(docs: DataFrame, d: Directory, settle: Settle) -> DataFrame:
     # names are normalised once, however many rows bear them
     said = F.coalesce(told, F.lit(""))
     names = settle(docs.select(said.alias("said")).distinct().select("said", A.building_name(F.col("said")).alias("building_name"), A.match_text(F.col("said")).alias("text")))
-    docs = docs.withColumn("said", said).join(names, "said")
+    docs = by_sorting(docs.withColumn("said", said), names, "said")
     rows = settle(
         docs.select(
             "doc_id", "client_id", "company", "provider_tax_id", K.client_number(F.col("client_number")).alias("number"), K.usable_tax_ids(F.coalesce("all_tax_ids", F.array().cast("array<string>"))).alias("tax_ids"),
@@ -113,22 +114,22 @@ def assign(docs: DataFrame, d: Directory, settle: Settle) -> DataFrame:
         )
     )
     company = rows.select("doc_id", "client_id", "company", "number", "tax_ids")
-    quick = company.join(vendor_of_company(company, d), "doc_id", "left")
-    quick = settle(services_of(quick, d).join(quick.select("doc_id", "company_vendor"), "doc_id"))
-    slow = settle(rows.join(quick.select("doc_id"), "doc_id", "left_anti"))
+    quick = by_sorting(company, vendor_of_company(company, d), "doc_id", "left")
+    quick = settle(by_sorting(services_of(quick, d), quick.select("doc_id", "company_vendor"), "doc_id"))
+    slow = settle(by_sorting(rows, quick.select("doc_id"), "doc_id", "left_anti"))
     found = match.in_turn(slow.withColumnRenamed("building_name", "name"), building_rules(d), settle)
-    placed = slow.join(found.select("doc_id", F.col("match_id").alias("building_id"), F.col("rule").alias("building_rule")), "doc_id")
+    placed = by_sorting(slow, found.select("doc_id", F.col("match_id").alias("building_id"), F.col("rule").alias("building_rule")), "doc_id")
     of = d.buildings.select("building_id", F.col("digits").alias("building_tax_id"))
-    placed = settle(placed.join(of, "building_id").withColumnRenamed("vendor_name", "name"))
+    placed = settle(by_sorting(placed, of, "building_id").withColumnRenamed("vendor_name", "name"))
     vendor = match.in_turn(placed, vendor_rules(d), settle)
-    slow = placed.select("doc_id", "building_id", "building_rule").join(vendor.select("doc_id", F.col("match_id").alias("vendor_id"), F.col("rule").alias("vendor_rule")), "doc_id", "left")
+    slow = by_sorting(placed.select("doc_id", "building_id", "building_rule"), vendor.select("doc_id", F.col("match_id").alias("vendor_id"), F.col("rule").alias("vendor_rule")), "doc_id", "left")
     slow = slow.withColumns({"service_id": F.lit(None).cast(dict(d.services.dtypes)["service_id"]), "fill_vendor": F.lit(None).cast(dict(d.services.dtypes)["vendor_id"]), "assigned": F.col("vendor_id").isNotNull()})
     quick = quick.select("doc_id", F.col("service_building").alias("building_id"), F.lit(None).cast("int").alias("building_rule"), F.col("company_vendor").alias("vendor_id"), F.lit(None).cast("int").alias("vendor_rule"), "service_id", "fill_vendor", F.lit(True).alias("assigned"))
     names = d.buildings.select("building_id", F.col("raw_name").alias("new_consortium"))
     vendors = d.vendors.select("vendor_id", F.col("canonical_name").alias("vendor_told"), F.col("tax_id").alias("vendor_tax_id"), F.col("payment_alias").alias("new_alias"))
     active = d.periods.select("building_id", K.period_label(F.col("month"), F.col("year")).alias("period"))
-    out = slow.unionByName(quick).join(names, "building_id", "left").join(vendors, "vendor_id", "left").join(active, "building_id", "left")
-    out = rows.select("doc_id", "company", "provider_tax_id").join(out, "doc_id", "left")
+    out = by_sorting(by_sorting(by_sorting(slow.unionByName(quick), names, "building_id", "left"), vendors, "vendor_id", "left"), active, "building_id", "left")
+    out = by_sorting(rows.select("doc_id", "company", "provider_tax_id"), out, "doc_id", "left")
     by_company: Column = F.when(F.col("service_id").isNotNull(), F.coalesce(X.company_name(F.col("company")), F.col("company")))
     return out.select(
         "doc_id", "building_id", "building_rule", "vendor_id", "vendor_rule", "service_id", "fill_vendor", "period", F.coalesce("assigned", F.lit(False)).alias("assigned"),

@@ -21,6 +21,7 @@ from billforge.functions import keys as K
 from billforge.functions import text as X
 from billforge.operators.assign import Directory, Settle, assign
 from billforge.operators.extract import parse_answer
+from billforge.operators.match import by_sorting
 
 _FIELDS = ("boleta_number", "provider", "consortium", "provider_tax_id", "detail", "observation", "due_date", "amount", "alias", "client_number", "payment_method", "all_tax_ids")
 _PLACED = ("building_id", "building_rule", "vendor_id", "vendor_rule", "service_id", "fill_vendor", "period")
@@ -58,7 +59,7 @@ def _resolved(raw: DataFrame, d: Directory, settle: Settle) -> DataFrame:
     """Records (record, client_id, content_hash, company, line and the fields) with their place, raw_key, parts and the fields as they are stored."""
     placed = assign(raw.withColumnRenamed("record", "doc_id"), d, settle).withColumnRenamed("doc_id", "record")
     key = K.business_key(F.col("boleta_number"), F.col("provider_tax_id"), F.col("due_date"), K.two_decimals(F.col("amount")))
-    out = raw.withColumn("raw_key", key).join(placed, "record")
+    out = by_sorting(raw.withColumn("raw_key", key), placed, "record")
     out = out.withColumns({c: F.when(F.col("assigned"), F.coalesce(new, c)).otherwise(F.col(c)) for c, new in (("consortium", "new_consortium"), ("provider", "new_provider"), ("provider_tax_id", "new_tax_id"))})
     out = out.withColumn("alias", F.when(F.col("assigned"), F.nullif(F.col("new_alias"), F.lit(""))).otherwise(F.col("alias")))
     parts = K.stored_key(K.business_key(F.col("boleta_number"), F.col("provider_tax_id"), F.col("due_date"), K.two_decimals(F.col("amount"))), F.col("content_hash"))
@@ -81,12 +82,12 @@ def records_of(first: DataFrame, repeated: DataFrame, d: Directory, settle: Sett
     new = settle(_resolved(first, d, settle))
     every, links = new, None
     while True:
-        taken = settle(_taken(new.where("assigned").join(repeated, ["client_id", "content_hash"], "left_semi")))
+        taken = settle(_taken(by_sorting(new.where("assigned"), repeated, ["client_id", "content_hash"], "left_semi")))
         mine = taken.select(F.col("of").alias("record"), F.col("record").alias("next"))
         links = mine if links is None else links.union(mine)
-        fresh = settle(taken.drop("of").dropDuplicates(["record"]).join(every.select("record"), "record", "left_anti"))
+        fresh = settle(by_sorting(taken.drop("of").dropDuplicates(["record"]), every.select("record"), "record", "left_anti"))
         if fresh.isEmpty():
-            return settle(every.join(links, "record", "left"))
+            return settle(by_sorting(every, links, "record", "left"))
         new = settle(_resolved(fresh, d, settle))
         every = every.unionByName(new)
 
@@ -97,7 +98,7 @@ def _free(asked: DataFrame, store: DataFrame | None) -> DataFrame:
         return asked
     s = store.select(F.col("client_id").alias("_c"), F.col("content_hash").alias("_h"), F.col("parts").alias("_p"), F.col("since").alias("_since"), F.col("until").alias("_until"))
     at = (F.col("_since") < F.col("doc_id")) & (F.col("_until").isNull() | (F.col("doc_id") <= F.col("_until")))
-    return asked.join(s, (F.col("client_id") == F.col("_c")) & (F.col("parts") == F.col("_p")) & (F.col("content_hash") != F.col("_h")) & at, "left_anti")
+    return by_sorting(asked, s, (F.col("client_id") == F.col("_c")) & (F.col("parts") == F.col("_p")) & (F.col("content_hash") != F.col("_h")) & at, "left_anti")
 
 
 def _intervals(docs: DataFrame, records: DataFrame, store: DataFrame | None, settle: Settle) -> DataFrame:
@@ -109,16 +110,16 @@ def _intervals(docs: DataFrame, records: DataFrame, store: DataFrame | None, set
     """
     r = records.select("record", "assigned", "parts", "next")
     own = ["client_id", "content_hash"]
-    first = _free(docs.join(r.where("assigned").select("record", "parts"), "record").select(*own, "doc_id", "record", "parts"), store)
+    first = _free(by_sorting(docs, r.where("assigned").select("record", "parts"), "record").select(*own, "doc_id", "record", "parts"), store)
     now = settle(first.groupBy(*own).agg(F.min_by(F.struct("record", "parts"), "doc_id").alias("s"), F.min("doc_id").alias("since")).select(*own, "since", "s.record", "s.parts"))
     out = None
     while True:
         after = r.where("assigned").select(F.col("record").alias("next"), F.col("parts").alias("next_parts"))
-        moves = now.join(r.select("record", "next"), "record").where("next <> record").join(after, "next")
-        asked = docs.select(*own, "doc_id").join(moves.select(*own, "since", "next", "next_parts", F.col("parts").alias("was")), own).where("doc_id > since").withColumnRenamed("next_parts", "parts")
+        moves = by_sorting(by_sorting(now, r.select("record", "next"), "record").where("next <> record"), after, "next")
+        asked = by_sorting(docs.select(*own, "doc_id"), moves.select(*own, "since", "next", "next_parts", F.col("parts").alias("was")), own).where("doc_id > since").withColumnRenamed("next_parts", "parts")
         free = asked.where("parts = was").unionByName(_free(asked.where("parts <> was"), store))
         moved = settle(free.groupBy(*own).agg(F.min("doc_id").alias("until"), F.first("next").alias("next"), F.first("parts").alias("next_parts")))
-        done = now.join(moved.select(*own, "until"), own, "left").select(*own, "since", "until", "record", "parts")
+        done = by_sorting(now, moved.select(*own, "until"), own, "left").select(*own, "since", "until", "record", "parts")
         out = done if out is None else out.union(done)
         if moved.isEmpty():
             return settle(out)
@@ -129,11 +130,11 @@ def stored(docs: DataFrame, records: DataFrame, settle: Settle) -> DataFrame:
     """The store as intervals (see _intervals): contents whose keys no other content can have at once, the others in rounds until still, each taking the conflicts from the one before."""
     own = ["client_id", "content_hash"]
     keys = records.where("assigned").groupBy("client_id", "parts").agg(F.min("content_hash").alias("_a"), F.max("content_hash").alias("_b")).where("_a <> _b").select("client_id", "parts")
-    contested = settle(records.where("assigned").join(keys, ["client_id", "parts"], "left_semi").select(*own).distinct())
-    alone = _intervals(docs.join(contested, own, "left_anti"), records, None, settle)
+    contested = settle(by_sorting(records.where("assigned"), keys, ["client_id", "parts"], "left_semi").select(*own).distinct())
+    alone = _intervals(by_sorting(docs, contested, own, "left_anti"), records, None, settle)
     if contested.isEmpty():
         return alone
-    rivals = settle(docs.join(contested, own, "left_semi"))
+    rivals = settle(by_sorting(docs, contested, own, "left_semi"))
     store = _intervals(rivals, records, None, settle)
     columns = [*own, "since", "until", "record"]
     while True:
@@ -174,19 +175,19 @@ def process(docs: DataFrame, directory: Directory, settle: Settle, *, sheet_keys
 
     s = store.select("client_id", "content_hash", "since", "until", F.col("record").alias("held"), F.col("parts").alias("held_parts"))
     at = (F.col("doc_id") > F.col("since")) & (F.col("until").isNull() | (F.col("doc_id") <= F.col("until")))
-    seen = told.alias("d").join(s.alias("s"), (F.col("d.client_id") == F.col("s.client_id")) & (F.col("d.content_hash") == F.col("s.content_hash")) & at, "left")
+    seen = by_sorting(told.alias("d"), s.alias("s"), (F.col("d.client_id") == F.col("s.client_id")) & (F.col("d.content_hash") == F.col("s.content_hash")) & at, "left")
     seen = seen.select("doc_id", "d.client_id", "d.content_hash", "d.record", "held", "held_parts", "until")
-    seen = seen.join(records.select(F.col("record").alias("held"), "next"), "held", "left").withColumn("record", F.coalesce("next", "record"))
-    seen = settle(seen.join(records.drop("client_id", "content_hash", "next"), "record"))
+    seen = by_sorting(seen, records.select(F.col("record").alias("held"), "next"), "held", "left").withColumn("record", F.coalesce("next", "record"))
+    seen = settle(by_sorting(seen, records.drop("client_id", "content_hash", "next"), "record"))
     looked = seen.where("held is null and raw_key is not null").select("client_id", "content_hash", "doc_id", F.col("raw_key").alias("parts"))
-    by_key = looked.join(_free(looked, store).select("client_id", "doc_id"), ["client_id", "doc_id"], "left_anti").select("client_id", "doc_id", F.lit(True).alias("has_key"))
+    by_key = by_sorting(looked, _free(looked, store).select("client_id", "doc_id"), ["client_id", "doc_id"], "left_anti").select("client_id", "doc_id", F.lit(True).alias("has_key"))
     in_sheet = seen.where("assigned and raw_key is not null").groupBy("client_id", "raw_key").agg(F.min("doc_id").alias("first_in_sheet"))
     created = store.groupBy("client_id", "content_hash").agg(F.min("since").alias("created"))
-    out = seen.join(by_key, ["client_id", "doc_id"], "left").join(in_sheet, ["client_id", "raw_key"], "left").join(created, ["client_id", "content_hash"], "left")
+    out = by_sorting(by_sorting(by_sorting(seen, by_key, ["client_id", "doc_id"], "left"), in_sheet, ["client_id", "raw_key"], "left"), created, ["client_id", "content_hash"], "left")
     before = F.lit(False)
     if sheet_keys is not None:
         keys = sheet_keys.select("client_id", F.col("business_key").alias("raw_key"), F.lit(True).alias("had")).distinct()
-        out, before = out.join(keys, ["client_id", "raw_key"], "left"), F.coalesce("had", F.lit(False))
+        out, before = by_sorting(out, keys, ["client_id", "raw_key"], "left"), F.coalesce("had", F.lit(False))
     by = F.when(F.col("held").isNotNull(), "hash").when(F.col("has_key"), "stored key").when(before | (F.col("first_in_sheet") < F.col("doc_id")), "sheet key")
     again = F.col("held").isNotNull()
     saved = F.when(again, (F.col("parts") == F.col("held_parts")) | F.coalesce(F.col("doc_id") == F.col("until"), F.lit(False))).otherwise(F.coalesce(F.col("doc_id") == F.col("created"), F.lit(False)))
@@ -197,7 +198,7 @@ def process(docs: DataFrame, directory: Directory, settle: Settle, *, sheet_keys
     )
     out = settle(out)
     last = out.where("saved").groupBy("client_id", "content_hash").agg(F.max_by(F.struct("doc_id", "is_duplicate"), "doc_id").alias("l"))
-    final = store.where("until is null").join(records.drop("client_id", "content_hash", "parts", "next", "raw_key", "assigned", "line"), "record").join(last, ["client_id", "content_hash"])
+    final = by_sorting(by_sorting(store.where("until is null"), records.drop("client_id", "content_hash", "parts", "next", "raw_key", "assigned", "line"), "record"), last, ["client_id", "content_hash"])
     invoices = final.select("client_id", "content_hash", F.col("parts").alias("stored_key"), F.col("l.doc_id").alias("last_doc_id"), "l.is_duplicate", *_PLACED, *_FIELDS)
     failed = docs.where("text is null").select("doc_id", "client_id", F.lit("failed").alias("route"))
     return Processed(out.drop("record").unionByName(failed, allowMissingColumns=True), invoices)

@@ -32,3 +32,9 @@ def test_pieces_of_texts_stay_off_the_driver(spark):
     pairs = match.contained(texts, words, "t")
     assert "Broadcast" not in plan_of(pairs)
     assert [tuple(r) for r in pairs.collect()] == [(1, "AV LARGE RING 120", ["RING", "12"])]
+
+
+def test_documents_meet_the_directory_by_sorting(spark, sf_dir, plans):
+    """But for the at most 179 customers that documents are made up with."""
+    plans.append(plan_of(QUERIES["q_document_pipeline"](spark, sf_dir)))
+    assert len(plans) > 10 and all("Broadcast" not in p or p.count("BroadcastExchange") == 1 and "-88" in p for p in plans)
